@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:
@@ -25,6 +29,30 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return by_place.select(*[F.col(f"_c{at[old]}").alias(new) for new, old in cols.items()])
 
 
+def with_columns(df: DataFrame, text_col: str, start: Callable[[], Callable[[list], list[list]]], added: str) -> DataFrame:
+    """df with columns (``added``, as DDL) that Python makes of the text column, batch by batch.
+
+    ``start`` is called once a task and returns what maps a list of texts to a
+    list of values for each added column. All other columns pass as they are,
+    by position; those named like an added one are replaced.
+    """
+    new = T._parse_datatype_string(added)
+    drop = {f.name.lower() for f in new}
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in drop]
+    names = [df.columns[i] for i in keep]
+    rows = df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[f"_c{i}" for i in keep])
+    at, kinds = names.index(text_col), list(to_arrow_schema(new).types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            columns = make(batch.column(at).to_pylist())
+            arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *new.names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *new.fields])).toDF(*names, *new.names)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that the cluster names; a temporary one only where none is set (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actfold.llm.common import Scratch, pick, sampled
+from actfold.llm.common import Scratch, pick, sampled, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -209,31 +209,31 @@ class _Scores:
         return self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """doc_id, text, lang_pred, score for every row.
+def identify(df: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """df with lang_pred and score.
 
     Each word of the whole text is scored under each language by the forward
     algorithm; the sum over words gives the posterior with equal priors, of
     which the largest is the score. Equal posteriors go to the language that
     sorts first. A null text, one without letters, and every text when nothing
-    could be learned get ``und`` with score 0. Repeated rows and equal or null
-    ids keep a row each; other columns are left out.
+    could be learned get ``und`` with score 0. Repeated rows and null ids keep
+    a row each; an empty table gives an empty one. Columns named lang_pred or
+    score are replaced, all others pass.
     """
-    docs = pick(df, doc_id=id_col, text=text_col)
-    spec = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, lang_pred string, score double"
-    if model is None:
-        return docs.select("doc_id", "text", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # languages x vocabulary numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         model = shared.value
-        if model.key not in _WORDS:
+        if model is not None and model.key not in _WORDS:
             _WORDS.clear()
             _WORDS[model.key] = _Scores(model)
-        scores: _Scores = _WORDS[model.key]
-        for batch in batches:
+        scores = _WORDS[model.key] if model is not None else None
+
+        def run(texts: list) -> list[list]:
+            if scores is None:
+                return [["und"] * len(texts), [0.0] * len(texts)]
             preds, sure = [], []
-            for chunk in _chunks(batch["text"]):
+            for chunk in _chunks(texts):
                 lists = [WORD.findall(t.lower()) if t else [] for t in chunk]
                 scores.add(lists)
                 for words in lists:
@@ -245,12 +245,14 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     k = int(total.argmax())
                     preds.append(model.langs[k])
                     sure.append(float(1 / np.exp(total - total[k]).sum()))
-            yield batch.assign(lang_pred=preds, score=sure)
+            return [preds, sure]
+
+        return run
 
-    return docs.mapInPandas(run, spec)
+    return with_columns(df, text_col, start, "lang_pred string, score double")
 
 
-def _chunks(texts: pd.Series, most: int = 1_000_000) -> Iterator[list]:
+def _chunks(texts: list, most: int = 1_000_000) -> Iterator[list]:
     """Runs of texts of about ``most`` characters."""
     held, n = [], 0
     for t in texts:

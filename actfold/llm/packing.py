@@ -9,9 +9,11 @@ from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from actfold.llm.common import pick
 
@@ -113,14 +115,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     ones. Each partition ends with one group that may fill its windows less.
     """
     docs, path = pick(df, doc_id=id_col, text=text_col), tokenizer or default_tokenizer()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = T._parse_datatype_string(PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()))
+    fields = to_arrow_schema(schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
         held: list[tuple[object, bytes]] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal first
             rows = []
             for window in windows_of([len(ids) // 4 for _, ids in held], capacity, piece):
@@ -131,15 +134,14 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
                     at += n
                 first += 1
             held.clear()
-            return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), fields, strict=True)], schema=fields)
 
         for batch in batches:
-            ids_of = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            for doc_id, text in zip(ids_of, batch["text"], strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.append((doc_id, (encode(text) if text else b"") + end))
                 if len(held) == group:
                     yield flush()
         if held:
             yield flush()
 
-    return docs.mapInPandas(run, PIECES.format(id=kind))
+    return docs.mapInArrow(run, schema)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actfold.llm import language, packing, secrets, sharding
+from actfold.llm import language, minhash, mixing, packing, secrets, sharding
+from actfold.llm.common import pick
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return secrets.digest(secrets.find_secrets(docs, model=secrets.fit_markov(docs)))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,13 +25,23 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = language.identify(docs, model=language.fit(docs))
+    out = language.identify(pick(docs, doc_id="doc_id", text="text"), model=language.fit(docs))
     return out.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_sharding, op6_language, op9_packing)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang", source="source")
+    out = mixing.mix_documents(docs)
+    return out.select("doc_id", "source", "lang", F.col("_cell.topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_sharding, op6_language, op7_minhash, op9_packing, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}

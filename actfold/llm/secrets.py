@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actfold.llm.common import pick, sampled, spans_text
+from actfold.llm.common import pick, sampled, spans_text, with_columns
 
 # The patterns of the contract, least lengths of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -121,25 +120,26 @@ def fit_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return MarkovPair(np.log(chance[1] / chance[0]).ravel())
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: MarkovPair | None = None) -> DataFrame:
-    """doc_id, text, base, spans: what the patterns find, and that with what the Markov models add.
+def find_secrets(df: DataFrame, text_col: str = "text", model: MarkovPair | None = None) -> DataFrame:
+    """df with base and spans: what the patterns find, and that with what the Markov models add.
 
     Spans are (kind, start, end) in code points, end exclusive, by start and
     then kind. Added spans have kind ``markov`` and overlap no base span. A
-    null text has no spans and stays null; a null id, repeated rows and rows
-    with equal ids each keep a row of their own; an empty table gives an empty
-    one. Whole texts are read, one at a time. Other columns are left out.
+    null or empty text has no spans; repeated rows and null ids keep a row
+    each; an empty table gives an empty one. Whole texts are read, one at a
+    time. Columns named base or spans are replaced, all others pass.
     """
-    docs = pick(df, doc_id=id_col, text=text_col)
-    model = model or fit_markov(docs)
+    pair = model or MarkovPair(None)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            base = [base_spans(t) if t else [] for t in batch["text"]]
-            more = [sorted(b + model.spans(t, b), key=lambda s: (s[1], KINDS.index(s[0]))) if t else [] for t, b in zip(batch["text"], base, strict=True)]
-            yield batch.assign(**{k: [[{"kind": x, "start": s, "end": e} for x, s, e in v] for v in lists] for k, lists in (("base", base), ("spans", more))})
+    def start():
+        def scan(texts: list) -> list[list]:
+            base = [base_spans(t) if t else [] for t in texts]
+            more = [sorted(b + pair.spans(t, b), key=lambda s: (s[1], KINDS.index(s[0]))) if t else [] for t, b in zip(texts, base, strict=True)]
+            return [[[{"kind": x, "start": s, "end": e} for x, s, e in v] for v in lists] for lists in (base, more)]
+
+        return scan
 
-    return docs.mapInPandas(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, base {SPANS}, spans {SPANS}")
+    return with_columns(df, text_col, start, f"base {SPANS}, spans {SPANS}")
 
 
 def redact(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:
