@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actfold.llm import language, minhash, mixing, packing, secrets, sharding
+from actfold.llm import embeddings, language, minhash, mixing, packing, secrets, sharding, topk
 from actfold.llm.common import pick
 
 
@@ -23,6 +23,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.identify(pick(docs, doc_id="doc_id", text="text"), model=language.fit(docs))
@@ -43,5 +51,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("_cell.topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_sharding, op6_language, op7_minhash, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op9_packing, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
