@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Stands for null in keys made of text.
+NULL_KEY = "\x00none"
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Exactly the named columns, as new_name="old_name".
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actfold.llm import embeddings, language, minhash, mixing, packing, secrets, sharding, topk
+from actfold.llm import embeddings, language, minhash, mixing, packing, quality, secrets, sharding, topk
 from actfold.llm.common import pick
 
 
@@ -18,6 +18,12 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(docs, model=secrets.fit_markov(docs)))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang", source="source")
+    labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", quality="quality")
+    return quality.classify(docs, labels, host=F.col("source"), path=F.col("lang"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(sharding.query_rows(table(spark, sf_dir, "documents")), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -51,5 +57,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("_cell.topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op9_packing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op9_packing, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
