@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Stands for null in keys made of text.
 NULL_KEY = "\x00none"
+#: Rows that Python holds as objects at a time; what the batches of Spark hold is passed on in slices.
+ROWS_AT_ONCE = 1_000
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:
@@ -49,14 +51,41 @@ def with_columns(df: DataFrame, text_col: str, start: Callable[[], Callable[[lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
-        for batch in batches:
-            columns = make(batch.column(at).to_pylist())
-            arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *new.names])
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(a, ROWS_AT_ONCE)
+                columns = make(batch.column(at).to_pylist())
+                arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *new.names])
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *new.fields])).toDF(*names, *new.names)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps for its next task: one operator's at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def text_chunks(texts: list, most: int = 1_000_000) -> Iterator[list]:
+    """Runs of texts of about ``most`` characters."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t or "")
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that the cluster names; a temporary one only where none is set (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

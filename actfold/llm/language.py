@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actfold.llm.common import Scratch, pick, sampled, with_columns
+from actfold.llm.common import Scratch, kept, pick, sampled, text_chunks, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -182,13 +182,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return model
 
 
-_WORDS: dict = {}
-
-
 class _Scores:
     """Log-likelihoods of words, kept between batches up to a bound."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.most, self.row = model, most, {}
         self.table = np.zeros((1024, len(model.langs)), dtype=np.float64)
 
@@ -224,16 +221,13 @@ def identify(df: DataFrame, text_col: str = "text", model: Model | None = None)
 
     def start():
         model = shared.value
-        if model is not None and model.key not in _WORDS:
-            _WORDS.clear()
-            _WORDS[model.key] = _Scores(model)
-        scores = _WORDS[model.key] if model is not None else None
+        scores = kept(model.key, lambda: _Scores(model)) if model is not None else None
 
         def run(texts: list) -> list[list]:
             if scores is None:
                 return [["und"] * len(texts), [0.0] * len(texts)]
             preds, sure = [], []
-            for chunk in _chunks(texts):
+            for chunk in text_chunks(texts):
                 lists = [WORD.findall(t.lower()) if t else [] for t in chunk]
                 scores.add(lists)
                 for words in lists:
@@ -250,16 +244,3 @@ def identify(df: DataFrame, text_col: str = "text", model: Model | None = None)
         return run
 
     return with_columns(df, text_col, start, "lang_pred string, score double")
-
-
-def _chunks(texts: list, most: int = 1_000_000) -> Iterator[list]:
-    """Runs of texts of about ``most`` characters."""
-    held, n = [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t or "")
-        if n >= most:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held

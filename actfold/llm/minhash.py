@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actfold.llm.common import Scratch, components, pick, with_columns
+from actfold.llm.common import Scratch, components, kept, pick, with_columns
 
 WORDS = 5
 _TIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -20,15 +20,12 @@ class _Hashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_HASHES = _Hashes()
-
-
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -46,7 +43,7 @@ def shingles(text: str | None) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(kept("hashes", _Hashes).__getitem__, words), np.uint64, n)
     if n < WORDS:
         return _mix64((h * _TIMES[:n]).sum(keepdims=True) + np.uint64(n))
     s = h[: n - 4] * _TIMES[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -10,15 +11,19 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from actfold.llm.common import pick
+from actfold.llm.common import kept, pick, text_chunks
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_SPLIT = re.compile(r"[ \t\r\n]+")
+# What the tokenizer's own first cut makes of texts in Latin letters: letters, digits one by one, contractions, other marks.
+_PIECE = re.compile(r"[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
+#: Outside these characters (or with a special token's first marks) a text goes to the tokenizer as it is.
+_ODD = re.compile(r"[^\t\n\r -~¡-ÿĀ-įĲ-ɏ]")
 
 
 def default_tokenizer() -> str:
@@ -27,30 +32,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Token ids of a text as little-endian bytes, through a bounded cache of words.
+class PieceIds:
+    """Token ids of texts as little-endian bytes, through bounded caches of words and of their pieces.
 
-    Holds only for tokenizers that drop white space and never join across it,
-    as the default one does: then the ids of a text are those of its words.
+    The default tokenizer lowers letters, drops white space and encodes each
+    piece of its first cut on its own; so for texts in Latin letters the ids
+    are those of the pieces, which recur. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.words = Tokenizer.from_file(path), most_words, {}
-
-    def __call__(self, text: str) -> bytes:
-        parts = _SPLIT.split(text)
-        try:
-            return b"".join(map(self.words.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(self.words) > self.most:
-            self.words.clear()
-        new = [w for w in set(parts) if w not in self.words]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, parts))
+        self.tokenizer, self.most, self.words, self.ids = Tokenizer.from_file(path), most, {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes many pieces in one text each few hundred; every piece ends in a token that ends a word."""
+        for a in range(0, len(pieces), 256):
+            some = pieces[a : a + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                self.ids.update((p, raw[x:y]) for p, x, y in zip(some, at, at[1:], strict=False))
+            else:
+                self.ids.update((p, self.whole(p)) for p in some)
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        new = [w for w in words if w not in self.words]
+        if new:
+            cut = [_PIECE.findall(w) for w in new]
+            parts = set().union(*cut)
+            if len(self.words) + len(new) > self.most:  # the commonest recur in every chunk
+                self.words = {w: self.words[w] for w in words if w in self.words}
+            if len(self.ids) + len(parts) > self.most:
+                self.ids = {p: self.ids[p] for p in parts if p in self.ids}
+            self.learn(list(parts - self.ids.keys()))
+            find = self.ids.__getitem__
+            self.words.update((w, find(c[0]) if len(c) == 1 else b"".join(map(find, c))) for w, c in zip(new, cut, strict=True))
+        return list(map(self.words.__getitem__, words))
+
+    def __call__(self, texts: list) -> list[bytes]:
+        out: list[bytes] = []
+        for chunk in text_chunks(texts, 8_000_000):
+            odd = [bool(t) and ("<|" in t or bool(_ODD.search(t))) for t in chunk]
+            plain = pa.array([t if t and not o else "" for t, o in zip(chunk, odd, strict=True)], pa.large_string())
+            words = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+            coded = words.values.dictionary_encode()
+            ids, at = self.of_words(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat, starts, own = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes, sizes[at]
+            ends = np.concatenate(([0], np.cumsum(own)))
+            raw = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], own)].tobytes()
+            cuts = (4 * ends[words.offsets.to_numpy()]).tolist()
+            out += [self.whole(t) if o else raw[a:b] for t, o, a, b in zip(chunk, odd, cuts, cuts[1:], strict=False)]
+        return out
 
 
 def differencing(sizes: list[int], windows: int) -> list[tuple[int, list[int]]]:
@@ -102,7 +143,7 @@ def windows_of(lengths: list[int], capacity: int, piece: int) -> list[list[tuple
     return out
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, encoder: Callable[[str], Callable[[str], bytes]] = WordIds, end_id: int = 1, capacity: int = 2048, piece: int = 512, group: int = 512) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, encoder: Callable[[str], Callable[[list], list[bytes]]] = PieceIds, end_id: int = 1, capacity: int = 2048, piece: int = 512, group: int = 512) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its token ids and then ``end_id``; a null or empty text is
@@ -110,7 +151,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     each on its own. An empty table gives no piece. Other columns are left out.
 
     Packing runs where the documents are read, so nothing is shuffled. A task
-    holds ``group`` documents, as ids, at a time. A sequence's id is made of
+    packs ``group`` documents at a time. A sequence's id is made of
     the task's partition and a number, so a task that runs again makes the same
     ones. Each partition ends with one group that may fill its windows less.
     """
@@ -119,7 +160,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     fields = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = kept(f"ids {path}", lambda: encoder(path)), np.array([end_id], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
         held: list[tuple[object, bytes]] = []
 
@@ -137,10 +178,12 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), fields, strict=True)], schema=fields)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append((doc_id, (encode(text) if text else b"") + end))
-                if len(held) == group:
-                    yield flush()
+            for a in range(0, batch.num_rows, 4 * group):
+                part = batch.slice(a, 4 * group)
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    held.append((doc_id, ids + end))
+                    if len(held) == group:
+                        yield flush()
         if held:
             yield flush()
 
