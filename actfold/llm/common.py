@@ -15,10 +15,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Stands for null in keys made of text.
 NULL_KEY = "\x00none"
-#: Rows that Python holds as objects at a time; what the batches of Spark hold is passed on in slices.
+#: Rows of a batch that goes to Python.
 ROWS_AT_ONCE = 1_000
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts may be long, so batches to Python are kept to fewer rows than Spark's default (a session setting)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Exactly the named columns, as new_name="old_name".
 
@@ -42,6 +49,7 @@ def with_columns(df: DataFrame, text_col: str, start: Callable[[], Callable[[lis
     list of values for each added column. All other columns pass as they are,
     by position; those named like an added one are replaced.
     """
+    short_batches(df.sparkSession)
     new = T._parse_datatype_string(added)
     drop = {f.name.lower() for f in new}
     keep = [i for i, c in enumerate(df.columns) if c.lower() not in drop]
@@ -51,12 +59,10 @@ def with_columns(df: DataFrame, text_col: str, start: Callable[[], Callable[[lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
-        for whole in batches:
-            for a in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(a, ROWS_AT_ONCE)
-                columns = make(batch.column(at).to_pylist())
-                arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *new.names])
+        for batch in batches:
+            columns = make(batch.column(at).to_pylist())
+            arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *new.names])
         pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *new.fields])).toDF(*names, *new.names)
