@@ -21,12 +21,33 @@ def as_vector(values: list | None) -> np.ndarray | None:
     return v if np.isfinite(v).all() else None
 
 
+def leaders(unit: np.ndarray, least: float, block: int = 512) -> np.ndarray:
+    """Unit vectors of which none is within ``least`` of an earlier one, so no group of near copies decides what is learned."""
+    kept = np.empty((0, unit.shape[1]))
+    for a in range(0, len(unit), block):
+        some = unit[a : a + block]
+        some = some[~(some @ kept.T >= least).any(axis=1)] if len(kept) else some
+        near = np.tril(some @ some.T >= least, -1)
+        kept = np.concatenate((kept, some[~near.any(axis=1)]))
+    return kept
+
+
 class Codes:
-    """Iterative quantisation: a rotation of the principal axes whose signs lose least, cut at medians so that bits are balanced."""
+    """Iterative quantisation: a rotation of the principal axes whose signs lose least, cut at medians so that bits are balanced.
+
+    It is learned from a sample without near copies. Where fewer than four
+    vectors a bit are left there is no spread to learn; then a random rotation
+    about the origin is taken.
+    """
 
-    def __init__(self, sample: np.ndarray, bits: int = 64, rounds: int = 40, seed: int = 11):
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    def __init__(self, sample: np.ndarray, bits: int = 64, rounds: int = 40, seed: int = 11, least: float = 0.93):
         self.dim, self.bits = sample.shape[1], bits
+        unit = leaders(sample / np.linalg.norm(sample, axis=1, keepdims=True), least)
+        if len(unit) < 4 * bits:
+            turns = [np.linalg.qr(np.random.default_rng(seed + k).standard_normal((self.dim, self.dim)))[0] for k in range(-(-bits // self.dim))]
+            self.axes = np.concatenate(turns, axis=1)[:, :bits]
+            self.mean, self.cut = np.zeros(self.dim), np.zeros(bits)
+            return
         self.mean = unit.mean(axis=0)
         flat = unit - self.mean
         axes = np.linalg.eigh(flat.T @ flat)[1][:, ::-1][:, :bits]
@@ -52,14 +73,14 @@ class Codes:
         return np.stack([bits[:, t * each : (t + 1) * each] @ (1 << np.arange(each)) for t in range(tables)], axis=1)
 
 
-def fit_codes(rows: DataFrame, sample_rows: int, bits: int, tables: int) -> Codes | None:
+def fit_codes(rows: DataFrame, sample_rows: int, bits: int, tables: int, least: float) -> Codes | None:
     """From about ``sample_rows`` vectors (vec, as bytes), those of the commonest dimension."""
     got = [np.frombuffer(r[0], np.float64) for r in sampled(rows, "vec_id", sample_rows).select("vec").collect()]
     if not got:
         return None
     dims = np.bincount([len(v) for v in got])
     most = int(dims.argmax())
-    return Codes(np.stack([v for v in got if len(v) == most]), max(tables, min(bits, most)) // tables * tables)
+    return Codes(np.stack([v for v in got if len(v) == most]), max(tables, min(bits, most)) // tables * tables, least=least)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -83,7 +104,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, bits: int = 64, tables: int = 8, block: int = 1024, sample_rows: int = 20_000, work: Scratch | None = None) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, bits: int = 64, tables: int = 8, block: int = 1024, sample_rows: int = 6_000, work: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors of equal labels are linked when their cosine, in double precision,
@@ -118,7 +139,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = work.save(with_columns(given, "vector", lambda: pack, "vec binary, fp1 long, fp2 long").drop("vector"), "vectors")
     live = rows.where("vec is not null and label is not null and vec_id is not null")
     classes = work.save(live.groupBy("label", "fp1", "fp2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
-    codes = spark.sparkContext.broadcast(fit_codes(classes, sample_rows, bits, tables))  # dimensions x bits numbers
+    codes = spark.sparkContext.broadcast(fit_codes(classes, sample_rows, bits, tables, least))  # dimensions x bits numbers
 
     def encode(values: list) -> list[list]:
         return [codes.value.substrings([np.frombuffer(v, np.float64) for v in values], tables).tolist()] if values else [[]]

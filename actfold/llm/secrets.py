@@ -59,8 +59,8 @@ class MarkovPair:
     """Log-likelihood ratio of each character pair, random against ordinary; None: no labelled samples of one kind."""
 
     ratio: np.ndarray | None
-    least_total: float = 14.0
-    least_mean: float = 0.5
+    least_total: float = 30.0
+    least_mean: float = 2.0
 
     def score(self, token: str) -> float:
         return 0.0 if self.ratio is None else float(self.ratio[_pairs(token)].sum())
@@ -78,7 +78,7 @@ class MarkovPair:
         return found
 
 
-def fit_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, smoothing: float = 0.5) -> MarkovPair:
+def fit_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, smoothing: float = 0.5, weight: float = 5.0) -> MarkovPair:
     """Both models from labelled samples in about ``sample_docs`` documents.
 
     Labelled random: values that the base patterns find. Labelled ordinary:
@@ -113,9 +113,9 @@ def fit_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
         counts[label].flat[pair] = n
     if not counts[0].any() or not counts[1].any():
         return MarkovPair(None)
-    # Random strings follow no spelling, so their rows are drawn to what each character's own frequency says.
-    counts[1] += 5.0 * (counts[1].sum(axis=0) + 1) / (counts[1].sum() + START)
-    counts += smoothing
+    # Each row is drawn to its label's character frequencies, which also stand for rows without samples.
+    single = counts.sum(axis=1)[:, None, :] + smoothing
+    counts += weight * single / single.sum(axis=2, keepdims=True)
     chance = counts / counts.sum(axis=2, keepdims=True)
     return MarkovPair(np.log(chance[1] / chance[0]).ravel())
 

@@ -13,8 +13,7 @@ from pyspark.sql.window import Window
 
 from actfold.llm.common import Scratch
 
-_WIDE = 1 << 64
-_LOW = 1 << 63
+_WIDE = _LOW = 1 << 63  # row numbers are below 2**63, so every packed integer is a (key, uid)
 
 
 def _pack(key: int, uid: int) -> int:
@@ -24,7 +23,7 @@ def _pack(key: int, uid: int) -> int:
 
 def _unpack(x: int) -> tuple[int, int]:
     key, uid = divmod(x, _WIDE)
-    return key - _LOW, min(uid, _LOW - 1)
+    return key - _LOW, uid
 
 
 def _cell(keys: np.ndarray, uids: np.ndarray, probes: list[tuple[int, int]]) -> np.ndarray:
@@ -61,7 +60,7 @@ def splitters(slim: DataFrame, n_shards: int, tolerance: float = 0.002, probes_e
     where the bytes would fall if keys were even, the rest evenly spaced.
     """
     low, high, total, rows = slim.agg(F.min("key"), F.max("key"), F.sum("size"), F.count("*")).first()
-    ends = (_pack(low, 0), _pack(high, _LOW - 1) + 1)
+    ends = (_pack(low, 0), _pack(high, _WIDE - 1))
     known = {ends[0]: (0, 0), ends[1]: (int(total), rows)}
     slack = tolerance * total / n_shards
     targets = [total * i / n_shards for i in range(1, n_shards)]
@@ -79,7 +78,7 @@ def splitters(slim: DataFrame, n_shards: int, tolerance: float = 0.002, probes_e
                 continue
             even = a + int((b - a) * min(1.0, max(0.0, (t - known[a][0]) / (known[b][0] - known[a][0]))))
             fresh |= {min(max(x, a + 1), b - 1) for x in (even, *(a + (b - a) * j // (probes_each + 1) for j in range(1, probes_each + 1)))}
-        fresh = sorted({_pack(*_unpack(x)) for x in fresh} - known.keys())
+        fresh = sorted(fresh - known.keys())
         if not fresh:
             break
         size, below = _counts(slim, [_unpack(x) for x in fresh])
