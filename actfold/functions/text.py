@@ -134,7 +134,7 @@ def chamber_of(label: Column) -> Column:
 
 def name_list(c: Column) -> Column:
     """Names between semicolons, trimmed, empties dropped, joined again."""
-    return F.array_join(F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != ""), "; ")
+    return F.array_join(F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != ""), "; ")
 
 
 def byline(c: Column) -> Column:

@@ -299,7 +299,7 @@ def marked_segments(pages: DataFrame, page_id: str = "page_id", html: str = "htm
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Files below a folder: path, text (UTF-8, bad bytes replaced), nbytes, sha256."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("text"), F.length("content").alias("nbytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.length("content").alias("nbytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def packed_segments(renders: DataFrame, keys: list[str], column: str = "segments") -> DataFrame:
