@@ -129,3 +129,12 @@ def reconciled(found: DataFrame, official: DataFrame) -> DataFrame:
     both = found.select(*keys).distinct().withColumn("f", F.lit(1)).join(official.select(*keys).distinct().withColumn("o", F.lit(1)), keys, "full_outer")
     out = both.groupBy("session", "num").agg(F.count("f").alias("found"), F.count("o").alias("official"), F.count_if(F.col("f").isNotNull() & F.col("o").isNotNull()).alias("agreed"))
     return out.withColumn("false_positives", F.col("found") - F.col("agreed")).withColumn("recall", F.when(F.col("official") > 0, F.col("agreed") / F.col("official"))).withColumn("weak", F.coalesce(F.col("recall") < 0.9, F.lit(False)))
+
+
+def of_bill(refs: DataFrame, bills: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Each bill with its references in order, or why it has none: no text fetched, or nothing found in it. fetched(session, num)."""
+    keys = ["session", "num"]
+    got = fetched.select(*keys).distinct().withColumn("_got", F.lit(True))
+    rows = bills.select(*keys, "label").join(refs, keys, "left").join(got, keys, "left")
+    status = F.when(F.col("statute").isNotNull(), "ok").when(F.col("_got"), "no references found").otherwise("text not fetched")
+    return rows.withColumn("status", status).drop("_got").orderBy(*keys, F.col("bill_section").asc_nulls_last(), "statute")

@@ -123,6 +123,17 @@ def most_significant(claims: DataFrame, keys: list[str], order: list[str], cap:
     return claims.withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap)
 
 
+def merged_parts(claims: DataFrame, keys: list[str], pass_caps: dict[str, int]) -> DataFrame:
+    """Claims of a bill read in parts (keys, pass, part, ord, quote, significance, quote_status, flagged_for) as one list a pass.
+
+    Kept claims only, each passage once, provisions by significance and then in
+    the order read, cut to what a single reply could have held.
+    """
+    kept = claims.where("quote_status != 'failed' and flagged_for is null")
+    out = [most_significant(deduped(kept.where(F.col("pass") == name), keys, ["part", "ord"]), keys, ["part", "ord"], cap) for name, cap in pass_caps.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 # Lengths and enumerations that model replies must keep to.
 CONTRACT = {
     "heading": (8, 120, None),
@@ -223,19 +234,29 @@ def headers(bills: DataFrame, refs: DataFrame, shown: int = 60) -> DataFrame:
     more = F.when(F.col("n") > shown, F.format_string("  ... and %d more", F.col("n") - shown))
     line = lambda label, c: F.when(tx.truthy(F.col(c)), F.concat(F.lit(label), c))
     refs_text = F.when(F.col("n").isNotNull(), F.concat_ws("\n", F.format_string("\nSTATUTES THIS BILL OPERATES ON (%d):", "n"), "list", more))
-    head = F.concat_ws("\n", F.concat(F.lit("BILL: "), F.coalesce("label", F.lit("")), F.lit(" — "), F.coalesce("title", F.lit(""))), line("CHAMBER: ", "chamber"), line("SPONSOR: ", "sponsor"), line("EFFECTIVE: ", "effective_date"), refs_text)
+    if "long_title" not in bills.columns:
+        bills = bills.withColumn("long_title", F.lit(None).cast("string"))
+    head = F.concat_ws("\n", F.concat(F.lit("BILL: "), F.coalesce("label", F.lit("")), F.lit(" — "), F.coalesce("title", F.lit(""))), line("CHAMBER: ", "chamber"), line("SPONSOR: ", "sponsor"), line("EFFECTIVE: ", "effective_date"), line("\nOFFICIAL SUMMARY (written by the Legislature):\n", "long_title"), refs_text)
     return bills.join(listed, keys, "left").select(*keys, head.alias("header"))
 
 
-def briefs(header: DataFrame, blocks: DataFrame, budget: int = 24_000) -> DataFrame:
-    """(session, num, text, passages, total_passages, truncated): a bill's header and the passages kept under the budget, in order."""
+def briefs(header: DataFrame, blocks: DataFrame, totals: DataFrame | None = None, budget: int = 24_000) -> DataFrame:
+    """(session, num, text, passages, total_passages, truncated): a bill's header and the passages kept under the budget, in order.
+
+    totals(session, num, space_words_added, space_words_deleted), as of
+    segments.stats(), lets the text state the balance of the whole bill.
+    """
     keys = ["session", "num"]
     kept = within_budget(blocks, keys, budget)
     at = F.when(F.coalesce("line", F.lit(0)) != 0, F.concat(F.lit("line "), F.col("line").cast("string"))).otherwise("—")
     body = kept.withColumn("_p", F.concat(F.lit("\n["), at, F.lit("] "), "passage")).groupBy(*keys).agg(F.count("*").alias("passages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "_p"))), lambda x: x["_p"]), "\n").alias("body"))
     total = blocks.groupBy(*keys).agg(F.count("*").alias("total_passages"))
     out = header.join(body, keys, "left").join(total, keys, "left").withColumns({"passages": F.coalesce("passages", F.lit(0)), "total_passages": F.coalesce("total_passages", F.lit(0))})
-    title = F.when(F.col("passages") > 0, F.format_string("\nCHANGED LANGUAGE (%d of %d passages).", "passages", "total_passages")).otherwise("\nCHANGED LANGUAGE: none marked")
+    balance = F.lit("")
+    if totals is not None:
+        out = out.join(totals.select(*keys, "space_words_added", "space_words_deleted"), keys, "left")
+        balance = F.coalesce(F.format_string(" In total this bill adds %s words and deletes %s.", F.format_number("space_words_added", 0), F.format_number("space_words_deleted", 0)), F.lit(""))
+    title = F.when(F.col("passages") > 0, F.concat(F.format_string("\nCHANGED LANGUAGE (%d of %d passages).", "passages", "total_passages"), balance)).otherwise("\nCHANGED LANGUAGE: none marked")
     return out.select(*keys, F.concat_ws("\n", "header", title, "body").alias("text"), "passages", "total_passages", (F.col("passages") < F.col("total_passages")).alias("truncated"))
 
 

@@ -458,7 +458,7 @@ def brief_parts(spark: SparkSession, d: str) -> DataFrame:
 def brief_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = ad.table(spark, d, "documents").select(F.lit("d").alias("session"), F.col("doc_id").alias("num"), F.concat(F.lit("HB "), F.col("doc_id").cast("string")).alias("label"), F.col("source").alias("title"), F.lit("House").alias("chamber"), F.col("lang").alias("sponsor"), F.lit("").alias("effective_date"))
     refs = statutes.cross_reference(ad.segments(spark, d), DOC)
-    return verify.briefs(verify.headers(docs, refs), _blocks(spark, d), 8000)
+    return verify.briefs(verify.headers(docs, refs), _blocks(spark, d), segments.stats(ad.segments(spark, d), DOC), 8000)
 
 
 # --- statutes of bill texts --------------------------------------------------------------
@@ -518,6 +518,38 @@ def claims_located(spark: SparkSession, d: str) -> DataFrame:
     return segments.located(ad.segments(spark, d), ad.claims(spark, d), DOC).select(*DOC, "ord", "line")
 
 
+@query(with_("segment", "claim", "statute_ref") + f""", s AS (SELECT *, lower({CANON('text')}) AS low FROM segment), p AS (SELECT *, sum(length(low) + 1) OVER (PARTITION BY num ORDER BY seg_ix) - 1 - length(low) AS start FROM s),
+    w AS (SELECT num, string_agg(low, ' ' ORDER BY seg_ix) AS whole FROM p GROUP BY num), t AS (SELECT c.session, c.num, c.ord, lower({CANON('quote')}) AS q, whole FROM claim c LEFT JOIN w USING (num)),
+    spot AS (SELECT *, CASE WHEN length(q) >= 12 THEN instr(whole, left(q, 60)) - 1 END AS pos FROM t)
+    SELECT session, num, ord, CASE WHEN pos >= 0 THEN (SELECT arg_max(line, (start, seg_ix)) FROM p WHERE p.num = spot.num AND line IS NOT NULL AND start <= pos) END AS line, '1.02(3)' AS statute, CASE WHEN EXISTS (SELECT 1 FROM statute_ref WHERE statute = '1.02') THEN '1.02' ELSE '' END AS link FROM spot""")
+def claims_anchored(spark: SparkSession, d: str) -> DataFrame:
+    rows = segments.located(ad.segments(spark, d), ad.claims(spark, d), DOC)
+    return lookup.statute_links(rows, ad.refs(spark, d)).select(*DOC, "ord", "line", "statute", "link")
+
+
+@query("""WITH c AS (SELECT o_custkey AS num, o_orderkey AS ord, CASE o_orderstatus WHEN 'F' THEN 'major' WHEN 'O' THEN 'moderate' ELSE 'technical' END AS significance, 'q' || (o_orderkey % 7) AS quote, o_orderkey % 3 AS part FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0),
+    d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY num, quote ORDER BY part, ord) = 1)
+    SELECT num, ord, significance, quote, part, row_number() OVER (PARTITION BY num ORDER BY CASE significance WHEN 'major' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END, part, ord) AS place FROM d QUALIFY place <= 6""")
+def claims_merged(spark: SparkSession, d: str) -> DataFrame:
+    o = ad.table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    significance = F.when(F.col("o_orderstatus") == "F", "major").when(F.col("o_orderstatus") == "O", "moderate").otherwise("technical")
+    c = o.select(F.col("o_custkey").alias("num"), k.alias("ord"), significance.alias("significance"), F.concat(F.lit("q"), (k % 7).cast("string")).alias("quote"), (k % 3).alias("part"), F.lit("provisions").alias("pass"), F.when(k % 11 == 0, "failed").otherwise("exact").alias("quote_status"), F.when(k % 13 == 0, "x").alias("flagged_for"))
+    return verify.merged_parts(c, ["num"], {"provisions": 6}).select("num", "ord", "significance", "quote", "part", F.col("place").cast("long").alias("place"))
+
+
+@query(with_("statute_ref", "obill") + """SELECT b.session, b.num, label, statute, action, bill_section, words_added, words_deleted, CASE WHEN statute IS NOT NULL THEN 'ok' WHEN b.num % 2 = 0 THEN 'no references found' ELSE 'text not fetched' END AS status
+    FROM obill b LEFT JOIN (SELECT * FROM statute_ref WHERE num % 5 <> 0) r ON b.num = r.num""")
+def bill_statutes(spark: SparkSession, d: str) -> DataFrame:
+    bills = ad.orders_as_bills(spark, d)
+    return statutes.of_bill(ad.refs(spark, d).where("num % 5 != 0"), bills, bills.where("num % 2 = 0"))
+
+
+@query(with_("history", "bill", more=FOLD) + "SELECT session, num, label FROM bill WHERE num IN (SELECT num FROM track WHERE outcome = 'vetoed')")
+def vetoed_bills(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.restricted(ad.bills(spark, d), _track(spark, d).where("outcome = 'vetoed'"), DOC).select(*DOC, "label")
+
+
 GUARD_TEXTS = ["The sponsor intends to help", "Claimants' representatives must file", "Representative Smith said so", "A landlord can levy a fee", "Removes the requirement to file", "motivated by a pretext", "The agency is able to act", "It may not be levied"]
 GUARD_QUOTES = ["may not be levied", "Compensation may not exceed 125 percent", "shall not apply", "is permitted"]
 

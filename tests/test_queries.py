@@ -85,6 +85,8 @@ def test_small_operators(spark):
     head = spark.createDataFrame([("s", 1, "BILL")], "session string, num long, header string")
     blocks = spark.createDataFrame([("s", 1, k, 1, 5, "x" * 50) for k in range(5)], "session string, num long, block_ix long, changed long, line long, passage string")
     assert verify.brief_parts(head, blocks, 100).count() == 3 and "[line 5]" in verify.briefs(head, blocks).first().text
+    totals = spark.createDataFrame([("s", 1, 1200, 3)], "session string, num long, space_words_added long, space_words_deleted long")
+    assert "adds 1,200 words and deletes 3." in verify.briefs(head, blocks, totals).first().text
     prov = spark.createDataFrame([("s", 1, 0, "1.01", "major", "h", "e", "q")], "session string, num long, ord int, statute string, significance string, heading string, effect string, quote string")
     assert "1. [major] h (s. 1.01)" in verify.provision_digest(head, prov).first().text
     claims = spark.createDataFrame([("s", 1, 0, "as printed here", "c", "failed", None), ("s", 1, 1, "nowhere to be", "c", "failed", None)], "session string, num long, ord int, quote string, consequence string, quote_status string, flagged_for string").withColumn("drop_reason", verify.F.lit("x"))
