@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from actfold.functions import rules
 from actfold.functions import text as tx
@@ -43,10 +44,6 @@ def sections(flat: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("bill_section", F.col("number").cast("int")).drop("number")
 
 
-def _category(verb: Column) -> Column:
-    return F.coalesce(rules.lookup(rules.ACTION_CATEGORY, verb), F.lit("amend"))
-
-
 def cross_reference(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Every statute that each document operates on, from sections and from the title.
 
@@ -57,40 +54,42 @@ def cross_reference(segments: DataFrame, keys: list[str]) -> DataFrame:
     what only the title promises comes last, without a section.
     """
     flat = flattened(segments, keys)
-    parts = sections(flat, keys)
-    chapter = F.regexp_extract("body", CHAPTER, 0) != ""
-    wide = chapter & (~F.col("head").rlike(STATUTE) | (F.regexp_instr("body", F.lit(CHAPTER)) - 1 < 120))
-    spots = placed(segments, keys).select(*keys, "start", "end", "kind", "text", "line")
-    seg = spots.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("s0"), F.col("end").alias("s1"), "kind", "text", "line")
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-
-    chapters = parts.where(wide).select(*keys, "bill_section", "start", F.regexp_extract("body", CHAPTER, 1).alias("chapter"), tx.cites_in(F.regexp_extract("body", CHAPTER, 2)).alias("members"), F.lower(F.regexp_extract("body", CHAPTER, 3)).alias("verb"))
-    first = chapters.join(seg, [*same, F.col("s0") >= F.col("start"), F.coalesce("line", F.lit(0)) != 0], "left").groupBy(*keys, "bill_section", "start", "chapter", "members", "verb").agg(F.min_by("line", "s0").alias("line_start"))
-    swept = first.withColumn("statute", F.explode(F.when(F.size("members") > 0, F.col("members")).otherwise(F.array("chapter"))))
-    swept = swept.select(*keys, F.regexp_replace("statute", r"\.+$", "").alias("statute"), _category(F.col("verb")).alias("action"), "bill_section", F.concat(F.lit("chapter "), "chapter").alias("scope"), "verb", "line_start", F.lit(None).cast("int").alias("line_end"), F.lit(0).cast("long").alias("words_added"), F.lit(0).cast("long").alias("words_deleted"))
-
-    full_form = F.col("head").rlike(STATUTE)
-    cite = F.when(full_form, F.regexp_extract("head", STATUTE, 1)).otherwise(F.regexp_extract("head", STATUTE_SHORT, 1))
+    head, body = F.col("head"), F.col("body")
+    full_form = head.rlike(STATUTE)
+    where = F.regexp_instr("body", F.lit(CHAPTER))
     at = F.when(full_form, F.regexp_instr("head", F.lit(STATUTE))).otherwise(F.regexp_instr("head", F.lit(STATUTE_SHORT)))
     said = F.lower(F.regexp_extract("head", VERB, 1))
-    verb = F.when(said != "", said).when(F.col("head").rlike(ADDED_TO), "added").otherwise("amended")
     opener = F.length(F.concat(F.lit("Section "), F.col("bill_section").cast("string"), F.lit(". ")))
-    scope = F.regexp_replace(F.regexp_replace(F.substring(F.col("head"), opener + 1, F.greatest(F.col("at") - 1 - opener, F.lit(0))), r"(?U)\s+", " "), "^[ ,]+|[ ,]+$", "")
-    opened = parts.where(~wide & (cite != "")).select(*keys, "bill_section", "start", "end", cite.alias("statute"), verb.alias("verb"), "head", at.alias("at")).withColumn("scope", F.left(scope, F.lit(160)))
-    words = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, tx.raw_words(F.col("text")))), F.lit(0)).cast("long")
-    lined = F.when(F.coalesce("line", F.lit(0)) != 0, F.col("line"))
-    measured = opened.join(seg, [*same, F.col("s1") > F.col("start"), F.col("s0") < F.col("end")], "left").groupBy(*keys, "statute", "verb", "bill_section", "start", "scope").agg(F.min(lined).alias("line_start"), F.max(lined).alias("line_end"), words("insert").alias("words_added"), words("delete").alias("words_deleted"))
-    measured = measured.select(*keys, F.regexp_replace("statute", r"\.+$", "").alias("statute"), _category(F.col("verb")).alias("action"), "bill_section", "scope", "verb", "line_start", "line_end", "words_added", "words_deleted")
-
-    body = swept.unionByName(measured)
-    titled = title_refs(flat, keys)
-    marked = body.join(titled.withColumn("in_title", F.lit(True)), [*keys, "action", "statute"], "left").withColumn("in_title", F.coalesce("in_title", F.lit(False))).withColumn("in_body", F.lit(True))
-    promised = titled.join(body.select(*keys, "action", "statute").distinct(), [*keys, "action", "statute"], "left_anti")
-    promised = promised.join(body.select(*keys, "statute").distinct().withColumn("in_body", F.lit(True)), [*keys, "statute"], "left").select(
-        *keys, "statute", "action", F.lit(None).cast("int").alias("bill_section"), F.lit("").alias("scope"), F.lit("").alias("verb"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(0).cast("long").alias("words_added"), F.lit(0).cast("long").alias("words_deleted"), F.lit(True).alias("in_title"), F.coalesce("in_body", F.lit(False)).alias("in_body")
-    )
-    out = marked.unionByName(promised)
-    return out.withColumn("action_label", F.coalesce(rules.lookup(rules.ACTION_LABEL, F.col("action")), F.col("action")))
+    between = F.substring(head, opener + 1, F.greatest(F.col("at") - 1 - opener, F.lit(0)))
+    parts = sections(flat, keys).withColumns({"at": at, "wide": (where > 0) & (~full_form | (where - 1 < 120))})
+    parts = parts.where("wide or at > 0").select(
+        *keys, "bill_section", "start", "end", "wide",
+        F.when(F.col("wide"), F.regexp_extract("body", CHAPTER, 1)).alias("chapter"),
+        F.when(F.col("wide"), tx.cites_in(F.regexp_extract(body, CHAPTER, 2))).otherwise(F.array(F.when(full_form, F.regexp_extract("head", STATUTE, 1)).otherwise(F.regexp_extract("head", STATUTE_SHORT, 1)))).alias("members"),
+        F.when(F.col("wide"), F.lower(F.regexp_extract("body", CHAPTER, 3))).when(said != "", said).when(head.rlike(ADDED_TO), "added").otherwise("amended").alias("verb"),
+        F.when(F.col("wide"), "").otherwise(F.left(F.regexp_replace(F.regexp_replace(between, r"(?U)\s+", " "), "^[ ,]+|[ ,]+$", ""), F.lit(160))).alias("scope"),
+    )
+
+    # Sections meet the segments they overlap; a chapter-wide one takes the first line from its start on, wherever that is.
+    seg = placed(segments, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("s0"), F.col("end").alias("s1"), "kind", "text", F.when(F.col("line") != 0, F.col("line")).alias("line"))
+    meets = [*[F.col(k) == F.col(f"_{k}") for k in keys], F.col("s1") > F.col("start"), F.when(F.col("wide"), F.col("line").isNotNull() & (F.col("s0") >= F.col("start"))).otherwise(F.col("s0") < F.col("end"))]
+    words = lambda k: F.coalesce(F.sum(F.when(~F.col("wide") & (F.col("kind") == k), tx.raw_words(F.col("text")))), F.lit(0)).cast("long")
+    own = [*keys, "bill_section", "start", "wide", "chapter", "members", "verb", "scope"]
+    met = parts.join(seg, meets, "left").groupBy(*own).agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min_by("line", F.when(F.col("line").isNotNull(), F.col("s0"))).alias("next"), words("insert").alias("words_added"), words("delete").alias("words_deleted"))
+    found = met.withColumn("statute", F.explode(F.when(F.size("members") > 0, F.col("members")).otherwise(F.array("chapter"))))
+    of_body = found.select(
+        *keys, F.regexp_replace("statute", r"\.+$", "").alias("statute"), F.coalesce(rules.lookup(rules.ACTION_CATEGORY, F.col("verb")), F.lit("amend")).alias("action"), "bill_section",
+        F.when(F.col("wide"), F.concat(F.lit("chapter "), "chapter")).otherwise(F.col("scope")).alias("scope"), "verb",
+        F.when(F.col("wide"), F.col("next")).otherwise(F.col("low")).alias("line_start"), F.when(~F.col("wide"), F.col("high")).alias("line_end"), "words_added", "words_deleted", F.lit(True).alias("_body"),
+    )
+
+    titled = title_refs(flat, keys).select(*keys, "statute", "action", F.lit("").alias("scope"), F.lit("").alias("verb"), F.lit(0).cast("long").alias("words_added"), F.lit(0).cast("long").alias("words_deleted"), F.lit(False).alias("_body"))
+    # Both kinds on one line: a title promise stays only where no section has the same action on the statute.
+    same, alike = Window.partitionBy(*keys, "statute", "action"), Window.partitionBy(*keys, "statute")
+    rows = of_body.unionByName(titled, allowMissingColumns=True)
+    rows = rows.withColumn("in_body", F.max("_body").over(alike)).withColumn("in_title", ~F.min("_body").over(same)).withColumn("_kept", F.col("_body") | ~F.max("_body").over(same))
+    rows = rows.where("_kept").drop("_kept", "_body")
+    return rows.withColumn("action_label", F.coalesce(rules.lookup(rules.ACTION_LABEL, F.col("action")), F.col("action")))
 
 
 def in_order(refs: DataFrame, keys: list[str]) -> DataFrame:
