@@ -131,7 +131,9 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
 
     Alternating large-star and small-star rounds over the edge table: each
     round is a grouped minimum (combined before the shuffle, so a hub node
-    sends one row a task) and a join back that adaptive execution can split.
+    sends one row a task) and a join back. The minima are written first: read
+    again, both sides of the join are shuffled for it alone, and adaptive
+    execution can split a hub's rows.
     Nothing is collected but a row count and a checksum a round.
     """
     now = work.save(edges.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
@@ -142,12 +144,14 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
             break
         seen = (n, check)
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = work.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
         large = work.save(large, "large")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        work.drop(least)
+        least = work.save(large.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         small = large.join(least.hint("merge"), "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
         small = work.save(small, "small")
+        work.drop(least)
         work.drop(now)
         work.drop(large)
         now = small

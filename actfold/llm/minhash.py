@@ -180,7 +180,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linkable = rows_of.where("fp1 is not null and doc_id is not null")
     classes = work.save(linkable.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "classes")
     spread = classes.select("rep", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1")
+    shared = work.save(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"), "shared")  # read again, so that a hot bucket's join can be split
     members = work.save(spread.join(shared.hint("merge"), "bucket").select("bucket", F.col("rep").alias("doc_id"), "n", "least"), "members")
     sets = work.save(sets_of(docs, members.select("doc_id").distinct()), "sets")
     stars = members.where("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
