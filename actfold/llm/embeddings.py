@@ -146,7 +146,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     coded = with_columns(classes.select("label", "vec_id", "n", "vec"), "vec", lambda: encode, "code array<long>")
     entries = work.save(coded.select("vec_id", "n", "vec", "code", "label", F.posexplode("code").alias("t", "part")).select(F.struct(F.col("label").cast("string").alias("l"), "t", "part").alias("b"), "*").select(F.xxhash64("b").alias("bucket"), "t", "vec_id", "n", "vec", "code", F.col("label").cast("string").alias("label")), "entries")
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = work.save(entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")  # read again, so that a hot bucket's join can be split
     dealt = entries.join(sizes.hint("merge"), "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "t", "vec_id", "n", "vec", "code", "label")
