@@ -101,7 +101,7 @@ def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
     """
     spark = df.sparkSession
     work = work or Scratch(spark)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(NULL_KEY))
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit(NULL_KEY), F.xxhash64(F.col(text_col)).cast("string")))  # null ids have no label; their keys are spread
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_key"), F.coalesce(host.cast("string"), F.lit(NULL_KEY)).alias("host"), F.coalesce(path.cast("string"), F.lit(NULL_KEY)).alias("path"))
     scored = with_columns(slim, "_text", lambda: lambda texts: [[features(t) for t in texts]], "_features array<double>").drop("_text")
     marks = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).cast("string").alias("_key")).agg(F.avg(F.col(label_col).cast("double")).alias("_label"))
