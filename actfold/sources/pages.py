@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from actfold import workers
 from actfold.functions import text as tx
 
 CELLS = "page {id}, section_id string, heading string, table_ix int, caption string, row_ix int, cell_ix int, is_header boolean, text string, hrefs array<string>"
@@ -108,6 +109,7 @@ def _job(pages: DataFrame, page_id: str, html: str, schema: str, rows_of) -> Dat
         for batch in batches:
             yield pd.DataFrame([(i, *row) for i, h in zip(batch["page"], batch["html"], strict=True) for row in rows_of(h)], columns=columns)
 
+    workers.reach(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page"), F.col(html).alias("html"))
     return rows.mapInPandas(run, schema.format(id=rows.schema["page"].dataType.simpleString()))
 
