@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from actfold import workers
+
 
 #: Stands for null in keys made of text.
 NULL_KEY = "\x00none"
@@ -21,6 +23,7 @@ ROWS_AT_ONCE = 1_000
 
 def short_batches(spark: SparkSession) -> None:
     """Texts may be long, so batches to Python are kept to fewer rows than Spark's default (a session setting)."""
+    workers.reach(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ROWS_AT_ONCE:
         spark.conf.set(key, str(ROWS_AT_ONCE))
@@ -111,6 +114,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        workers.reach(spark)
         self.spark, self.root, self.n = spark, f"{checkpoint_root(spark)}/actfold-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -165,6 +169,7 @@ def spans_text(spans: Column) -> Column:
 
 def sampled(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows at most, chosen by a hash of the key, so the same ones on every run."""
+    workers.reach(df.sparkSession)
     n = df.count()
     if n <= rows:
         return df
