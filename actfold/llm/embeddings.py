@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,16 +51,17 @@ class Codes:
             return
         self.mean = unit.mean(axis=0)
         flat = unit - self.mean
-        axes = np.linalg.eigh(flat.T @ flat)[1][:, ::-1][:, :bits]
-        rng = np.random.default_rng(seed)
-        if axes.shape[1] < bits:  # fewer dimensions than bits: further random directions
-            axes = np.concatenate((axes, np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0][:, : bits - axes.shape[1]]), axis=1)
-        view = flat @ axes
-        turn = np.linalg.qr(rng.standard_normal((axes.shape[1], axes.shape[1])))[0]
-        for _ in range(rounds):
-            u, _, v = np.linalg.svd(np.where(view @ turn >= 0, 1.0, -1.0).T @ view)
-            turn = (u @ v).T
-        self.axes = axes @ turn
+        axes = np.linalg.eigh(flat.T @ flat)[1][:, ::-1]
+        found: list[np.ndarray] = []
+        while (have := sum(x.shape[1] for x in found)) < bits:  # more bits than dimensions: further rotations, from other starts
+            some = axes[:, : bits - have]
+            view = flat @ some
+            turn = np.linalg.qr(np.random.default_rng(seed + have).standard_normal((some.shape[1], some.shape[1])))[0]
+            for _ in range(rounds):
+                u, _, v = np.linalg.svd(np.where(view @ turn >= 0, 1.0, -1.0).T @ view)
+                turn = (u @ v).T
+            found.append(some @ turn)
+        self.axes = np.concatenate(found, axis=1)
         self.cut = np.median(flat @ self.axes, axis=0)
 
     def substrings(self, vectors: list[np.ndarray], tables: int) -> np.ndarray:
@@ -73,14 +75,14 @@ class Codes:
         return np.stack([bits[:, t * each : (t + 1) * each] @ (1 << np.arange(each)) for t in range(tables)], axis=1)
 
 
-def fit_codes(rows: DataFrame, sample_rows: int, bits: int, tables: int, least: float) -> Codes | None:
+def fit_codes(rows: DataFrame, sample_rows: int, bits: int, least: float) -> Codes | None:
     """From about ``sample_rows`` vectors (vec, as bytes), those of the commonest dimension."""
     got = [np.frombuffer(r[0], np.float64) for r in sampled(rows, "vec_id", sample_rows).select("vec").collect()]
     if not got:
         return None
     dims = np.bincount([len(v) for v in got])
     most = int(dims.argmax())
-    return Codes(np.stack([v for v in got if len(v) == most]), max(tables, min(bits, most)) // tables * tables, least=least)
+    return Codes(np.stack([v for v in got if len(v) == most]), bits, least=least)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -104,14 +106,28 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, bits: int = 64, tables: int = 8, block: int = 1024, sample_rows: int = 6_000, work: Scratch | None = None) -> DataFrame:
+def layout(rows: int, least: float, miss: float = 0.03, at_once: int = 256) -> tuple[int, int]:
+    """(bits of a substring, tables) for labels of up to ``rows`` vectors.
+
+    Substrings grow with the logarithm of the rows, from 8 bits on, so buckets
+    stay near ``at_once`` rows. A bit of a pair at cosine ``least`` agrees with
+    chance 1 - angle / pi; tables are added until such a pair shares no
+    substring with chance ``miss`` only, whatever the substrings' length.
+    """
+    each = max(8, math.ceil(math.log2(max(1, rows) / at_once)))
+    shared = (1 - math.acos(least) / math.pi) ** each
+    return each, math.ceil(math.log(miss) / math.log(1 - shared))
+
+
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, at_once: int = 256, block: int = 1024, sample_rows: int = 6_000, work: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors of equal labels are linked when their cosine, in double precision,
-    is at least ``least``. Candidates share a substring of their codes: with 8
-    tables of 8 bits every pair within 7 bits of 64 is found, and nearly all
-    within 12; at cosine 0.93 about 8 bits differ. Every vector is indexed;
-    only the rotation is learned from about ``sample_rows`` of them.
+    is at least ``least``. Candidates share a substring of their codes, of a
+    length and in as many tables as layout() says: with 8 tables of 8 bits
+    every pair within 7 bits of 64 is found and nearly all within 12, while at
+    cosine 0.93 about 8 bits differ. Every vector is indexed; only the rotation
+    is learned from about ``sample_rows`` of them.
 
     Equal vectors of a label are one class from the start, counted. A bucket is
     dealt into blocks whose pairs meet in groups of at most about two blocks;
@@ -139,7 +155,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = work.save(with_columns(given, "vector", lambda: pack, "vec binary, fp1 long, fp2 long").drop("vector"), "vectors")
     live = rows.where("vec is not null and label is not null and vec_id is not null")
     classes = work.save(live.groupBy("label", "fp1", "fp2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
-    codes = spark.sparkContext.broadcast(fit_codes(classes, sample_rows, bits, tables, least))  # dimensions x bits numbers
+    each, tables = layout(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, least, at_once=at_once)
+    codes = spark.sparkContext.broadcast(fit_codes(classes, sample_rows, each * tables, least))  # dimensions x bits numbers
 
     def encode(values: list) -> list[list]:
         return [codes.value.substrings([np.frombuffer(v, np.float64) for v in values], tables).tolist()] if values else [[]]

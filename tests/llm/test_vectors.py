@@ -45,6 +45,14 @@ def test_links_equal_all_pairs(spark):
     assert got[600].n_links == 0 and got[605].component_id == 605
 
 
+def test_longer_substrings_find_as_much(spark):
+    assert embeddings.layout(5_000, 0.93) == (8, 8) and embeddings.layout(256 << 12, 0.93) == (12, 15)
+    rows = [r for r in table(500, 24, seed=9) if r[0] is not None]
+    df = spark.createDataFrame(rows, VECS)
+    one = sum(r.n_links for r in embeddings.near_vectors(df).collect())
+    assert sum(r.n_links for r in embeddings.near_vectors(df, at_once=1 / 16).collect()) >= 0.97 * one > 100
+
+
 def test_one_hot_group_counts_every_link(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal(16)
