@@ -735,3 +735,76 @@ def bill_pages(spark: SparkSession, d: str) -> DataFrame:
     committees = b.where("num < 2").select(pick_name(F.col("num")).alias("name"))
     claims = ad.claims(spark, d).withColumn("session", F.lit("2024"))
     return writes.bill_pages(_track(spark, d), b, refs, stats, _areas(spark, d), areas.split_sponsors(b, committees), claims)
+
+
+# --- replies, briefs, records ------------------------------------------------------------
+
+REASONS = ["headline cut at the 110-character limit", "claims a repeal ('x')", "unparseable JSON", "reads a prohibition as permission"]
+NOTES = [("cut at the", "write a shorter one"), ("claims a repeal", "check what is struck"), ("reads a prohibition", "may not forbids")]
+
+
+@query(f"SELECT conv_id, turn, ['write a shorter one', 'check what is struck', 'return valid JSON', 'may not forbids'][(conv_id + turn) % 4 + 1] AS note, {ad._list(REASONS)}[(conv_id + turn) % 4 + 1] AS reason FROM conversations")
+def retry_notes(spark: SparkSession, d: str) -> DataFrame:
+    c = ad.table(spark, d, "conversations").select("conv_id", "turn", ad.pick(REASONS, (F.col("conv_id") + F.col("turn")) % 4).alias("reason"))
+    return c.withColumn("note", verify.retry_note(F.col("reason"), NOTES, "return valid JSON"))
+
+
+@query(with_("segment", "claim", more=READ_SQL) + f""", x AS (SELECT c.*, {CANON('quote')} AS q, {LOOSE('quote')} AS l, {CANON('printed')} AS a3, {LOOSE('printed')} AS l3, {CANON('amended')} AS a1, {CANON('standing')} AS a2, {LOOSE('amended')} AS l1, {LOOSE('standing')} AS l2 FROM claim c LEFT JOIN rd USING (session, num) WHERE ord % 2 = 0)
+    SELECT session, num, ord, NOT (num % 3 = 0) AND len(string_split(q, ' ')) >= 3 AND coalesce(contains(a1, q) OR contains(a2, q) OR contains(a3, q) OR (l <> '' AND (contains(l1, l) OR contains(l2, l) OR contains(l3, l))), false) AS restored FROM x""")
+def claims_reverified(spark: SparkSession, d: str) -> DataFrame:
+    c = ad.claims(spark, d).withColumn("quote_status", F.when(F.col("ord") % 2 == 0, "failed").otherwise("exact")).withColumn("drop_reason", F.lit(None).cast("string")).withColumn("flagged_for", F.lit(None).cast("string")).withColumn("consequence", F.when(F.col("num") % 3 == 0, "The sponsor wants it").otherwise("It applies"))
+    return verify.reverified(c, segments.readings(ad.segments(spark, d), DOC), DOC).select(*DOC, "ord", "restored")
+
+
+@query("SELECT conv_id AS num, role AS pass, min(turn) FILTER (turn % 3 = 0) AS attempt, count(*) FILTER (turn % 3 <> 0) AS bad FROM conversations GROUP BY ALL")
+def replies_accepted(spark: SparkSession, d: str) -> DataFrame:
+    c = ad.table(spark, d, "conversations")
+    text = F.when(F.col("turn") % 3 == 0, '{"one_line": "Adds a fee.", "summary": ["x"]}').otherwise(F.concat(F.lit("{"), "text"))
+    replies = c.select(F.col("conv_id").alias("num"), F.col("role").alias("pass"), F.col("turn").alias("attempt"), text.alias("text"))
+    out = verify.accepted(replies, replies.select("num", F.lit("").alias("deleted")).distinct(), ["num"])
+    bad = replies.withColumn("bad", F.col("attempt") % 3 != 0).groupBy("num", "pass").agg(F.count_if("bad").alias("bad"))
+    return out.join(bad, ["num", "pass"]).where(F.size("failures") <= F.col("bad")).select("num", "pass", "attempt", "bad")
+
+
+@query("SELECT doc_id, n_chars, unnest([0, 1, 2]) AS ord, unnest(['summary', 'provisions', 'implications']) AS pass, unnest([900, 2000, 2000]) AS budget FROM documents")
+def model_requests(spark: SparkSession, d: str) -> DataFrame:
+    docs = ad.table(spark, d, "documents").select("doc_id", "n_chars")
+    return verify.requests(docs, {"summary": 900, "provisions": 2000, "implications": 2000})
+
+
+@query(with_("segment") + "SELECT session, num, row_number() OVER (PARTITION BY num ORDER BY seg_ix) - 1 AS seg_ix, kind, text, line, page FROM segment")
+def packed_segments(spark: SparkSession, d: str) -> DataFrame:
+    s = ad.segments(spark, d)
+    code = F.array_position(F.array(F.lit("plain"), F.lit("insert"), F.lit("delete")), F.col("kind")) - 1
+    part = F.array(code.cast("string"), F.col("line").cast("string"), F.col("page").cast("string"), F.col("text"))
+    packed = s.groupBy(*DOC).agg(F.to_json(segments.ordered(part)).alias("segments"))
+    out = pages.packed_segments(packed, DOC)
+    return out.select(*DOC, F.col("seg_ix").cast("long").alias("seg_ix"), "kind", "text", F.col("line").cast("long").alias("line"), F.col("page").cast("long").alias("page"))
+
+
+@query(with_("bill") + "SELECT session, num, 'GENERAL BILL' AS subject, array_to_string(list_filter(list_transform(string_split(sponsor, ';'), lambda x: trim(x)), lambda x: x <> ''), '; ') AS sponsor, cosponsors, CASE WHEN regexp_matches(label, '^(CS/)*S') THEN 'Senate' ELSE 'House' END AS chamber FROM bill")
+def bylines(spark: SparkSession, d: str) -> DataFrame:
+    b = ad.bills(spark, d)
+    line = tx.byline(F.concat(F.lit("GENERAL BILL by "), "sponsor", F.lit(" ; (CO-INTRODUCERS) "), "cosponsors"))
+    return b.select(*DOC, line.alias("b"), tx.chamber_of(F.col("label")).alias("chamber")).select(*DOC, "b.subject", "b.sponsor", "b.cosponsors", "chamber")
+
+
+def _map_sql(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{_q(v)}'" for k, v in table.items()) + "}"
+
+
+@query(with_("history", "bill", more=FOLD) + f"SELECT session, num, {_map_sql(rules.KIND_LABEL)}[kind] AS kind_label, {_map_sql(rules.OUTCOME_LABEL)}[outcome] AS outcome_label, CASE WHEN kind = 'bill' THEN {ad._list(rules.STAGE_LABEL)} ELSE {ad._list(rules.RESOLUTION_LABEL)} END[rank + 1] AS stage_label, CASE WHEN chapter_law IS NOT NULL THEN 'LAW · ch ' || chapter_law ELSE upper({_map_sql(rules.OUTCOME_LABEL)}[outcome]) END AS status FROM track")
+def progress_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _track(spark, d).select(*DOC, "kind_label", "outcome_label", "stage_label", tx.status_text(F.col("chapter_law"), F.col("outcome_label")).alias("status"))
+
+
+@query(with_("history", "statute_ref", "bill", more=AREA_CTE + ", " + PAYLOAD) + "SELECT 'daily' AS product, session, '2024-01-06' AS generated, string_agg(num || ' ' || area || ' ' || one_line, '|' ORDER BY num) AS bills FROM rows_ GROUP BY session")
+def digest_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = digest.documents(_payload(spark, d), "daily", "2024-01-06")
+    return docs.withColumn("bills", F.array_join(F.transform("bills", lambda b: F.concat_ws(" ", b["num"].cast("string"), b["area"], b["one_line"])), "|"))
+
+
+@query()
+def brief_part_texts(spark: SparkSession, d: str) -> DataFrame:
+    docs = ad.table(spark, d, "documents").select(F.lit("d").alias("session"), F.col("doc_id").alias("num"), F.concat(F.lit("BILL: "), "source").alias("header"))
+    return verify.brief_parts(docs, _blocks(spark, d), 2000)
