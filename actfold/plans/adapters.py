@@ -99,6 +99,36 @@ def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(body).withColumn("page", F.lit(1).cast("long")).where("text != ''")
 
 
+def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html): a record page of every order, its line items as history, texts, votes, amendments, citations and related bills."""
+    li = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
+    n, part, supp = (F.col(c).cast("string") for c in ("n", "l_partkey", "l_suppkey"))
+    cell = lambda *c: F.concat(F.lit("<td>"), *[F.lit(x) if isinstance(x, str) else x for x in c], F.lit("</td>"))
+    row = lambda *cells: F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+    link = lambda *c: F.concat(F.lit('<a href="'), *[F.lit(x) if isinstance(x, str) else x for x in c], F.lit('">x</a>'))
+    parts = {
+        "history": row(cell(F.date_format("l_shipdate", "M/d/yyyy")), cell("House"), cell("&bull; Filed ", part, "<br>&bull; Read ", supp)),
+        "texts": row(cell("v", n), cell("1/1/2024"), cell(link("/t/", part, "/HTML"), " ", link("/t/", part, "/PDF"))),
+        "votes": row(cell("v", n), cell("Committee ", supp), cell("1/2/2024"), cell(F.col("l_returnflag"))),
+        "amendments": row(cell(part, " - Delete all"), cell("S", supp), cell("1/3"), cell("Adopted"), cell(link("/m/", n))),
+        "cites": row(cell(link("/s/", part), part, ".01")),
+        "related": row(cell(link("/b/", part), "HB ", part), cell("Subject"), cell("S", supp), cell("Identical"), cell("Died")),
+        "analyses": row(cell("Analysis"), cell(part), cell("Rules"), cell("1/4/2024"), cell(link("/a/", supp))),
+    }
+    items = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", *[v.alias(k) for k, v in parts.items()]))).alias("a"))
+    rows = lambda k: F.concat(F.lit("<table><tbody>"), F.array_join(F.transform("a", lambda x: x[k]), ""), F.lit("</tbody></table>"))
+    block = lambda at, head, k: F.concat(F.lit(f'<div id="{at}">{head}'), rows(k), F.lit("</div>"))
+    o = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    key = F.col("o_orderkey").cast("string")
+    html = F.concat(
+        F.lit("<html><body><h2>CS/HB "), key, F.lit(": Order &amp; "), F.col("o_orderpriority"), F.lit('</h2><p>GENERAL BILL by <a href="/Senators/S3">Roth</a>; (CO-INTRODUCERS) Pizzo</p><p class="width80">An act.</p>'),
+        F.lit('<div id="snapshot"><span class="bold">Effective Date:</span> 7/1/2024 <span class="bold">Last Action:</span> Chapter No. 2024-'), key, F.lit(' Bill Text: x<span class="bold">House Committee References</span><ol><li>Rules (RUL)<li>Taxes '), F.col("o_custkey").cast("string"), F.lit(" (TAX)</ol></div>"),
+        block("tabBodyBillHistory", "", "history"), block("tabBodyBillText", "", "texts"), block("tabBodyVoteHistory", "<h5>Committee votes</h5>", "votes"), block("FloorAmendmentASC", "", "amendments"),
+        block("tabBodyCitations", "<h4>Citations - Statutes (2)</h4>", "cites"), block("tabBodyRelatedBills", "", "related"), block("tabBodyAnalyses", "", "analyses"), F.lit("</body></html>"),
+    )
+    return o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as quotes of documents: each is asked of documents by number, in part altered."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id")

@@ -202,12 +202,17 @@ def bill_list(cells: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def bill_heads(blocks: DataFrame) -> DataFrame:
     """(page, label, title, chamber, subject, sponsor, cosponsors, long_title, sponsor_url) from a page's heading and byline."""
-    head = blocks.where("tag = 'h2'").groupBy("page").agg(F.min_by("text", "ix").alias("head"), F.min("ix").alias("at"))
-    line = blocks.where("tag = 'p'").join(head.select("page", "at"), "page").where("ix > at").groupBy("page").agg(F.min_by("text", "ix").alias("line"))
-    long = blocks.where("tag = 'p' and array_contains(split(class, ' '), 'width80')").groupBy("page").agg(F.min_by("text", "ix").alias("long_title"))
-    link = blocks.where(F.col("tag").eqNullSafe("a") & F.col("href").rlike("/(Senators|Representatives)/")).groupBy("page").agg(F.min_by("href", "ix").alias("sponsor_url"))
+    tag, ix = F.col("tag"), F.col("ix")
+    at = F.min(F.when(tag == "h2", ix)).over(Window.partitionBy("page"))
+    first = lambda c, when: F.min_by(c, F.when(when, ix))
+    rows = blocks.where(tag.isin("h2", "p", "a")).withColumn("at", at).groupBy("page").agg(
+        first("text", tag == "h2").alias("head"),
+        first("text", (tag == "p") & (ix > F.col("at"))).alias("line"),
+        first("text", (tag == "p") & F.array_contains(F.split("class", " "), "width80")).alias("long_title"),
+        first("href", (tag == "a") & F.col("href").rlike("/(Senators|Representatives)/")).alias("sponsor_url"),
+    )
+    rows = rows.where("head is not null")
     colon = F.contains("head", F.lit(":"))
-    rows = head.join(line, "page", "left").join(long, "page", "left").join(link, "page", "left")
     label = F.trim(F.when(colon, F.substring_index("head", ":", 1)).otherwise(F.col("head")))
     title = F.trim(F.when(colon, F.regexp_replace("head", "^[^:]*:", "")).otherwise(F.col("head")))
     by = tx.byline(F.coalesce("line", F.lit("")))
@@ -216,9 +221,8 @@ def bill_heads(blocks: DataFrame) -> DataFrame:
 
 def snapshots(blocks: DataFrame, section: str = "snapshot") -> DataFrame:
     """(page, effective_date, last_action, chapter_law, chapter_law_url) from the snapshot's text and links."""
-    whole = blocks.where((F.col("section_id") == section) & (F.col("tag") == "div")).groupBy("page").agg(F.max_by("text", F.length("text")).alias("t"))
-    link = blocks.where((F.col("section_id") == section) & F.col("href").rlike(r"laws\.flrules\.org")).groupBy("page").agg(F.trim(F.min_by("href", "ix")).alias("chapter_law_url"))
-    rows = whole.join(link, "page", "left")
+    law_link = F.col("href").rlike(r"laws\.flrules\.org")
+    rows = blocks.where(F.col("section_id") == section).groupBy("page").agg(F.max_by("text", F.when(F.col("tag") == "div", F.length("text"))).alias("t"), F.trim(F.min_by("href", F.when(law_link, F.col("ix")))).alias("chapter_law_url")).where("t is not null")
     law = F.regexp_extract("t", r"Chapter No\.\s*([\d-]+)", 1)
     return rows.select("page", F.trim(F.regexp_extract("t", r"Effective Date:\s*(.*?)\s*Last Action:", 1)).alias("effective_date"), F.trim(F.regexp_extract("t", r"Last Action:\s*(.*?)(?:\s*Bill Text:|$)", 1)).alias("last_action"), law.alias("chapter_law"), F.when(law != "", F.coalesce("chapter_law_url", F.lit(""))).otherwise("").alias("chapter_law_url"))
 
@@ -235,9 +239,9 @@ def committee_refs(blocks: DataFrame, section: str = "snapshot") -> DataFrame:
 
 def members(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(page, url, district, name, party) of member pages; pages(page, url)."""
-    party = blocks.where((F.col("tag") == "p") & F.col("text").rlike(r"^Party:\s*\S")).groupBy("page").agg(F.min_by(F.regexp_extract("text", r"^Party:\s*(\S.*?)\s*$", 1), "ix").alias("party"))
-    name = blocks.where(F.col("tag").isin("h2", "h3", "h4") & F.startswith("text", F.lit("Senator "))).groupBy("page").agg(F.min_by(F.substring("text", 9, 1000), "ix").alias("name"))
-    rows = pages.select("page", "url").join(party, "page", "left").join(name, "page", "left")
+    is_party, is_name = (F.col("tag") == "p") & F.col("text").rlike(r"^Party:\s*\S"), F.col("tag").isin("h2", "h3", "h4") & F.startswith("text", F.lit("Senator "))
+    found = blocks.groupBy("page").agg(F.min_by(F.regexp_extract("text", r"^Party:\s*(\S.*?)\s*$", 1), F.when(is_party, F.col("ix"))).alias("party"), F.min_by(F.substring("text", 9, 1000), F.when(is_name, F.col("ix"))).alias("name"))
+    rows = pages.select("page", "url").join(found, "page", "left")
     return rows.select("page", "url", F.regexp_extract("url", r"/Senators/[Ss](\d+)\b", 1).try_cast("int").alias("district"), F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), r'\s*"[^"]*"\s*', " ")).alias("name"), F.coalesce("party", F.lit("")).alias("party"))
 
 
