@@ -40,7 +40,7 @@ class PieceIds:
     are those of the pieces, which recur. Other texts are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,7 +79,7 @@ class PieceIds:
 
     def __call__(self, texts: list) -> list[bytes]:
         out: list[bytes] = []
-        for chunk in text_chunks(texts, 8_000_000):
+        for chunk in text_chunks(texts, 3_000_000):
             odd = [bool(t) and ("<|" in t or bool(_ODD.search(t))) for t in chunk]
             plain = pa.array([t if t and not o else "" for t, o in zip(chunk, odd, strict=True)], pa.large_string())
             words = pc.utf8_split_whitespace(pc.utf8_lower(plain))
@@ -143,7 +143,7 @@ def windows_of(lengths: list[int], capacity: int, piece: int) -> list[list[tuple
     return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[tuple[list, list]]:
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 3_000_000) -> Iterator[tuple[list, list]]:
     """Ids and texts of several batches, until they have about ``most`` characters, so that words are looked up together."""
     ids, texts, n = [], [], 0
     for batch in batches:

@@ -154,6 +154,18 @@ def redact(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:
     return "".join([*out, text[at:]])
 
 
+def redact_documents(df: DataFrame, text_col: str = "text", model: MarkovPair | None = None) -> DataFrame:
+    """df with clean_text and n_secrets: the text with its spans replaced, and how many there were; nulls and empties as in find_secrets()."""
+    pair = model or MarkovPair(None)
+
+    def clean(text: str | None) -> tuple[str | None, int]:
+        base = base_spans(text) if text else []
+        found = base + pair.spans(text, base) if text else []
+        return redact(text, [{"start": a, "end": b} for _, a, b in found]), len(found)
+
+    return with_columns(df, text_col, lambda: lambda texts: [list(c) for c in zip(*map(clean, texts), strict=True)] or [[], []], "clean_text string, n_secrets long")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from find_secrets()."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
