@@ -51,6 +51,17 @@ def test_stages(spark):
         docs = out
 
 
+def test_near_copies_from_four_fifths_on_go(spark):
+    texts = {}
+    for k in range(12):
+        w = [f"w{k}_{i}" for i in range(104)]
+        texts[k], texts[100 + k] = " ".join(w), " ".join("new" if i in (30, 70) else x for i, x in enumerate(w))  # 90 of 110 shingles
+        texts[200 + k] = " ".join("other" if i in (20, 50, 80) else x for i, x in enumerate(w))  # 85 of 115
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], DOCS)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i, _, c in brute(list(texts.items()), percent=80) if i == c} == {*range(12), *range(200, 212)}
+
+
 def test_one_of_repeated_rows_stays(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", "s", 5)] * 3 + [(None, "q", "en", "s", 1)], DOCS)
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == ["1", "None"]
