@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actfold.functions import text as tx
 from actfold.llm import embeddings, language, minhash, mixing, packing, pii, quality, secrets, sharding, topk
-from actfold.llm.common import pick
+from actfold.llm.common import Scratch, pick
+from actfold.operators import lookup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +64,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("_cell.topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op8_pii, op9_packing, op10_mixing)}
+def companion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a component of near-duplicates, over their whole texts."""
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
+    docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))  # of rows that share an id, one
+    work = Scratch(spark)
+    found = work.save(minhash.near_duplicates(docs, work=work).where("n_shingles > 0").select("doc_id", F.col("component_id").alias("component")), "found")
+    shared = found.groupBy("component").count().where("count > 1").select("component")
+    found = found.join(shared.hint("merge"), "component", "left_semi")
+    rows = work.save(docs.join(found.hint("merge"), "doc_id").select("doc_id", "component", tx.canonical(F.col("text")).alias("text")), "texts")
+    return lookup.sequence_ratios(rows).select("doc_id", "other", F.round("ratio", 6).alias("ratio"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op8_pii, op9_packing, op10_mixing, companion_sequences)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links between nodes(id) as edge(a, b), both ways, to the smallest id that each reaches.
 _REACH = "reach AS (SELECT id AS a, id AS b FROM node UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a), comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,15 +130,96 @@ def companions(related: DataFrame, words: DataFrame) -> DataFrame:
     return out.withColumn("ratio", 2 * F.coalesce("shared", F.lit(0)) / (F.col("total") + F.col("other_total")))
 
 
+def matched(a: np.ndarray, b: np.ndarray) -> int:
+    """Items in the matching blocks of two sequences of numbers from 0: what SequenceMatcher(None, a, b, autojunk=False) finds.
+
+    Short ranges go to SequenceMatcher. In longer ones the longest block is
+    found by halving its length: runs of every power of two have numbers
+    (prefix doubling), and two of them name a run of any length, so a range
+    costs about its length, however often its words repeat.
+    """
+    named, n = [np.concatenate((a, [-1], b)).astype(np.int64)], len(a)
+    while 2 << (len(named) - 1) <= min(n, len(b)):
+        last, step = named[-1], 1 << (len(named) - 1)
+        named.append(np.unique(last[:-step] * (len(last) + 1) + last[step:], return_inverse=True)[1])
+
+    def runs(lo: int, hi: int, size: int) -> np.ndarray:
+        k = size.bit_length() - 1
+        x = named[k]
+        return x[lo : hi - size + 1] * (len(x) + 1) + x[lo + size - (1 << k) : hi + 1 - (1 << k)]
+
+    total, todo = 0, [(0, n, n + 1, n + 1 + len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if (a1 - a0) * (b1 - b0) <= 40_000:
+            if a1 > a0 and b1 > b0:
+                total += sum(m.size for m in SequenceMatcher(None, named[0][a0:a1].tolist(), named[0][b0:b1].tolist(), autojunk=False).get_matching_blocks())
+            continue
+        size, over = 0, min(a1 - a0, b1 - b0) + 1
+        while over - size > 1:
+            mid = (size + over) // 2
+            size, over = (mid, over) if np.isin(runs(a0, a1, mid), runs(b0, b1, mid)).any() else (size, mid)
+        if size:
+            x, y = runs(a0, a1, size), runs(b0, b1, size)
+            i = int(np.isin(x, y).argmax())
+            j = int((y == x[i]).argmax())
+            total += size
+            todo += [(a0, a0 + i, b0, b0 + j), (a0 + i + size, a1, b0 + j + size, b1)]
+    return total
+
+
+def agreement(left: list, right: list, matcher: SequenceMatcher | None = None) -> float:
+    """2 x matching blocks over both lengths; ``matcher``, if given, has ``right`` as its second sequence."""
+    if len(left) * len(right) <= 1_000_000:
+        matcher = matcher or SequenceMatcher(None, b=right, autojunk=False)
+        matcher.set_seq1(left)
+        return matcher.ratio()
+    at: dict = {}
+    a, b = (np.array([at.setdefault(w, len(at)) for w in x], np.int64) for x in (left, right))
+    return 2 * matched(a, b) / (len(a) + len(b))
+
+
 def sequence_ratio(pairs: DataFrame, left: str = "left_words", right: str = "right_words") -> DataFrame:
     """pairs with ratio: agreement of two word sequences, 2 x matching blocks over both lengths, on the candidate pairs only."""
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+        return pd.Series([agreement(list(x), list(y)) for x, y in zip(a, b, strict=True)])
 
     return pairs.withColumn("ratio", ratio(left, right))
 
 
+def sequence_ratios(docs: DataFrame, block: int = 48) -> DataFrame:
+    """(doc_id, other, ratio) for all pairs, doc_id > other, of docs(doc_id, component, text) with one component: sequence_ratio of their words, parted by spaces.
+
+    A component is dealt into blocks, and every pair of blocks meets in one
+    group of at most about two blocks of texts, so no task holds a component
+    whole and a text is sent once a block instead of once a pair. Equal texts
+    agree wholly. Ids are taken to be distinct; a null id or text has no pairs.
+    """
+    live = docs.where("doc_id is not null and text is not null and component is not null")
+    sizes = live.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    dealt = live.join(sizes.drop("n").hint("merge"), "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "text")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        two = group["i"].iloc[0] != group["j"].iloc[0]
+        rows = sorted(zip(group["doc_id"], group["own"], group["text"], strict=True), key=lambda r: r[0])
+        words = {t: t.split(" ") for _, _, t in rows}
+        out = []
+        for k, (other, mine, right) in enumerate(rows):
+            matcher, known = SequenceMatcher(None, b=words[right], autojunk=False), {right: 1.0}
+            for doc, own, left in rows[k + 1 :]:
+                if two and own == mine:
+                    continue
+                if left not in known:
+                    known[left] = agreement(words[left], words[right], matcher)
+                out.append((doc, other, known[left]))
+        return pd.DataFrame(out, columns=["doc_id", "other", "ratio"])
+
+    return dealt.groupBy("component", "i", "j").applyInPandas(run, "doc_id long, other long, ratio double")
+
+
 def search_index(bills: DataFrame, track: DataFrame) -> DataFrame:
     """One row a bill of the search index: n number, l label, t title up to 120, o outcome, d status, s lower-cased text."""
     rows = bills.join(track.select(*BILL, "outcome", "outcome_label"), BILL, "left").withColumn("outcome", F.coalesce("outcome", F.lit("pending"))).withColumn("outcome_label", F.coalesce("outcome_label", F.lit(rules.OUTCOME_LABEL["pending"])))

@@ -655,14 +655,6 @@ def companion_overlap(spark: SparkSession, d: str) -> DataFrame:
     return lookup.companions(related, words).withColumn("ratio", F.round("ratio", 9)).select("session", "num", "other", "shared", "total", "other_total", "ratio")
 
 
-@query()
-def companion_sequences(spark: SparkSession, d: str) -> DataFrame:
-    docs = ad.table(spark, d, "documents").where(F.length("text") < 3000).select("doc_id", "lang", F.split(tx.canonical(F.col("text")), " ").alias("w"))
-    lead = docs.select(F.slice("w", 1, 3).alias("k"), F.col("doc_id").alias("other"), F.col("w").alias("right_words"))
-    pairs = docs.select("doc_id", F.slice("w", 1, 3).alias("k"), F.col("w").alias("left_words")).join(lead.groupBy("k").agg(F.min_by("other", "other").alias("other"), F.min_by("right_words", "other").alias("right_words")), "k").where("doc_id > other")
-    return lookup.sequence_ratio(pairs).select("doc_id", "other", F.round("ratio", 6).alias("ratio"))
-
-
 # --- pages and geometry ------------------------------------------------------------------
 
 
