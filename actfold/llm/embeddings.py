@@ -75,14 +75,44 @@ class Codes:
         return np.stack([bits[:, t * each : (t + 1) * each] @ (1 << np.arange(each)) for t in range(tables)], axis=1)
 
 
-def fit_codes(rows: DataFrame, sample_rows: int, bits: int, least: float) -> Codes | None:
-    """From about ``sample_rows`` vectors (vec, as bytes), those of the commonest dimension."""
+def sample_of(rows: DataFrame, sample_rows: int) -> np.ndarray | None:
+    """About ``sample_rows`` vectors (vec, as bytes), those of the commonest dimension."""
     got = [np.frombuffer(r[0], np.float64) for r in sampled(rows, "vec_id", sample_rows).select("vec").collect()]
     if not got:
         return None
     dims = np.bincount([len(v) for v in got])
     most = int(dims.argmax())
-    return Codes(np.stack([v for v in got if len(v) == most]), bits, least=least)
+    return np.stack([v for v in got if len(v) == most])
+
+
+def turned(sample: np.ndarray, least: float, seed: int = 5) -> np.ndarray:
+    """For each sample vector another unit one at cosine ``least``, turned in a random direction."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    side = np.random.default_rng(seed).standard_normal(unit.shape)
+    side -= (side * unit).sum(axis=1, keepdims=True) * unit
+    size = np.linalg.norm(side, axis=1, keepdims=True)
+    return least * unit + math.sqrt(1 - least * least) * side / np.where(size > 0, size, 1)
+
+
+def fit_codes(sample: np.ndarray, each: int, tables: int, least: float, miss: float = 0.03, most: int = 64) -> tuple[Codes, int]:
+    """Codes and the tables they need, ``tables`` at least: pairs at cosine ``least`` made of sample vectors share no substring in a share ``miss`` at most.
+
+    layout() takes angles about the origin. Codes are cut about the mean, and
+    where vectors share a direction that widens the angle of a pair, so the
+    misses of the fitted codes decide (within two standard errors). Tables are
+    added, by half of what there are, until they are few enough; beyond
+    ``most`` tables a random rotation about the origin is taken, for which
+    layout() holds, at the price of fuller buckets.
+    """
+    first, some = tables, sample[np.random.default_rng(7).permutation(len(sample))[:2000]]
+    while True:
+        codes = Codes(sample, each * tables, least=least)
+        alike = codes.substrings(list(some), tables) == codes.substrings(list(turned(some, least)), tables)
+        if sample.shape[1] < 2 or (~alike.any(axis=1)).mean() <= miss + 2 * math.sqrt(miss * (1 - miss) / len(some)):
+            return codes, tables
+        if tables >= most:
+            return Codes(sample[:0], each * first, least=least), first
+        tables = min(most, tables + (tables + 1) // 2)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -124,7 +154,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Vectors of equal labels are linked when their cosine, in double precision,
     is at least ``least``. Candidates share a substring of their codes, of a
-    length and in as many tables as layout() says: with 8 tables of 8 bits
+    length and in as many tables as layout() says, or more where fit_codes()
+    finds that the codes of these vectors need them: with 8 tables of 8 bits
     every pair within 7 bits of 64 is found and nearly all within 12, while at
     cosine 0.93 about 8 bits differ. Every vector is indexed; only the rotation
     is learned from about ``sample_rows`` of them.
@@ -156,7 +187,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     live = rows.where("vec is not null and label is not null and vec_id is not null")
     classes = work.save(live.groupBy("label", "fp1", "fp2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
     each, tables = layout(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, least, at_once=at_once)
-    codes = spark.sparkContext.broadcast(fit_codes(classes, sample_rows, each * tables, least))  # dimensions x bits numbers
+    sample = sample_of(classes, sample_rows)
+    fitted, tables = (None, tables) if sample is None else fit_codes(sample, each, tables, least)
+    codes = spark.sparkContext.broadcast(fitted)  # dimensions x bits numbers
 
     def encode(values: list) -> list[list]:
         return [codes.value.substrings([np.frombuffer(v, np.float64) for v in values], tables).tolist()] if values else [[]]

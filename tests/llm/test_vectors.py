@@ -53,6 +53,18 @@ def test_longer_substrings_find_as_much(spark):
     assert sum(r.n_links for r in embeddings.near_vectors(df, at_once=1 / 16).collect()) >= 0.97 * one > 100
 
 
+def test_a_common_direction_loses_no_links(spark):
+    rng = np.random.default_rng(12)
+    x = 0.8**0.5 * np.full(64, 1 / 8) + 0.2**0.5 * rng.standard_normal((700, 64)) / 8  # unrelated ones have cosine 0.8
+    x = np.concatenate((x, embeddings.turned(x, 0.94)))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum() - len(x)
+    got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECS)).collect()
+    assert 1400 <= links < 3000 and 0.95 * links <= sum(r.n_links for r in got) <= links
+    codes, tables = embeddings.fit_codes(x, 8, 8, 0.93, most=8)  # no further tables allowed: about the origin
+    assert tables == 8 and not codes.mean.any()
+
+
 def test_one_hot_group_counts_every_link(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal(16)
