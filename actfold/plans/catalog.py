@@ -691,6 +691,21 @@ def geometry_marks(spark: SparkSession, d: str) -> DataFrame:
     return segments.marked_words(words, thin).groupBy("kind", "page").agg(F.count("*").alias("n"))
 
 
+WHOLE_SQL = """w AS (SELECT l_orderkey // 40 AS page, row_number() OVER () AS word_ix, (l_partkey % 500)::DOUBLE AS x0, (l_partkey % 500 + l_quantity)::DOUBLE AS x1, (l_suppkey % 60 * 10 + 100)::DOUBLE AS top, (l_suppkey % 60 * 10 + 110)::DOUBLE AS bottom FROM lineitem),
+    r AS (SELECT o_orderkey // 40 AS page, o_orderkey AS rule_ix, (o_custkey % 450)::DOUBLE AS r0, (o_custkey % 450 + 80)::DOUBLE AS r1, (o_orderkey % 600 + 100)::DOUBLE AS r_top FROM orders)"""
+
+
+@query(f"""WITH {WHOLE_SQL}, c AS (SELECT page, word_ix, rule_ix, (least(x1, r1) - greatest(x0, r0)) / greatest(x1 - x0, 0.01) AS cov, (r_top - top) / greatest(bottom - top, 0.01) AS frac FROM w JOIN r USING (page) WHERE top BETWEEN 120 AND 650 AND r_top BETWEEN top - 3 AND bottom + 4),
+    b AS (SELECT page, word_ix, CASE WHEN frac < 0.78 THEN 'delete' ELSE 'insert' END AS mark FROM c WHERE cov >= 0.45 QUALIFY row_number() OVER (PARTITION BY page, word_ix ORDER BY cov DESC, rule_ix) = 1)
+    SELECT coalesce(mark, 'plain') AS kind, page, count(*) AS n FROM w LEFT JOIN b USING (page, word_ix) WHERE top BETWEEN 120 AND 650 GROUP BY ALL""")
+def geometry_marks_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All words and rules, forty orders to a page, so there are more pages in larger tables and none grows."""
+    page = lambda key: F.floor(F.col(key) / 40)
+    words = ad.table(spark, d, "lineitem").select(page("l_orderkey").alias("page"), F.monotonically_increasing_id().alias("word_ix"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 500 + F.col("l_quantity")).cast("double").alias("x1"), (F.col("l_suppkey") % 60 * 10 + 100).cast("double").alias("top"), (F.col("l_suppkey") % 60 * 10 + 110).cast("double").alias("bottom"))
+    thin = ad.table(spark, d, "orders").select(page("o_orderkey").alias("page"), F.col("o_orderkey").alias("rule_ix"), (F.col("o_custkey") % 450).cast("double").alias("x0"), (F.col("o_custkey") % 450 + 80).cast("double").alias("x1"), (F.col("o_orderkey") % 600 + 100).cast("double").alias("top"), F.lit(0.5).alias("height"), F.lit(80.0).alias("width"))
+    return segments.marked_words(words, thin).groupBy("kind", "page").agg(F.count("*").alias("n"))
+
+
 # --- writes ------------------------------------------------------------------------------
 
 
