@@ -29,41 +29,51 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_AT_ONCE))
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by place, and the new name of each old one (of equal names, the first's).
+
+    Under these names neither case variants nor doubled names are ambiguous, and
+    nothing that an operator adds can clash; ``toDF(*df.columns)`` restores them.
+    """
+    at: dict[str, str] = {}
+    for i, name in enumerate(df.columns):
+        at.setdefault(name, f"_c{i}")
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), at
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Exactly the named columns, as new_name="old_name".
 
-    Columns are found by exact name and position, so further columns may have
-    any name, also one that differs in case only or occurs twice (the first
-    counts). Spark still prunes what is not picked.
+    Columns are found by exact name and place, so further columns may have any
+    name. Spark still prunes what is not picked.
     """
-    at = {}
+    own, at = numbered(df)
     for name in cols.values():
-        if name not in df.columns:
+        if name not in at:
             raise ValueError(f"no column {name!r} in {df.columns}")
-        at[name] = df.columns.index(name)
-    by_place = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
-    return by_place.select(*[F.col(f"_c{at[old]}").alias(new) for new, old in cols.items()])
+    return own.select(*[F.col(at[old]).alias(new) for new, old in cols.items()])
 
 
-def with_columns(df: DataFrame, text_col: str, start: Callable[[], Callable[[list], list[list]]], added: str) -> DataFrame:
-    """df with columns (``added``, as DDL) that Python makes of the text column, batch by batch.
+def with_columns(df: DataFrame, read: str | tuple[str, ...], start: Callable[[], Callable[..., list[list]]], added: str) -> DataFrame:
+    """df with columns (``added``, as DDL) that Python makes of the columns to read, batch by batch.
 
-    ``start`` is called once a task and returns what maps a list of texts to a
-    list of values for each added column. All other columns pass as they are,
-    by position; those named like an added one are replaced.
+    ``start`` is called once a task and returns what maps a list of values for
+    each column read to a list of values for each added column. All other
+    columns pass as they are, by place; those named like an added one are
+    replaced.
     """
     short_batches(df.sparkSession)
     new = T._parse_datatype_string(added)
     drop = {f.name.lower() for f in new}
     keep = [i for i, c in enumerate(df.columns) if c.lower() not in drop]
     names = [df.columns[i] for i in keep]
-    rows = df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[f"_c{i}" for i in keep])
-    at, kinds = names.index(text_col), list(to_arrow_schema(new).types)
+    rows = numbered(df)[0].select(*[f"_c{i}" for i in keep])
+    at, kinds = [names.index(c) for c in ((read,) if isinstance(read, str) else read)], list(to_arrow_schema(new).types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for batch in batches:
-            columns = make(batch.column(at).to_pylist())
+            columns = make(*[batch.column(k).to_pylist() for k in at])
             arrays = [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *new.names])
         pa.default_memory_pool().release_unused()
@@ -125,9 +135,10 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, work: Scratch) -> DataFrame:
