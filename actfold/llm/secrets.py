@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,12 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "markov")
 
+#: Tokens are scored whole, and otherwise by their parts between = and /, which join names and paths to values.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z0-9_-]{6,}")
+#: Alphabets of usual keys; each makes a kind of random string besides those of the labelled values.
+ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 START = len(SYMBOLS)
 CODES = np.full(128, START, dtype=np.int64)
@@ -48,43 +53,74 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _pairs(token: str) -> np.ndarray:
-    """Index of each pair of neighbouring characters, the first after a start mark."""
-    codes = CODES[np.frombuffer(token.encode("ascii"), dtype=np.uint8)]
-    return np.concatenate(([START], codes[:-1])) * (START + 1) + codes
+def _pairs(*tokens: str) -> np.ndarray:
+    """Index of each pair of neighbouring characters of the tokens, the first of each after a start mark."""
+    codes = CODES[np.frombuffer("\n".join(("", *tokens)).encode("ascii"), dtype=np.uint8)]
+    return (codes[:-1] * (START + 1) + codes[1:])[codes[1:] < START]
+
+
+def _uncovered(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the taken spans (by start) leave of a text."""
+    at = 0
+    for _, a, b in taken:
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    if at < len(text):
+        yield at, len(text)
 
 
 @dataclass(frozen=True)
 class MarkovPair:
-    """Log-likelihood ratio of each character pair, random against ordinary; None: no labelled samples of one kind."""
+    """Log-likelihood ratio of each character pair, random against ordinary, for each kind of random string; None: no labelled samples.
+
+    A token's ratio is that of the kind that fits it best. It is a secret at
+    ``least_total`` in all and ``least_mean`` a character.
+    """
 
     ratio: np.ndarray | None
-    least_total: float = 30.0
-    least_mean: float = 2.0
+    least_total: float = 24.0
+    least_mean: float = 1.7
 
     def score(self, token: str) -> float:
-        return 0.0 if self.ratio is None else float(self.ratio[_pairs(token)].sum())
+        return 0.0 if self.ratio is None else float(self.ratio[:, _pairs(token)].sum(axis=1).max())
+
+    def random(self, token: str) -> bool:
+        s = self.score(token)
+        return s >= self.least_total and s >= self.least_mean * len(token)
 
     def spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """Random tokens in what the taken spans, by start, leave of the text; one walk, so linear in both."""
         if self.ratio is None:
             return []
         found = []
-        for m in CANDIDATE.finditer(text):
-            token = m[0]
-            if token.isalpha() or not any(c.isdigit() for c in token) or any(a < m.end() and m.start() < b for _, a, b in taken):
-                continue
-            if (s := self.score(token)) >= self.least_total and s >= self.least_mean * len(token):
-                found.append(("markov", *m.span()))
+        for a, b in _uncovered(text, taken):
+            for m in CANDIDATE.finditer(text, a, b):
+                if self.random(m[0]):
+                    found.append(("markov", *m.span()))
+                elif "=" in m[0] or "/" in m[0]:
+                    found += [("markov", *p.span()) for p in PART.finditer(text, *m.span()) if self.random(p[0])]
         return found
 
 
+def _joined(words: list[str]) -> list[str]:
+    """Names as programs have them, made of neighbouring words: labelled ordinary, since prose holds few."""
+    out = []
+    for k, (a, b) in enumerate(zip(words[::2], words[1::2], strict=False)):
+        n = zlib.crc32(a.encode())
+        out.append((f"{a}_{b}", a.capitalize() + b.capitalize(), f"{a}-{b}{n % 100}", f"{a}_{2000 + n % 30}-{1 + n % 12:02d}-{1 + n % 28:02d}", f"{a}_{b}_{n % 10}".upper(), f"/{a}/{b}/{n % 1000}", f"{a}={b}+{n % 10}")[k % 7])
+    return out
+
+
 def fit_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, smoothing: float = 0.5, weight: float = 5.0) -> MarkovPair:
-    """Both models from labelled samples in about ``sample_docs`` documents.
+    """The models from labelled samples in about ``sample_docs`` documents.
 
     Labelled random: values that the base patterns find. Labelled ordinary:
-    identifiers of six characters and more outside those. The pair counts are
-    summed by Spark; at most 2 x 69 x 69 sums reach the driver. If either
-    label has no sample, the pair gives no spans.
+    identifiers of six characters and more outside those, and names joined of
+    neighbouring ones. The pair counts are summed by Spark; at most 2 x 69 x 69
+    sums reach the driver. Keys of an alphabet of which the documents hold no
+    sample have that alphabet's even pairs as model. If either label has no
+    sample, the pair gives no spans.
     """
     docs = sampled(pick(df, doc_id=id_col, text=text_col).where("text is not null"), "doc_id", sample_docs)
 
@@ -93,17 +129,13 @@ def fit_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
         sums = np.zeros((2, size), dtype=np.int64)
         for batch in batches:
             for text in batch["text"]:
-                spans, at, rest = base_spans(text), 0, []
-                for kind, a, b in spans:
-                    value = ASSIGN.match(text, a, b)[2] if kind == "assign" else text[a:b]
-                    sums[1] += np.bincount(_pairs(value), minlength=size)
-                for _, a, b in sorted(spans, key=lambda s: s[1]):
-                    rest.append(text[at : max(a, at)])
-                    at = max(at, b)
-                rest.append(text[at:])
-                tokens = [m for part in rest for m in IDENTIFIER.findall(part)]
-                if tokens:
-                    sums[0] += np.bincount(np.concatenate([_pairs(t) for t in tokens]), minlength=size)
+                spans = base_spans(text)
+                values = [ASSIGN.match(text, a, b)[2] if kind == "assign" else text[a:b] for kind, a, b in spans]
+                names = [m[0] for a, b in _uncovered(text, spans) for m in IDENTIFIER.finditer(text, a, b)]
+                names += _joined([t for t in names if t.isalpha()])
+                for k, tokens in enumerate((names, values)):
+                    if tokens:
+                        sums[k] += np.bincount(_pairs(*tokens), minlength=size)
         label, pair = np.nonzero(sums)
         yield pd.DataFrame({"label": label, "pair": pair, "n": sums[label, pair]})
 
@@ -116,8 +148,13 @@ def fit_markov(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     # Each row is drawn to its label's character frequencies, which also stand for rows without samples.
     single = counts.sum(axis=1)[:, None, :] + smoothing
     counts += weight * single / single.sum(axis=2, keepdims=True)
-    chance = counts / counts.sum(axis=2, keepdims=True)
-    return MarkovPair(np.log(chance[1] / chance[0]).ravel())
+    ordinary, labelled = counts / counts.sum(axis=2, keepdims=True)
+    kinds = [labelled]
+    for alphabet in ALPHABETS:
+        even = np.full((START + 1, START + 1), 1e-6)
+        even[:, CODES[[ord(c) for c in alphabet]]] = 1.0
+        kinds.append(even / even.sum(axis=1, keepdims=True))
+    return MarkovPair(np.log(np.stack(kinds) / ordinary).reshape(len(kinds), -1))
 
 
 def find_secrets(df: DataFrame, text_col: str = "text", model: MarkovPair | None = None) -> DataFrame:
