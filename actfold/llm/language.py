@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actfold.llm.common import Scratch, kept, pick, sampled, text_chunks, with_columns
+from actfold.llm.common import Scratch, kept, pick, short_batches, text_chunks, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 _BASE, _MULT = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.uint64(64 - 21)
-#: Characters of a word that are segmented at once; longer runs are scored in such parts, one after another.
-LONGEST = 40
+#: Words up to this length are scored many at once without scaling, since no product of so many chances gets too small; longer ones with it.
+SHORT = 40
 FLOOR = 1e-7
 
 
@@ -82,7 +82,8 @@ def _edges(vocabulary: Vocabulary, words: list[str]) -> Iterator[tuple[int, int,
 
 
 def _parts(word: str) -> list[str]:
-    return [(MARK if k == 0 else "") + word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
+    """A word for training: runs longer than SHORT are read in parts there."""
+    return [(MARK if k == 0 else "") + word[k : k + SHORT] for k in range(0, len(word), SHORT)]
 
 
 class Model:
@@ -92,14 +93,59 @@ class Model:
         self.langs, self.vocabulary, self.chance, self.key = langs, vocabulary, chance, uuid.uuid4().hex
 
     def log_likelihood(self, words: list[str]) -> np.ndarray:
-        """words x languages: log of the sum over all segmentations."""
+        """words x languages: log of the sum over all segmentations of each whole word."""
         out = np.zeros((len(words), len(self.langs)))
-        for n, rows, parts in _by_length([(k, p) for k, w in enumerate(words) for p in _parts(w)]):
+        for n, rows, parts in _by_length([(k, MARK + w) for k, w in enumerate(words) if len(w) <= SHORT]):
             forward = np.zeros((n + 1, len(parts), len(self.langs)))
             forward[0] = 1.0
             for i, j, at, pieces in _edges(self.vocabulary, parts):
                 forward[j, at] += forward[i, at] * self.chance[pieces]
-            np.add.at(out, rows, np.log(np.maximum(forward[n], 1e-300)))
+            out[rows] = np.log(np.maximum(forward[n], 1e-300))
+        long = sorted((k for k, w in enumerate(words) if len(w) > SHORT), key=lambda k: -len(words[k]))
+        while long:  # of similar length together, half a million characters at most unless one word has more
+            most = max(1, 500_000 // (len(words[long[0]]) + 1))
+            out[long[:most]] = self._scaled([MARK + words[k] for k in long[:most]])
+            long = long[most:]
+        return out
+
+    def _scaled(self, words: list[str], at_once: int = 500_000, every: int = 8) -> np.ndarray:
+        """log_likelihood() of long words, longest first: only the columns that a piece can reach are held, and scaled as they go."""
+        sizes = np.array([len(w) for w in words])
+        n, reach = int(sizes[0]), self.vocabulary.longest
+        codes = np.zeros((len(words), n + reach), dtype=np.uint64)
+        for k, w in enumerate(words):
+            codes[k, : len(w)] = _codes([w])[0]
+        ring, logs, out = np.zeros((reach + 1, len(words), len(self.langs))), 0.0, np.empty((len(words), len(self.langs)))
+        ring[0] = 1.0
+        for first in range(0, n, step := max(1, at_once // len(words))):
+            last = min(n, first + step)
+            h, found = np.zeros((len(words), last - first), dtype=np.uint64), []
+            for size in range(1, reach + 1):
+                h = h * _BASE + codes[:, first + size - 1 : last + size - 1]
+                flat, pieces = self.vocabulary.find(h.ravel())
+                if size == 1:
+                    lone = np.ones(h.size, dtype=bool)
+                    lone[flat] = False
+                    flat, pieces = np.concatenate((flat, np.flatnonzero(lone))), np.concatenate((pieces, np.full(int(lone.sum()), -1, np.int32)))
+                row, at = np.divmod(flat, last - first)
+                inside = first + at + size <= sizes[row]
+                found.append(np.stack((at[inside], row[inside], np.full(int(inside.sum()), size), pieces[inside])))
+            edges = np.concatenate(found, axis=1)
+            edges = edges[:, np.argsort(edges[0], kind="stable")]
+            cut = np.searchsorted(edges[0], np.arange(last - first + 1)).tolist()
+            for i in range(first, last):
+                _, row, size, piece = edges[:, cut[i - first] : cut[i - first + 1]]
+                now = ring[i % (reach + 1)]
+                ring[(i + size) % (reach + 1), row] += now[row] * self.chance[piece]
+                now[:] = 0.0
+                done = np.flatnonzero(sizes == i + 1) if i + 1 >= sizes[-1] else ()
+                if len(done):
+                    out[done] = np.log(np.maximum(ring[(i + 1) % (reach + 1), done], 1e-300)) + (logs[done] if i >= every else 0.0)
+                if i % every == every - 1:
+                    top = ring.max(axis=0)
+                    top[top == 0] = 1.0
+                    ring /= top
+                    logs = logs + np.log(top)
         return out
 
 
@@ -118,14 +164,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_path: str | None = None, sample_docs: int = 6_000, rounds: int = 2, work: Scratch | None = None) -> Model | None:
+def _by_lang(docs: DataFrame, sample_docs: int, most_langs: int) -> DataFrame:
+    """About ``sample_docs`` documents in equal shares of the languages, chosen by a hash of the id; of a rare one, all."""
+    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    if not sizes:
+        return docs.limit(0)
+    share, slots = max(1, sample_docs // len(sizes)), 1 << 20
+    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(1, int(slots * min(1.0, share / r["count"]))))])
+    return docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(17)), F.lit(slots)) < F.coalesce(rates[F.col("lang")], F.lit(0)))
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_path: str | None = None, sample_docs: int = 6_000, rounds: int = 2, most_langs: int = 200, work: Scratch | None = None) -> Model | None:
     """Expectation maximisation over about ``sample_docs`` labelled documents that are not held out.
 
+    Every language has an equal share of the sample, so a rare one is learned
+    at any size; the ``most_langs`` commonest values are (a table of languages x
+    vocabulary goes to every executor, so dirty labels must not make it grow).
     The words of the sample are counted by language once and written; each
     round sums the expected uses of every piece over them in Spark, from which
     languages x vocabulary sums reach the driver. None: nothing to learn from.
     """
-    docs = pick(df, doc_id=id_col, text=text_col, lang=lang_col).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    docs = pick(df, doc_id=id_col, text=text_col, lang=lang_col).withColumn("lang", F.col("lang").cast("string")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     vocabulary = Vocabulary(pieces := public_pieces(vocabulary_path))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +196,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             yield pd.DataFrame([(a, b, n) for (a, b), n in sums.items()], columns=["lang", "word", "n"])
 
     work = work or Scratch(df.sparkSession)
-    words = work.save(sampled(docs, "doc_id", sample_docs).select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    short_batches(df.sparkSession)
+    words = work.save(_by_lang(docs, sample_docs, most_langs).select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     if not langs:
         return None
