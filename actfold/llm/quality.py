@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actfold.llm.common import NULL_KEY, Scratch, sampled, with_columns
+from actfold.llm.common import NULL_KEY, Scratch, pick, sampled, with_columns
 
 FEATURES = ("log_words", "word_length", "upper", "digit", "mark", "symbol", "distinct_words", "distinct_pairs", "line_repeats", "longest_word", "short_words")
+#: Sites are broadcast only up to this many (a few MB).
+MOST_BROADCAST = 20_000
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
@@ -84,7 +86,7 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", least: float = 0.5, work: Scratch | None = None) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, host: str, path: str, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", least: float = 0.5, work: Scratch | None = None) -> DataFrame:
     """id, host, path, doc_prob, host_post, path_post, quality, keep for every row.
 
     ``doc_prob`` is a logistic model of the text's form, fitted on a bounded
@@ -101,10 +103,10 @@ def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
     """
     spark = df.sparkSession
     work = work or Scratch(spark)
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit(NULL_KEY), F.xxhash64(F.col(text_col)).cast("string")))  # null ids have no label; their keys are spread
-    slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), key.alias("_key"), F.coalesce(host.cast("string"), F.lit(NULL_KEY)).alias("host"), F.coalesce(path.cast("string"), F.lit(NULL_KEY)).alias("path"))
+    key = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit(NULL_KEY), F.xxhash64("_text").cast("string")))  # null ids have no label; their keys are spread
+    slim = pick(df, _id=id_col, _text=text_col, host=host, path=path).select("_id", "_text", key.alias("_key"), *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_KEY)).alias(c) for c in ("host", "path")])
     scored = with_columns(slim, "_text", lambda: lambda texts: [[features(t) for t in texts]], "_features array<double>").drop("_text")
-    marks = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).cast("string").alias("_key")).agg(F.avg(F.col(label_col).cast("double")).alias("_label"))
+    marks = pick(labels, key=label_id, label=label_col).where("key is not null and label is not null").groupBy(F.col("key").cast("string").alias("_key")).agg(F.avg(F.col("label").cast("double")).alias("_label"))
     scored = work.save(scored.join(marks.hint("merge"), "_key", "left"), "features")
     model = spark.sparkContext.broadcast(fit(scored))
 
@@ -125,7 +127,9 @@ def classify(df: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
     sites = work.save(with_host.select("host", "path", "good", "n", "host_good", "host_n"), "sites")
     hosts = work.save(by_host.select("host", F.col("good").alias("h_good"), F.col("n").alias("h_n")), "hosts")
     # A path or a host without labels has no row there, and takes what is above it.
-    rows = judged.join(sites.drop("host_good", "host_n").hint("merge"), ["host", "path"], "left").join(hosts.hint("merge"), "host", "left")
+    # Few sites go to every task, which spares the exchange of all rows on a handful of keys; many are joined by a shuffle.
+    spread = F.broadcast if sites.count() <= MOST_BROADCAST else lambda t: t.hint("merge")
+    rows = judged.join(spread(sites.drop("host_good", "host_n")), ["host", "path"], "left").join(spread(hosts), "host", "left")
     own, one = F.coalesce("_label", F.lit(0.0)), F.when(F.col("_label").isNotNull(), 1.0).otherwise(0.0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     host_post = (zero("h_good") - own + s_host * mean) / (zero("h_n") - one + s_host)

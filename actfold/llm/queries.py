@@ -21,9 +21,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang", source="source")
-    labels = pick(table(spark, sf_dir, "labels"), doc_id="doc_id", quality="quality")
-    return quality.classify(docs, labels, host=F.col("source"), path=F.col("lang"))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host="source", path="lang")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +57,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang", source="source")
-    out = mixing.mix_documents(docs)
-    return out.select("doc_id", "source", "lang", F.col("_cell.topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+    out = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", "topic", "tokens", F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"), F.col("_error").alias("error"))
 
 
 def companion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
