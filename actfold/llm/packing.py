@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -20,10 +19,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from actfold.llm.common import kept, pick, short_batches, text_chunks
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-# What the tokenizer's own first cut makes of texts in Latin letters: letters, digits one by one, contractions, other marks.
-_PIECE = re.compile(r"[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
-#: Outside these characters (or with a special token's first marks) a text goes to the tokenizer as it is.
-_ODD = re.compile(r"[^\t\n\r -~¡-ÿĀ-įĲ-ɏ]")
+# What the tokenizer's own first cut makes of lower-case texts in Latin letters: letters, digits one by one, contractions, other marks.
+_PIECE = r"[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+"
+#: A text that holds other characters, as it is or in lower case, or a special token's first marks, goes to the tokenizer whole.
+_ODD = r"[^\t\n\r -~¡-ÿĀ-įĲ-ɏ]|<\|"
 
 
 def default_tokenizer() -> str:
@@ -33,64 +32,74 @@ def default_tokenizer() -> str:
 
 
 class PieceIds:
-    """Token ids of texts as little-endian bytes, through bounded caches of words and of their pieces.
+    """Token ids of texts as little-endian bytes, through a bounded cache of pieces.
 
     The default tokenizer lowers letters, drops white space and encodes each
     piece of its first cut on its own; so for texts in Latin letters the ids
-    are those of the pieces, which recur. Other texts are encoded whole.
+    are those of the pieces, which recur. Other texts are encoded whole. The
+    cache has two halves: pieces that are met move to the younger one, and
+    when that is full the older one is dropped.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.words, self.ids = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.half, self.young, self.old = Tokenizer.from_file(path), most // 2, {}, {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes many pieces in one text each few hundred; every piece ends in a token that ends a word."""
-        for a in range(0, len(pieces), 256):
-            some = pieces[a : a + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """Encodes a few hundred pieces as one text; every piece ends in a token that ends a word."""
+        out: list[bytes] = []
+        groups = [pieces[a : a + 256] for a in range(0, len(pieces), 256)]
+        found = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for some, got in zip(groups, found, strict=True):
+            ids = np.array(got.ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
                 raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-                self.ids.update((p, raw[x:y]) for p, x, y in zip(some, at, at[1:], strict=False))
+                out += [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+            else:
+                out += map(self.whole, some)
+        return out
+
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        ids = list(map(self.young.get, pieces))
+        late = [k for k, x in enumerate(ids) if x is None]
+        new = []
+        for k in late:
+            if (x := self.old.get(pieces[k])) is None:
+                new.append(k)
             else:
-                self.ids.update((p, self.whole(p)) for p in some)
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.words]
-        if new:
-            cut = [_PIECE.findall(w) for w in new]
-            parts = set().union(*cut)
-            if len(self.words) + len(new) > self.most:  # the commonest recur in every chunk
-                self.words = {w: self.words[w] for w in words if w in self.words}
-            if len(self.ids) + len(parts) > self.most:
-                self.ids = {p: self.ids[p] for p in parts if p in self.ids}
-            self.learn(list(parts - self.ids.keys()))
-            find = self.ids.__getitem__
-            self.words.update((w, find(c[0]) if len(c) == 1 else b"".join(map(find, c))) for w, c in zip(new, cut, strict=True))
-        return list(map(self.words.__getitem__, words))
+                ids[k] = x
+        for k, x in zip(new, self.learn([pieces[k] for k in new]), strict=True):
+            ids[k] = x
+        if len(self.young) + len(late) > self.half:
+            self.old, self.young = self.young, {}
+        self.young.update((pieces[k], ids[k]) for k in late)
+        return ids
 
     def __call__(self, texts: list) -> list[bytes]:
         out: list[bytes] = []
         for chunk in text_chunks(texts, 3_000_000):
-            odd = [bool(t) and ("<|" in t or bool(_ODD.search(t))) for t in chunk]
-            plain = pa.array([t if t and not o else "" for t, o in zip(chunk, odd, strict=True)], pa.large_string())
-            words = pc.utf8_split_whitespace(pc.utf8_lower(plain))
-            coded = words.values.dictionary_encode()
-            ids, at = self.of_words(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+            given = pa.array([t or "" for t in chunk], pa.large_string())
+            lower = pc.utf8_lower(given)
+            odd = pc.or_(pc.match_substring_regex(given, _ODD), pc.match_substring_regex(lower, _ODD))
+            plain = pc.if_else(odd, "", lower)
+            pieces = pc.utf8_split_whitespace(pc.replace_substring_regex(plain, _PIECE, r"\0 "))
+            coded = pieces.values.dictionary_encode()
+            ids, at = self.of_pieces(coded.dictionary.to_pylist()), coded.indices.to_numpy()
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat, starts, own = np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum(sizes) - sizes, sizes[at]
             ends = np.concatenate(([0], np.cumsum(own)))
             raw = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], own)].tobytes()
-            cuts = (4 * ends[words.offsets.to_numpy()]).tolist()
-            out += [self.whole(t) if o else raw[a:b] for t, o, a, b in zip(chunk, odd, cuts, cuts[1:], strict=False)]
+            cuts = (4 * ends[pieces.offsets.to_numpy()]).tolist()
+            out += [self.whole(t) if o else raw[a:b] for t, o, a, b in zip(chunk, odd.to_pylist(), cuts, cuts[1:], strict=False)]
         return out
 
 
