@@ -1,7 +1,9 @@
 """Sharding, language ID, quality, packing and mixing on small tables."""
 
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -37,6 +39,30 @@ def test_shards_are_near_equal_and_slots_gapless(spark, keys):
     assert abs(sums - total / 12).max() <= max(r[1] for r in rows) + 0.01 * total / 12
 
 
+@pytest.mark.parametrize("key", ["id", "id % 7", "case when id % 3 = 0 then 5 else id * id end", "cast(null as bigint)"])
+def test_runs_are_short_and_shards_equal_a_deal_in_order(spark, key):
+    slim = Scratch(spark).save(spark.range(0, 60_000, 1, 6).selectExpr(f"coalesce({key}, -9223372036854775808) as key", "id as uid", "id % 50 + 1 as size"), "slim")
+    hist = sharding.Histogram(slim)
+    cuts = sharding.splitters(hist, 8, 0.002, 500)
+    assert max(p[3] for p in hist.parts) <= 500 and sum(p[3] for p in hist.parts) == 60_000
+    rows = sorted((sharding._pack(r.key, r.uid), r["size"]) for r in slim.collect())
+    total, at, done = sum(n for _, n in rows), 0, 0
+    for k, cut in enumerate(cuts, 1):
+        while at < len(rows) and rows[at][0] < cut:
+            done += rows[at][1]
+            at += 1
+        assert abs(done - total * k / 8) <= max(50, 0.002 * total / 8)
+
+
+def test_shards_equal_a_sequential_deal(spark):
+    rng = random.Random(8)
+    rows = [(rng.randint(0, 400), rng.randint(1, 9), i) for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, size long, n int").coalesce(1), 5, run_rows=64).collect()
+    order = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [(r.doc_id, r.n) for r in order] == sorted((k, i) for k, _, i in rows)
+    assert all(abs(sum(r["size"] for r in got if r.shard <= s) - sum(r[1] for r in rows) * (s + 1) / 5) <= 9 for s in range(5))
+
+
 def test_shards_of_few_rows(spark):
     df = spark.createDataFrame([(1, 5), (1, 5)], "doc_id long, size long")
     assert sharding.shard(df, 40).count() == 2
@@ -82,8 +108,57 @@ def test_forward_sums_all_segmentations():
     model = language.Model(["x"], language.Vocabulary(pieces), chance)
     words = ["ab", "abba", "aab", "zb", "a"]
     assert np.allclose(model.log_likelihood(words)[:, 0], [np.log(brute("▁" + w)) for w in words])
-    long = model.log_likelihood(["ab" * 100])[0, 0]
-    assert np.isfinite(long) and long < -50
+    rng = random.Random(3)
+    long = ["".join(rng.choice("abz") for _ in range(n)) for n in (39, 40, 41, 60, 61, 257, 3, 1000)]
+    assert np.allclose(model.log_likelihood(long)[:, 0], [exact("▁" + w, pieces, chance[:, 0]) for w in long])
+
+
+def exact(word, pieces, chance):
+    """The logarithm of the sum over all segmentations, in fractions."""
+    forward = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        ways = [forward[i] * Fraction(chance[pieces.index(word[i:j])]) for i in range(max(0, j - 2), j) if word[i:j] in pieces]
+        forward.append(sum(ways, Fraction(0)) + (forward[-1] * Fraction(language.FLOOR) if word[j - 1] not in pieces else 0))
+    return math.log(forward[-1].numerator) - math.log(forward[-1].denominator)
+
+
+def test_expectation_is_the_brute_force_one(spark):
+    pieces, words = ["a", "b", "ab", "▁", "▁a", "ba"], {"abab": 3, "ba": 2}
+
+    def ways(w):
+        return [[]] if not w else [[w[:n], *rest] for n in range(1, min(2, len(w)) + 1) if w[:n] in pieces for rest in ways(w[n:])]
+
+    chance = {p: 1 / len(pieces) for p in pieces}
+    for step in range(3):
+        sums = dict.fromkeys(pieces, 0.0)
+        for w, n in words.items():
+            if step == 0:
+                text = "▁" + w
+                for p in pieces:
+                    sums[p] += n * sum(text.startswith(p, i) for i in range(len(text)))
+                continue
+            found = [(math.prod(chance[p] for p in x), x) for x in ways("▁" + w)]
+            for c, x in found:
+                for p in x:
+                    sums[p] += n * c / sum(c for c, _ in found)
+        total = sum(sums.values())
+        chance = {p: 0.999 * sums[p] / total + 0.001 / len(pieces) for p in pieces}
+    rows = [(i, w, "x") for i, w in zip([i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1], [w for w, n in words.items() for _ in range(n)], strict=False)]
+    original = language.public_pieces
+    try:
+        language.public_pieces = lambda path=None: pieces
+        model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    finally:
+        language.public_pieces = original
+    assert np.allclose(model.chance[:-1, 0], [chance[p] for p in pieces])
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(4)
+    rows = [(i, text_in("en", rng), "en") for i in range(400)] + [(400 + i, text_in("fr", rng), "fr") for i in range(12)] + [(900, "", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(df, sample_docs=30).langs == ["en", "fr"]
+    assert language.fit(df, most_langs=1).langs == ["en"]
 
 
 def test_quality_shrinks_sparse_sites(spark):
@@ -96,15 +171,15 @@ def test_quality_shrinks_sparse_sites(spark):
         if i % 2:
             labels.append((i, int(good)))
     rows += [(9000, None, None, None), (9001, text_in("en", rng, 40), "rare", "new")]
-    out = quality.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (9999, 1), (1, labels[0][1])], "doc_id long, quality int"), F.col("source"), F.col("lang"))
+    out = quality.classify(spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (9999, 1), (1, labels[0][1])], "doc_id long, quality int"), "source", "lang")
     got = {r.doc_id: r for r in out.collect()}
     assert len(got) == len(rows)
     assert np.mean([got[i].keep == bool(q) for i, q in labels]) > 0.97
     mean = np.mean([q for _, q in labels])
     assert abs(got[9001].host_post - mean) < 0.02 and got[9001].keep
     none = spark.createDataFrame([], "doc_id long, quality int")
-    assert {r.quality for r in quality.classify(spark.createDataFrame(rows[:5], DOCS), none, F.col("source"), F.col("lang")).collect()} == {0.5}
-    assert quality.classify(spark.createDataFrame([], DOCS), none, F.col("source"), F.col("lang")).count() == 0
+    assert {r.quality for r in quality.classify(spark.createDataFrame(rows[:5], DOCS), none, "source", "lang").collect()} == {0.5}
+    assert quality.classify(spark.createDataFrame([], DOCS), none, "source", "lang").count() == 0
 
 
 def test_packing_round_trip(spark):
@@ -140,6 +215,16 @@ def test_packing_round_trip(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_ids_of_every_letter_are_the_tokenizer_s():
+    encode = packing.PieceIds(packing.default_tokenizer(), most=4_000)
+    plain = lambda t: np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    texts = [f"a{chr(c)}b {chr(c)} x'{chr(c)}s 1{chr(c)}2" for c in range(0x3000)]
+    rng, letters = random.Random(5), [chr(c) for c in range(32, 0x250)] + list("\t\n\r '--stredmlv")
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["".join(rng.choice("ab12 '\n!sdrevtmlé-") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    assert [t for t, ids in zip(texts, encode(texts), strict=True) if ids != plain(t)] == []
+
+
 def test_differencing_balances():
     rng = random.Random(5)
     sizes = [rng.randint(1, 500) for _ in range(300)]
@@ -155,7 +240,8 @@ def test_raking_meets_the_margins(spark):
     rows = [(i, "w " * rng.randint(1, 50), rng.choice(["en", "fr", None]), rng.choice("abc" if i % 3 else "a")) for i in range(3000)]
     df = spark.createDataFrame(rows, DOCS)
     targets = {"source": spark.createDataFrame([("a", 0.3), ("b", 0.3), ("c", 0.4), ("gone", 0.5)], "value string, share double"), "lang": spark.createDataFrame([("en", 0.5), ("fr", 0.3), (None, 0.2)], "value string, share double")}
-    out = mixing.mix(df, {"source": F.col("source"), "lang": F.col("lang")}, mixing.token_count(F.col("text")), targets, keep=0.3).cache()
+    slim = df.withColumn("tokens", F.size(F.split(F.trim("text"), " ")))
+    out = mixing.mix(slim, ["source", "lang"], targets=targets, keep=0.3).cache()
     w = {(r.source, r.lang): r.w for r in out.groupBy("source", "lang").agg(F.first("_weight").alias("w")).collect()}
     total = sum(w.values())
     # The same in numpy.
@@ -170,17 +256,41 @@ def test_raking_meets_the_margins(spark):
                     if k[axis] == v:
                         cells[k] *= x * total / now
     assert all(abs(cells[k] - w[k]) < 2e-3 * total for k in w)
-    tokens = out.agg(F.sum("_tokens"), F.sum(F.when(F.col("_kept"), F.col("_tokens")))).first()
-    assert abs(tokens[1] / tokens[0] - 0.3) < 0.04
-    again = mixing.mix(df.repartition(7), {"source": F.col("source"), "lang": F.col("lang")}, mixing.token_count(F.col("text")), targets, keep=0.3)
+    tokens = out.agg(F.sum("tokens"), F.sum(F.when(F.col("_kept"), F.col("tokens")))).first()
+    assert abs(tokens[1] / tokens[0] - 0.3) < 0.04 and out.first()._error <= 1e-4
+    again = mixing.mix(slim.repartition(7), ["source", "lang"], targets=targets, keep=0.3)
     assert {r.doc_id for r in again.where("_kept").collect()} == {r.doc_id for r in out.where("_kept").collect()}
+    chance = {r.doc_id: r._probability for r in out.collect()}
+    draws = {r.doc_id: r.d for r in out.select("doc_id", mixing.drawn(F.col("doc_id"), 7).alias("d")).collect()}
+    assert {r.doc_id for r in out.where("_kept").collect()} == {i for i in chance if draws[i] < chance[i]}
+    assert abs(np.mean(list(draws.values())) - 0.5) < 0.03
+
+
+def test_contradictory_targets_show_their_error(spark):
+    slim = spark.createDataFrame([(i, "a" if i % 2 else "b", "x" if i % 2 else "y", 3) for i in range(40)], "doc_id long, source string, lang string, tokens long")
+    share = lambda **kw: spark.createDataFrame(list(kw.items()), "value string, share double")
+    out = mixing.mix(slim, ["source", "lang"], targets={"source": share(a=0.9, b=0.1), "lang": share(x=0.2, y=0.8)})
+    assert out.count() == 40 and out.first()._error > 0.5
+
+
+def test_topics_part_word_use_within_languages(spark):
+    rng = random.Random(9)
+    sets = {lang: {t: [f"{lang}{t}{k}" for k in range(12)] for t in "pq"} for lang in ("en", "fr")}
+    rows = [(i, " ".join(rng.choice(sets[lang][t]) for _ in range(60)), lang, t) for i, (lang, t) in enumerate((lang, t) for lang in sets for t in "pq" for _ in range(40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, t string")
+    got = mixing.with_topics(df, mixing.fit_topics(df, topics=4)).collect()
+    for lang in sets:
+        seen = {t: {r.topic for r in got if r.lang == lang and r.t == t} for t in "pq"}
+        assert not seen["p"] & seen["q"]
+    assert all(r.tokens == 60 for r in got)
+    assert mixing.fit_topics(df.limit(0)) is None
 
 
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, "", "en", "a"), (None, "x y", "en", "a"), (3, "x y", "en", "a"), (3, "x y", "en", "a")], DOCS)
     out = mixing.mix_documents(df, keep=1.0).collect()
     assert len(out) == 5 and {r.doc_id for r in out if r._kept} >= {3}
-    assert not any(r._kept for r in out if r._tokens == 0)
+    assert not any(r._kept for r in out if r.tokens == 0)
     assert mixing.mix_documents(df.limit(0)).count() == 0
 
 

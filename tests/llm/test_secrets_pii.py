@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -57,6 +58,7 @@ def test_markov_adds_random_strings_only(spark):
     probe = spark.createDataFrame([(0, f"see {key()}Q7x end"), (1, "see theonering4atreathea1 end")], DOCS)
     got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(probe, model=model).collect()}
     assert got == {0: ["markov"], 1: []}
+    assert [s[0] for s in model.spans(f"x=/{key()}/y=" + "thering/" * 9, [])] == ["markov"]  # letters alone count too, and parts of a path
     assert secrets.fit_markov(df.limit(0)).ratio is None
 
 
@@ -107,7 +109,7 @@ def test_long_runs_take_no_quadratic_time():
 def test_tagger_learns_its_labels():
     rng = random.Random(4)
     texts = [f"call me at {''.join(rng.choice('abc') for _ in range(5))}{rng.randint(10, 99)}@mail{rng.randint(1, 9)}.example.com or {rng.randint(1, 254)}.{rng.randint(1, 254)}.{rng.randint(1, 254)}.{rng.randint(1, 254)} now" for _ in range(300)]
-    rows = [(t[w : w + pii.WIDTH], w, t) for t in texts for w in pii._windows(t)]
+    rows = [(t[w : w + pii.WIDTH], w, t) for t in texts for w in pii._windows(pii.encode(t)).tolist()]
     tags = []
     for t, w, whole in rows:
         g = [0] * len(whole)
@@ -117,7 +119,7 @@ def test_tagger_learns_its_labels():
     tagger = pii.Tagger()
     tagger.train(np.stack([pii._padded(pii.encode(t), 0) for t, _, _ in rows]), np.array(tags), steps=150)
     held = [t.replace("call me", "write to us") for t in texts[:40]]
-    found = pii.predicted(tagger, held)
+    found = [spans for _, spans in pii.predicted(tagger, held)]
     good = sum(len(set(f) & set(pii.base_spans(t))) for f, t in zip(found, held, strict=True))
     assert good >= 0.9 * sum(len(pii.base_spans(t)) for t in held)
 
@@ -158,3 +160,39 @@ def test_pii_edges(spark):
     assert sorted(r.n_email for r in got) == [0, 0, 0, 0, 1]
     assert pii.find_personal(spark.createDataFrame([], DOCS)).count() == 0
     assert pii.fit_tagger(spark.createDataFrame([], DOCS)) is None
+
+
+def test_spans_take_linear_time():
+    rng = random.Random(5)
+    text = "\n".join("%064x" % rng.getrandbits(256) for _ in range(30_000))
+    pair = secrets.MarkovPair(np.zeros((1, (secrets.START + 1) ** 2)))
+    start = time.perf_counter()
+    base = secrets.base_spans(text)
+    assert len(base) == 30_000 and pair.spans(text, base) == [] and time.perf_counter() - start < 5
+    tagger, took = pii.Tagger(hidden=4, size=4), []
+    for n in (100_000, 400_000):
+        text = "".join(rng.choice("0123456789 ") for _ in range(n))
+        start = time.perf_counter()
+        ((codes, found),) = pii.predicted(tagger, [text])
+        pii._added(text, codes, pii.base_spans(text), found)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0]
+
+
+def test_windows_of_long_texts_are_those_of_short_ones():
+    """Decoding in turns and for many texts at once changes nothing."""
+    rng, tagger = random.Random(6), pii.Tagger(hidden=4, size=4)
+    texts = ["".join(rng.choice("ab 12@.") for _ in range(n)) for n in (0, 5, 31, 64, 65, 700, 3000)] + ["plain"]
+    one = [s for _, s in pii.predicted(tagger, texts)]
+    assert one == [s for t in texts for _, s in pii.predicted(tagger, [t])] == [s for _, s in pii.predicted(tagger, texts, at_once=3)]
+    for text, spans in zip(texts, one, strict=True):  # the plain definition, a character at a time
+        codes, best = pii.encode(text), {}
+        starts = sorted({w for i, c in enumerate(text) if c in "12@" for w in (i // 32 * 32, max(0, i // 32 * 32 - 32))})
+        for w in starts:
+            tags = tagger.decode(pii._padded(codes, w)[None])[0]
+            for j in range(min(64, len(text) - w)):
+                depth = 99 if w == 0 and j < 32 else min(j, 63 - j)
+                if best.get(w + j, (-1, 0))[0] < depth:
+                    best[w + j] = (depth, int(tags[j]))
+        tags = [best.get(i, (0, 0))[1] for i in range(len(text))]
+        assert [i for k, a, b in spans for i in range(a, b)] == [i for i, t in enumerate(tags) if t]
