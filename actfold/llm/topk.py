@@ -18,34 +18,58 @@ from actfold.llm.common import Scratch, pick, with_columns
 from actfold.llm.embeddings import as_vector
 
 NO_CUT = -(1 << 62)
+#: Groups of equal vectors are broadcast only up to this many.
+MOST_BROADCAST = 50_000
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """block, n, dim, ids, cells: rows(vec_id, vec) packed as bytes, up to ``size`` of one dimension, where they lie."""
+def _blocks(rows: DataFrame, size: int, most_bytes: int = 1 << 25) -> DataFrame:
+    """block, n, dim, wide, ids, cells: rows(vec_id, vec, wide) packed as bytes, up to ``size`` of one dimension and width, where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held = TaskContext.get().partitionId() << 32, {}
 
-        def flush(dim: int) -> pa.RecordBatch:
+        def flush(kind: tuple[int, bool]) -> pa.RecordBatch:
             nonlocal first
-            ids, vecs = zip(*held.pop(dim), strict=True)
-            out = pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, len(ids), dim, np.array(ids, np.int64).tobytes(), b"".join(vecs))], names=["block", "n", "dim", "ids", "cells"])
+            ids, vecs = zip(*held.pop(kind), strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, len(ids), *kind, np.array(ids, np.int64).tobytes(), b"".join(vecs))], names=["block", "n", "dim", "wide", "ids", "cells"])
             first += 1
             return out
 
         for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("vec").to_pylist(), strict=True):
-                held.setdefault(len(v) // 8, []).append((i, v))
-                if len(held[len(v) // 8]) == size:
-                    yield flush(len(v) // 8)
-        for dim in list(held):
-            yield flush(dim)
+            for i, v, wide in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "vec", "wide")), strict=True):
+                kind = (len(v) // (8 if wide else 4), wide)
+                held.setdefault(kind, []).append((i, v))
+                if len(held[kind]) >= size or len(held[kind]) * len(v) >= most_bytes:
+                    yield flush(kind)
+        for kind in list(held):
+            yield flush(kind)
 
-    return rows.select("vec_id", "vec").mapInArrow(run, "block long, n long, dim long, ids binary, cells binary")
+    return rows.select("vec_id", "vec", "wide").mapInArrow(run, "block long, n long, dim long, wide boolean, ids binary, cells binary")
 
 
-def _matrix(cells: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(cells, np.int64).reshape(-1, dim)
+def _matrix(cells: bytes, dim: int, wide: bool) -> np.ndarray:
+    return np.frombuffer(cells, np.int64 if wide else np.int32).reshape(-1, dim).astype(np.int64, copy=False)
+
+
+def _distinct(rows: DataFrame, most: int | None, work: Scratch) -> DataFrame:
+    """rows(vec_id, vec, wide, fp1, fp2) without repeated ones, and of equal vectors the ``most`` smallest ids.
+
+    Counting needs ids and fingerprints only. Where there are groups of more
+    than ``most`` equal vectors, their least ids are found and joined back (by
+    broadcast while there are few such groups); no vector moves for it.
+    """
+    if most is not None:
+        slim = rows.select("fp1", "fp2", "vec_id")
+        hot = work.save(slim.groupBy("fp1", "fp2").agg(F.count("*").alias("n")).where(F.col("n") > most), "hot")
+        if n_hot := hot.count():
+            near = (lambda t: F.broadcast(t)) if n_hot <= MOST_BROADCAST else (lambda t: t.hint("merge"))
+            nth = F.row_number().over(Window.partitionBy("fp1", "fp2").orderBy("vec_id"))
+            least = slim.join(near(hot.select("fp1", "fp2")), ["fp1", "fp2"], "left_semi").distinct().withColumn("nth", nth).where(F.col("nth") <= most)
+            bound = work.save(least.groupBy("fp1", "fp2").agg(F.max("vec_id").alias("last")), "least")
+            rows = rows.join(near(bound), ["fp1", "fp2"], "left").where("last is null or vec_id <= last").drop("last")
+    if rows.select("vec_id", "fp1", "fp2").groupBy("vec_id", "fp1", "fp2").count().where("count > 1").isEmpty():
+        return rows
+    return rows.dropDuplicates(["vec_id", "fp1", "fp2"])
 
 
 def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -64,15 +88,17 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, scale: int = 1024, lists: int = 2, query_block: int = 512, row_block: int = 4096, work: Scratch | None = None) -> DataFrame:
+def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, k: int = 10, scale: int = 1024, lists: int = 2, query_block: int = 8192, row_block: int = 8192, at_once: int = 256, work: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows with another id. Components become floor(scale * x). Ties go to the
     smaller id. Vectors that are null or empty or hold null or non-finite
-    components take no part, nor do null ids; vectors of different dimensions
-    are not compared; repeated rows are one candidate; an empty table gives an
-    empty one.
+    components take no part, nor do null ids; nor do vectors with a component
+    of 2**53 or more after scaling, of which no exact product fits a long.
+    Vectors of different dimensions are not compared; repeated rows are one
+    candidate; further columns of any name are left out; an empty table gives
+    an empty one.
 
     The dimensions are cut into ``lists`` parts; a node, a block of rows, keeps
     for each query a list of partial scores for each part.
@@ -85,7 +111,11 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     3. The others, unless what is known plus the cutoff's share for each
        unknown list stays below it, are resolved exactly, and the best sent.
 
-    Cutoffs travel with their block of at most ``query_block`` queries. Of equal
+    Rows and queries are packed into blocks of up to ``row_block`` and
+    ``query_block`` of them (32 MB), components in 4 bytes where they fit. Every
+    phase sends each block of rows once for each block of queries, of which
+    there is one up to ``query_block`` queries, and scores ``at_once`` queries
+    of a block at a time. Cutoffs travel with their block of queries. Of equal
     vectors only the k + 1 smallest ids can matter, so only those go on.
     """
     spark = df.sparkSession
@@ -93,25 +123,30 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     given = pick(df, vec_id=id_col, vector=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")).where("vec_id is not null")
 
     def whole(values: list) -> list[list]:
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for v in map(as_vector, values):
-            raw = np.floor(scale * v).astype(np.int64).tobytes() if v is not None else None
-            fp = np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64) if raw else (None, None)
-            for c, x in zip(out, (raw, *(None if f is None else int(f) for f in fp)), strict=True):
-                c.append(x)
+            x = np.floor(scale * v) if v is not None else None
+            if x is None or np.abs(x).max() >= 2**53:
+                row: tuple = (None, None, None, None)
+            else:
+                wide = bool(np.abs(x).max() >= 2**31)
+                raw = x.astype(np.int64 if wide else np.int32).tobytes()
+                row = (raw, wide, *np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64).tolist())
+            for c, y in zip(out, row, strict=True):
+                c.append(y)
         return out
 
-    rows = work.save(with_columns(given, "vector", lambda: whole, "vec binary, fp1 long, fp2 long").drop("vector").where("vec is not null"), "whole")
-    place = F.row_number().over(Window.partitionBy("fp1", "fp2").orderBy("vec_id"))
-    few = work.save(rows.dropDuplicates(["vec_id", "fp1", "fp2"]).withColumn("place", place).where(F.col("place") <= k + 1).select("vec_id", "vec"), "few")
+    rows = work.save(with_columns(given, "vector", lambda: whole, "vec binary, wide boolean, fp1 long, fp2 long").drop("vector").where("vec is not null"), "whole")
+    few = _distinct(rows, k + 1, work)
     data = work.save(_blocks(few, row_block), "rows")
-    asked = work.save(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "fp1", "fp2"]).select("vec_id", "vec"), "asked")
-    queries = work.save(_blocks(asked, query_block), "queries")
-    residues, salts = max(1, queries.count()), max(1, data.count())
+    asked = work.save(_distinct(rows.where(F.col("vec_id") % every == 0), None, work), "asked")
+    n_asked, n_rows = asked.count(), data.agg(F.sum("n")).first()[0] or 0
+    queries = work.save(_blocks(asked.coalesce(max(1, -(-n_asked // query_block))), query_block), "queries")
+    residues, salts = max(1, queries.count()), max(1, -(-n_rows // row_block))
     # Every block of queries meets every block of rows: a copy of the rows for each residue of the
     # query block, a copy of the queries for each residue of the row block, so a group has a few of both.
-    left = data.select(F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(residues - 1))).alias("qr"), F.col("block").alias("db"), "dim", "ids", "cells")
-    asks = queries.select(F.pmod(F.xxhash64("block"), F.lit(residues)).cast("int").alias("qr"), F.col("block").alias("qb"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("cells").alias("q"))
+    left = data.select(F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(residues - 1))).alias("qr"), F.col("block").alias("db"), "dim", "wide", "ids", "cells")
+    asks = queries.select(F.pmod(F.xxhash64("block"), F.lit(residues)).cast("int").alias("qr"), F.col("block").alias("qb"), F.col("dim").alias("q_dim"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("cells").alias("q"))
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
 
     def slices(dim: int) -> list[slice]:
@@ -125,8 +160,11 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             for x in xs:
                 for q in qs:
                     if x["dim"] == q["q_dim"] and q.get("db", x["db"]) == x["db"]:
-                        out += work_on(x, q, np.frombuffer(x["ids"], np.int64), _matrix(x["cells"], x["dim"]), np.frombuffer(q["q_ids"], np.int64), _matrix(q["q"], x["dim"]))
-            return pa.Table.from_pylist(out, schema=fields)
+                        ids, cells = np.frombuffer(x["ids"], np.int64), _matrix(x["cells"], x["dim"], x["wide"])
+                        q_ids, asked = np.frombuffer(q["q_ids"], np.int64), _matrix(q["q"], x["dim"], q["q_wide"])
+                        for a in range(0, len(q_ids), at_once):
+                            out.append(pa.Table.from_pylist(work_on(x, q, ids, cells, q_ids[a : a + at_once], asked[a : a + at_once]), schema=fields))
+            return pa.concat_tables(out) if out else fields.empty_table()
 
         fields = to_arrow_schema(T._parse_datatype_string(schema))
         return left.groupBy("qr", "salt").cogroup(right.groupBy("qr", "salt")).applyInArrow(run, schema)
@@ -180,6 +218,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     def resolve(x: dict, q: dict, ids: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, asked: np.ndarray) -> list[dict]:
         place, out = {i: n for n, i in enumerate(q_ids.tolist())}, []
         for w in q["wanted"]:
+            if w["query_id"] not in place:
+                continue
             at = np.array(w["open"], np.int64)
             total = _product(asked[place[w["query_id"]]][None, :], cells[at])[0]
             out += [{"qb": q["qb"], "query_id": w["query_id"], "vec_id": ids[at[b]], "score": total[b]} for b in _best(total, ids[at], k)]
