@@ -61,7 +61,7 @@ def test_a_common_direction_loses_no_links(spark):
     links = (unit @ unit.T >= 0.93).sum() - len(x)
     got = embeddings.near_vectors(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECS)).collect()
     assert 1400 <= links < 3000 and 0.95 * links <= sum(r.n_links for r in got) <= links
-    codes, tables = embeddings.fit_codes(x, 8, 8, 0.93, most=8)  # no further tables allowed: about the origin
+    codes, tables, _ = embeddings.fit_codes(x, 8, 8, 0.93, most=8)  # no further tables allowed: about the origin
     assert tables == 8 and not codes.mean.any()
 
 
@@ -98,5 +98,5 @@ def test_top_k_of_few_rows(spark):
 def test_codes_are_balanced():
     x = np.random.default_rng(3).standard_normal((2000, 32)) + 1
     c = embeddings.Codes(x, bits=32)
-    s = c.substrings(list(x), 8)
+    s = embeddings.substrings(c.code(list(x)), 4, 8)
     assert s.max() < 16 and all(abs((s >> b & 1).mean() - 0.5) < 0.05 for b in range(4))
