@@ -196,7 +196,7 @@ class _Group:
         return np.flatnonzero(found)
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, at_once: int = 256, block: int = 1024, sample_rows: int = 6_000, work: Scratch | None = None) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, at_once: int = 256, block: int = 384, sample_rows: int = 6_000, work: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors of equal labels are linked when their cosine, in double precision,
