@@ -96,10 +96,15 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return out.drop("text")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, shingles (as bytes) of the documents in ids(doc_id)."""
+def sets_of(docs: DataFrame, ids: DataFrame, coordinates: int) -> DataFrame:
+    """doc_id, shingles and sig (as bytes) of the documents in ids(doc_id)."""
+
+    def run(texts: list) -> list[list]:
+        found = [shingles(t) for t in texts]
+        return [[x.tobytes() for x in found], [signature(x, coordinates).tobytes() for x in found]]
+
     mine = docs.join(ids.hint("merge"), "doc_id", "left_semi")
-    return with_columns(mine, "text", lambda: lambda texts: [[shingles(t).tobytes() for t in texts]], "shingles binary").select("doc_id", "shingles")
+    return with_columns(mine, "text", lambda: run, "shingles binary, sig binary").select("doc_id", "shingles", "sig")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,7 +138,7 @@ def crossing(members: DataFrame, sets: DataFrame, percent: int, coordinates: int
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, comp, own = group["doc_id"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
         found = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        sig = np.stack([signature(x, coordinates) for x in found])
+        sig = np.stack([np.frombuffer(x, np.uint32) for x in group["sig"]])
         root = {c: c for c in set(comp.tolist())}
 
         def top(c: int) -> int:
@@ -182,7 +187,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spread = classes.select("rep", F.explode("buckets").alias("bucket"))
     shared = work.save(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("least")).where("n > 1"), "shared")  # read again, so that a hot bucket's join can be split
     members = work.save(spread.join(shared.hint("merge"), "bucket").select("bucket", F.col("rep").alias("doc_id"), "n", "least"), "members")
-    sets = work.save(sets_of(docs, members.select("doc_id").distinct()), "sets")
+    sets = work.save(sets_of(docs, members.select("doc_id").distinct(), bands * rows), "sets")
     stars = members.where("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = work.save(verified(stars, sets, percent), "links")
     found = work.save(components(links, work), "components")
@@ -192,8 +197,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_members = work.save(placed.join(mixed.select("bucket").hint("merge"), "bucket", "left_semi"), "open")
     more = work.save(crossing(open_members, sets, percent, bands * rows, block), "crossing")
     if not more.isEmpty():
-        found = work.save(components(links.union(more), work), "components")
+        first, found = found, work.save(components(links.union(more), work), "components")
+        work.drop(first)
     named = classes.select("fp1", "fp2", "rep").join(found.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component_id"))
     named = work.save(named, "named")
+    work.drop(classes, shared, members, sets, links, found, open_members, more)
     out = rows_of.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("fp1")).alias("fp1"), "fp2").join(named.hint("merge"), ["fp1", "fp2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

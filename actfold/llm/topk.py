@@ -187,8 +187,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     scores = "qb long, query_id long, vec_id long, score long"
     one = work.save(meet(asks.select("*", every_salt), heads, scores), "heads")
-    cut = work.save(cutoffs(one), "cut").groupBy("qb").agg(F.collect_list(F.struct("query_id", "cut")).alias("cuts"))  # a block's queries at most
-    armed = work.save(asks.join(cut.hint("merge"), "qb", "left"), "armed")
+    cut = work.save(cutoffs(one), "cut")
+    cuts = cut.groupBy("qb").agg(F.collect_list(F.struct("query_id", "cut")).alias("cuts"))  # a block's queries at most
+    armed = work.save(asks.join(cuts.hint("merge"), "qb", "left"), "armed")
 
     def enough(x: dict, q: dict, ids: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, asked: np.ndarray) -> list[dict]:
         cuts = {c["query_id"]: c["cut"] for c in q["cuts"] or []}
@@ -213,7 +214,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     left_open = F.filter("open", lambda o: F.col("raised").isNull() | (o["known"] * lists + o["missing"] * F.col("cut") >= F.col("raised") * lists))
     wanted = two.where(F.size("open") > 0).join(raised.hint("merge"), "query_id", "left").withColumn("open", F.transform(left_open, lambda o: o["at"])).where(F.size("open") > 0)
     wanted = wanted.groupBy("qb", "db").agg(F.collect_list(F.struct("query_id", "open")).alias("wanted"))  # a block's queries, each with places in one block of rows
-    wanted = work.save(wanted, "open").withColumn("salt", F.pmod(F.xxhash64("db"), F.lit(salts)).cast("int")).join(asks.hint("merge"), "qb")
+    wanted = work.save(wanted, "open")
+    work.drop(rows, asked, one, cut, armed, two)
+    wanted = wanted.withColumn("salt", F.pmod(F.xxhash64("db"), F.lit(salts)).cast("int")).join(asks.hint("merge"), "qb")
 
     def resolve(x: dict, q: dict, ids: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, asked: np.ndarray) -> list[dict]:
         place, out = {i: n for n, i in enumerate(q_ids.tolist())}, []
