@@ -298,6 +298,10 @@ def test_wide_cells_are_joined_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
     df = spark.createDataFrame([(i, "x y", "en", f"s{i % 9}") for i in range(90)], DOCS)
     out = mixing.mix_documents(df, keep=0.5)
+    weights = {r.doc_id: r._weight for r in out.collect()}
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 1000)
+    few = mixing.mix_documents(df, keep=0.5).collect()
+    assert all(abs(weights[r.doc_id] - r._weight) < 1e-9 * max(1, r._weight) for r in few) and few[0]._error <= 1e-4
     assert out.count() == 90 and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
 
 
