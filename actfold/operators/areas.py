@@ -46,6 +46,6 @@ def split_sponsors(bills: DataFrame, committees: DataFrame) -> DataFrame:
     """(session, num, panels, people): sponsor parts that are committees (by name or by word) and those that are not, each in order."""
     parts = bills.select("session", "num", F.posexplode(F.split(F.coalesce("sponsor", F.lit("")), ";")).alias("pos", "part")).withColumn("part", F.trim("part")).where("part != ''")
     names = committees.select(F.col("name").alias("part"), F.lit(True).alias("known")).distinct()
-    rows = parts.join(names, "part", "left").withColumn("panel", F.coalesce("known", F.lit(False)) | F.col("part").rlike(r"\b(?:Committee|Subcommittee)\b"))
+    rows = parts.join(names.hint("merge"), "part", "left").withColumn("panel", F.coalesce("known", F.lit(False)) | F.col("part").rlike(r"\b(?:Committee|Subcommittee)\b"))
     side = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "part")))), lambda x: x["part"])
     return rows.groupBy("session", "num").agg(side(F.col("panel")).alias("panels"), side(~F.col("panel")).alias("people"))

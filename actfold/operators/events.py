@@ -78,7 +78,7 @@ def pathway(track: DataFrame, miles: DataFrame) -> DataFrame:
     rungs = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(k).alias("rung")) for k, s in enumerate(rules.STAGES)])
     ladder = track.select(*BILL, "kind", F.col("stage").alias("now"), F.col("rank").alias("top"), F.explode(rungs).alias("r")).select(*BILL, "kind", "now", "top", "r.*")
     dated = miles.select(*BILL, "stage", "date")
-    out = ladder.join(dated, [*BILL, "stage"], "left")
+    out = ladder.join(dated.hint("merge"), [*BILL, "stage"], "left")
     return out.select(*BILL, "rung", "stage", rules.stage_label(F.col("stage"), F.col("kind")).alias("label"), (F.col("rung") <= F.col("top")).alias("reached"), "date", (F.col("stage") == F.col("now")).alias("current"))
 
 

@@ -138,7 +138,7 @@ def marked_words(words: DataFrame, rules: DataFrame) -> DataFrame:
     thin = rules.where((F.abs("height") <= 1.5) & (F.abs("width") >= 2.0)).select("page", "rule_ix", F.col("x0").alias("r0"), F.col("x1").alias("r1"), F.col("top").alias("r_top"), F.floor(F.col("top") / 16).alias("band"))
     body = words.where(F.col("top").between(120.0, 650.0))
     bands = F.sequence(F.floor((F.col("top") - 3) / 16), F.floor((F.col("bottom") + 4) / 16))
-    near = body.withColumn("band", F.explode(bands)).join(thin, ["page", "band"]).where((F.col("r_top") >= F.col("top") - 3) & (F.col("r_top") <= F.col("bottom") + 4))
+    near = body.withColumn("band", F.explode(bands)).join(thin.hint("merge"), ["page", "band"]).where((F.col("r_top") >= F.col("top") - 3) & (F.col("r_top") <= F.col("bottom") + 4))
     cov = (F.least("x1", "r1") - F.greatest("x0", "r0")) / F.greatest(F.col("x1") - F.col("x0"), F.lit(0.01))
     frac = (F.col("r_top") - F.col("top")) / F.greatest(F.col("bottom") - F.col("top"), F.lit(0.01))
     near = near.withColumn("cov", cov).where("cov >= 0.45").withColumn("mark", F.when(frac < 0.78, "delete").otherwise("insert"))

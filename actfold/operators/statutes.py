@@ -75,7 +75,7 @@ def cross_reference(segments: DataFrame, keys: list[str]) -> DataFrame:
     meets = [*[F.col(k) == F.col(f"_{k}") for k in keys], F.col("s1") > F.col("start"), F.when(F.col("wide"), F.col("line").isNotNull() & (F.col("s0") >= F.col("start"))).otherwise(F.col("s0") < F.col("end"))]
     words = lambda k: F.coalesce(F.sum(F.when(~F.col("wide") & (F.col("kind") == k), tx.raw_words(F.col("text")))), F.lit(0)).cast("long")
     own = [*keys, "bill_section", "start", "wide", "chapter", "members", "verb", "scope"]
-    met = parts.join(seg, meets, "left").groupBy(*own).agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min_by("line", F.when(F.col("line").isNotNull(), F.col("s0"))).alias("next"), words("insert").alias("words_added"), words("delete").alias("words_deleted"))
+    met = parts.join(seg.hint("merge"), meets, "left").groupBy(*own).agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min_by("line", F.when(F.col("line").isNotNull(), F.col("s0"))).alias("next"), words("insert").alias("words_added"), words("delete").alias("words_deleted"))
     found = met.withColumn("statute", F.explode(F.when(F.size("members") > 0, F.col("members")).otherwise(F.array("chapter"))))
     of_body = found.select(
         *keys, F.regexp_replace("statute", r"\.+$", "").alias("statute"), F.coalesce(rules.lookup(rules.ACTION_CATEGORY, F.col("verb")), F.lit("amend")).alias("action"), "bill_section",

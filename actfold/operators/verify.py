@@ -69,7 +69,7 @@ def checked(claims: DataFrame, readings: DataFrame, keys: list[str], least_words
 
 
 def contained(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, shingle: int = 8) -> DataFrame:
-    """(quote_id, doc_id) of every document that contains a quote, none named: candidates share the quote's rarest run of words, then are checked in full.
+    """(quote_id, doc_id) of every document that contains a quote, none named: candidates share the quote's first run of words, then are checked in full.
 
     Both texts are in canonical spelling. A quote inside a document may begin
     or end inside a word, so its runs of words leave out the first and last.
@@ -202,7 +202,7 @@ def within_budget(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
         return F.when(fits, F.struct((acc["used"] + b["n"]).alias("used"), F.concat(acc["keep"], F.array(b["block_ix"].cast("long"))).alias("keep"))).otherwise(acc)
 
     kept = sizes.select(*keys, F.explode(F.aggregate("a", init, step)["keep"]).alias("block_ix"))
-    return blocks.join(kept, [*keys, "block_ix"], "left_semi")
+    return blocks.join(kept.hint("merge"), [*keys, "block_ix"], "left_semi")
 
 
 def parted(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
@@ -217,7 +217,7 @@ def parted(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
         return F.struct(part.alias("part"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(b["block_ix"].cast("long").alias("block_ix"), part.alias("part")))).alias("out"))
 
     dealt = sizes.select(*keys, F.explode(F.aggregate("a", init, step)["out"]).alias("o")).select(*keys, "o.*")
-    rows = blocks.withColumn("block_ix", F.col("block_ix").cast("long")).join(dealt, [*keys, "block_ix"])
+    rows = blocks.withColumn("block_ix", F.col("block_ix").cast("long")).join(dealt.hint("merge"), [*keys, "block_ix"])
     return rows.withColumn("parts", F.max("part").over(Window.partitionBy(*keys)))
 
 

@@ -404,9 +404,9 @@ def segment_lines(spark: SparkSession, d: str) -> DataFrame:
     return segments.numbered_lines(ad.segments(spark, d), DOC)
 
 
-@query(with_("segment") + ", f AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY num ORDER BY seg_ix) THEN 0 ELSE 1 END AS new FROM (SELECT * FROM segment WHERE seg_ix % 3 <> 1)), g AS (SELECT *, sum(new) OVER (PARTITION BY num ORDER BY seg_ix) AS run FROM f) SELECT session, num, run::BIGINT AS run, kind, string_agg(text, ' ' ORDER BY seg_ix) AS text, min(seg_ix) AS first, max(seg_ix) AS last FROM g GROUP BY ALL")
+@query(with_("segment") + ", f AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY num ORDER BY seg_ix) THEN 0 ELSE 1 END AS new FROM segment), g AS (SELECT *, sum(new) OVER (PARTITION BY num ORDER BY seg_ix) AS run FROM f) SELECT session, num, run::BIGINT AS run, kind, string_agg(text, ' ' ORDER BY seg_ix) AS text, min(seg_ix) AS first, max(seg_ix) AS last FROM g GROUP BY ALL")
 def segment_runs(spark: SparkSession, d: str) -> DataFrame:
-    return segments.runs(ad.segments(spark, d).where("seg_ix % 3 != 1"), DOC, "kind", "seg_ix")
+    return segments.runs(ad.segments(spark, d), DOC, "kind", "seg_ix")
 
 
 BLOCKS_SQL = """r AS (SELECT *, row_number() OVER (PARTITION BY num ORDER BY seg_ix) - 1 AS i, sum(length(text)) OVER (PARTITION BY num ORDER BY seg_ix) AS e FROM segment), q AS (SELECT *, e - length(text) AS c FROM r),
@@ -470,8 +470,8 @@ ACT_SQL = f"""li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER
 
 
 @query(with_(more=ACT_SQL) + """SELECT 'o' AS session, num, statute, action, bill_section::BIGINT AS bill_section, 'Subsection (2) of' AS scope, verb, 3 * bill_section AS line_start, 3 * bill_section + CASE WHEN words_deleted > 0 THEN 2 WHEN words_added > 0 THEN 1 ELSE 0 END AS line_end,
-    words_added, words_deleted, EXISTS (SELECT 1 FROM pr WHERE pr.num = a.num AND pr.action = a.action AND pr.statute = a.statute) AS in_title, true AS in_body FROM a
-    UNION ALL SELECT 'o', num, statute, action, NULL, '', '', NULL, NULL, 0, 0, true, EXISTS (SELECT 1 FROM a WHERE a.num = pr.num AND a.statute = pr.statute) FROM pr WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.num = pr.num AND a.action = pr.action AND a.statute = pr.statute)""")
+    words_added, words_deleted, pa.num IS NOT NULL AS in_title, true AS in_body FROM a LEFT JOIN (SELECT DISTINCT num, action, statute FROM pr) pa USING (num, action, statute)
+    UNION ALL SELECT 'o', num, statute, action, NULL, '', '', NULL, NULL, 0, 0, true, aa.num IS NOT NULL FROM pr LEFT JOIN (SELECT DISTINCT num, statute FROM a) aa USING (num, statute) ANTI JOIN (SELECT DISTINCT num, action, statute FROM a) ab USING (num, action, statute)""")
 def cross_reference(spark: SparkSession, d: str) -> DataFrame:
     out = statutes.cross_reference(ad.acts(spark, d), DOC)
     return out.drop("action_label").withColumn("bill_section", F.col("bill_section").cast("long"))
@@ -571,7 +571,9 @@ def headline_cuts(spark: SparkSession, d: str) -> DataFrame:
     return ad.table(spark, d, "conversations").select("conv_id", "turn", verify.flags_cut_headline(F.col("text")).isNotNull().alias("cut"))
 
 
-@query()
+@query(r"""WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN text || repeat(chr(10), 30) WHEN conv_id % 7 = 1 THEN '{' || text ELSE text END AS t FROM conversations),
+    b AS (SELECT *, regexp_replace(t, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS bare, (list_sort(list_transform(list_filter(list_distinct(string_split(t, '')), lambda c: contains(t, repeat(c, 25))), lambda c: {'p': strpos(t, repeat(c, 25)), 'c': c})))[1].c AS run FROM r)
+    SELECT conv_id, turn, CASE WHEN t IS NULL OR bare = '' THEN 'empty response' WHEN run IS NOT NULL THEN 'padded with repeated ''' || replace(run, chr(10), '\n') || '''' WHEN bare LIKE '{%' AND bare NOT LIKE '%}' THEN 'truncated before the object closed' END AS why FROM b""")
 def degenerate_replies(spark: SparkSession, d: str) -> DataFrame:
     c = ad.table(spark, d, "conversations")
     odd = F.when(F.col("conv_id") % 7 == 0, F.concat("text", F.repeat(F.lit("\n"), 30))).when(F.col("conv_id") % 7 == 1, F.concat(F.lit("{"), "text")).otherwise(F.col("text"))
@@ -680,25 +682,14 @@ WORDS_SQL = """w AS (SELECT l_orderkey % 50 AS page, row_number() OVER (ORDER BY
     r AS (SELECT o_orderkey % 50 AS page, o_orderkey AS rule_ix, (o_custkey % 450)::DOUBLE AS r0, (o_custkey % 450 + 80)::DOUBLE AS r1, (o_orderkey % 600 + 100)::DOUBLE AS r_top FROM orders WHERE o_orderkey % 3 = 0)"""
 
 
-@query(f"""WITH {WORDS_SQL}, c AS (SELECT page, word_ix, rule_ix, (least(x1, r1) - greatest(x0, r0)) / greatest(x1 - x0, 0.01) AS cov, (r_top - top) / greatest(bottom - top, 0.01) AS frac FROM w JOIN r USING (page) WHERE top BETWEEN 120 AND 650 AND r_top BETWEEN top - 3 AND bottom + 4),
-    b AS (SELECT page, word_ix, CASE WHEN frac < 0.78 THEN 'delete' ELSE 'insert' END AS mark FROM c WHERE cov >= 0.45 QUALIFY row_number() OVER (PARTITION BY page, word_ix ORDER BY cov DESC, rule_ix) = 1)
-    SELECT coalesce(mark, 'plain') AS kind, page, count(*) AS n FROM w LEFT JOIN b USING (page, word_ix) WHERE top BETWEEN 120 AND 650 GROUP BY ALL""")
-def geometry_marks(spark: SparkSession, d: str) -> DataFrame:
-    li = ad.table(spark, d, "lineitem").where("l_orderkey % 10 = 1")
-    words = li.select((F.col("l_orderkey") % 50).alias("page"), F.monotonically_increasing_id().alias("word_ix"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 500 + F.col("l_quantity")).cast("double").alias("x1"), (F.col("l_suppkey") % 60 * 10 + 100).cast("double").alias("top"), (F.col("l_suppkey") % 60 * 10 + 110).cast("double").alias("bottom"))
-    o = ad.table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    thin = o.select((F.col("o_orderkey") % 50).alias("page"), F.col("o_orderkey").alias("rule_ix"), (F.col("o_custkey") % 450).cast("double").alias("x0"), (F.col("o_custkey") % 450 + 80).cast("double").alias("x1"), (F.col("o_orderkey") % 600 + 100).cast("double").alias("top"), F.lit(0.5).alias("height"), F.lit(80.0).alias("width"))
-    return segments.marked_words(words, thin).groupBy("kind", "page").agg(F.count("*").alias("n"))
-
-
-WHOLE_SQL = """w AS (SELECT l_orderkey // 40 AS page, row_number() OVER () AS word_ix, (l_partkey % 500)::DOUBLE AS x0, (l_partkey % 500 + l_quantity)::DOUBLE AS x1, (l_suppkey % 60 * 10 + 100)::DOUBLE AS top, (l_suppkey % 60 * 10 + 110)::DOUBLE AS bottom FROM lineitem),
+PAGE_SQL = """w AS (SELECT l_orderkey // 40 AS page, row_number() OVER () AS word_ix, (l_partkey % 500)::DOUBLE AS x0, (l_partkey % 500 + l_quantity)::DOUBLE AS x1, (l_suppkey % 60 * 10 + 100)::DOUBLE AS top, (l_suppkey % 60 * 10 + 110)::DOUBLE AS bottom FROM lineitem),
     r AS (SELECT o_orderkey // 40 AS page, o_orderkey AS rule_ix, (o_custkey % 450)::DOUBLE AS r0, (o_custkey % 450 + 80)::DOUBLE AS r1, (o_orderkey % 600 + 100)::DOUBLE AS r_top FROM orders)"""
 
 
-@query(f"""WITH {WHOLE_SQL}, c AS (SELECT page, word_ix, rule_ix, (least(x1, r1) - greatest(x0, r0)) / greatest(x1 - x0, 0.01) AS cov, (r_top - top) / greatest(bottom - top, 0.01) AS frac FROM w JOIN r USING (page) WHERE top BETWEEN 120 AND 650 AND r_top BETWEEN top - 3 AND bottom + 4),
+@query(f"""WITH {PAGE_SQL}, c AS (SELECT page, word_ix, rule_ix, (least(x1, r1) - greatest(x0, r0)) / greatest(x1 - x0, 0.01) AS cov, (r_top - top) / greatest(bottom - top, 0.01) AS frac FROM w JOIN r USING (page) WHERE top BETWEEN 120 AND 650 AND r_top BETWEEN top - 3 AND bottom + 4),
     b AS (SELECT page, word_ix, CASE WHEN frac < 0.78 THEN 'delete' ELSE 'insert' END AS mark FROM c WHERE cov >= 0.45 QUALIFY row_number() OVER (PARTITION BY page, word_ix ORDER BY cov DESC, rule_ix) = 1)
     SELECT coalesce(mark, 'plain') AS kind, page, count(*) AS n FROM w LEFT JOIN b USING (page, word_ix) WHERE top BETWEEN 120 AND 650 GROUP BY ALL""")
-def geometry_marks_whole(spark: SparkSession, d: str) -> DataFrame:
+def geometry_marks(spark: SparkSession, d: str) -> DataFrame:
     """All words and rules, forty orders to a page, so there are more pages in larger tables and none grows."""
     page = lambda key: F.floor(F.col(key) / 40)
     words = ad.table(spark, d, "lineitem").select(page("l_orderkey").alias("page"), F.monotonically_increasing_id().alias("word_ix"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 500 + F.col("l_quantity")).cast("double").alias("x1"), (F.col("l_suppkey") % 60 * 10 + 100).cast("double").alias("top"), (F.col("l_suppkey") % 60 * 10 + 110).cast("double").alias("bottom"))

@@ -197,7 +197,7 @@ def bill_list(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     found = F.regexp_extract("text", r"(?i)([\d,]+)\s+Bills?\s+Found", 1)
     total = blocks.withColumn("t", found).where("t != ''").groupBy("page").agg(F.max(F.regexp_replace("t", ",", "").try_cast("long")).alias("total"))
     rows = rows_of_cells(cells).withColumn("url", F.try_element_at(F.filter(F.flatten("h"), lambda x: F.contains(x, F.lit("/Session/Bill/"))), F.lit(1))).where("url is not null")
-    return rows.join(total, "page", "left").select("page", "row_ix", _c(0).alias("label"), F.regexp_extract("url", r"/Session/Bill/[^/]+/(\d+)", 1).try_cast("long").alias("num"), "url", _c(1).alias("title"), _c(2).alias("filed_by"), F.regexp_replace(_c(3), r"^Last Action:\s*", "").alias("last_action"), F.coalesce("total", F.lit(0)).alias("total"))
+    return rows.join(total.hint("merge"), "page", "left").select("page", "row_ix", _c(0).alias("label"), F.regexp_extract("url", r"/Session/Bill/[^/]+/(\d+)", 1).try_cast("long").alias("num"), "url", _c(1).alias("title"), _c(2).alias("filed_by"), F.regexp_replace(_c(3), r"^Last Action:\s*", "").alias("last_action"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def bill_heads(blocks: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def members(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """(page, url, district, name, party) of member pages; pages(page, url)."""
     is_party, is_name = (F.col("tag") == "p") & F.col("text").rlike(r"^Party:\s*\S"), F.col("tag").isin("h2", "h3", "h4") & F.startswith("text", F.lit("Senator "))
     found = blocks.groupBy("page").agg(F.min_by(F.regexp_extract("text", r"^Party:\s*(\S.*?)\s*$", 1), F.when(is_party, F.col("ix"))).alias("party"), F.min_by(F.substring("text", 9, 1000), F.when(is_name, F.col("ix"))).alias("name"))
-    rows = pages.select("page", "url").join(found, "page", "left")
+    rows = pages.select("page", "url").join(found.hint("merge"), "page", "left")
     return rows.select("page", "url", F.regexp_extract("url", r"/Senators/[Ss](\d+)\b", 1).try_cast("int").alias("district"), F.trim(F.regexp_replace(F.coalesce("name", F.lit("")), r'\s*"[^"]*"\s*', " ")).alias("name"), F.coalesce("party", F.lit("")).alias("party"))
 
 

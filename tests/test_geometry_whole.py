@@ -24,6 +24,6 @@ def test_every_word_and_rule_counts(spark, tmp_path):
             if rule // 40 == key // 40 and top - 3 <= r_top <= top + 14 and cov >= 0.45 and (best is None or (cov, -rule) > best[:2]):
                 best = (cov, -rule, "delete" if (r_top - top) / 10 < 0.78 else "insert")
         want[best[2] if best else "plain", key // 40] += 1
-    got = {(r.kind, r.page): r.n for r in __spark_entry__.queries()["geometry_marks_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.kind, r.page): r.n for r in __spark_entry__.queries()["geometry_marks"](spark, str(tmp_path)).collect()}
     assert got == dict(want) and {k for k, _ in got} == {"delete", "insert", "plain"} and {p for _, p in got} == {0, 1, 2}
     assert sum(got.values()) == sum(120 <= s * 10 + 100 <= 650 for _, _, s, _ in words)
