@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from actfold.functions import rules
 from actfold.functions import text as tx
@@ -39,7 +38,8 @@ def classify(bills: DataFrame, refs: DataFrame) -> DataFrame:
 def listing(areas: DataFrame) -> DataFrame:
     """Bills by area, the areas' counts along."""
     rows = areas.where("area is not null")
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("area"))).orderBy("area", "num")
+    counts = rows.groupBy("area").agg(F.count("*").alias("n"))  # one row an area of a fixed list
+    return rows.join(F.broadcast(counts), "area").select(*rows.columns, "n").orderBy("area", "num")
 
 
 def split_sponsors(bills: DataFrame, committees: DataFrame) -> DataFrame:

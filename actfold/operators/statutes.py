@@ -29,14 +29,14 @@ def title_refs(flat: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sections(flat: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bill_section, start, end, head, body): numbered sections with their offsets; head is 320 characters, body up to 4,600 of the section."""
+    """(keys, piece, bill_section, start, head, body): numbered sections with their places; head is 320 characters, body up to 4,600 of the section."""
     pieces = F.split("full", rf"(?={SECTION})")
     starts = F.aggregate("pieces", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
     rows = flat.withColumn("pieces", pieces).withColumn("starts", starts)
     row = lambda p, i: F.struct(
+        i.alias("piece"),
         F.regexp_extract(p, f"^{SECTION}", 1).alias("number"),
         F.element_at("starts", i + 1).alias("start"),
-        F.element_at("starts", i + 2).alias("end"),
         F.substring(F.col("full"), F.element_at("starts", i + 1) + 1, F.lit(320)).alias("head"),
         F.substring(F.col("full"), F.element_at("starts", i + 1) + 1, F.least(F.length(p), F.lit(4600))).alias("body"),
     )
@@ -44,6 +44,32 @@ def sections(flat: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("bill_section", F.col("number").cast("int")).drop("number")
 
 
+def of_sections(parts: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, piece, op, low, high, next, words_added, words_deleted): each section with the lines and words of the segments it overlaps.
+
+    Sections and segments of a document are laid on one line by where they
+    start, so windows tell the section at a segment's start and at its end
+    (before the next segment starts), and the first line from a section's start
+    on, wherever that is. A segment is repeated only if it reaches into
+    several sections.
+    """
+    line, raw = F.when(F.col("line") != 0, F.col("line")), tx.raw_words(F.col("text"))
+    of = lambda kind: F.when(F.col("kind") == kind, raw).otherwise(0)
+    seg = placed(segments, keys).select(*keys, F.col("start").alias("at"), F.lit(1).alias("what"), "end", line.alias("line"), of("insert").alias("added"), of("delete").alias("deleted"))
+    rows = parts.unionByName(seg, allowMissingColumns=True)
+    on = Window.partitionBy(*keys).orderBy("at", "what").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("what"))
+    rows = rows.withColumn("first", F.coalesce(F.last("piece", ignorenulls=True).over(on), F.lit(-1))).withColumn("opens", F.last(F.when(F.col("what") == 0, F.col("at")), ignorenulls=True).over(on).eqNullSafe(F.col("at")))
+    before = F.when(F.col("what") == 1, F.col("first") - F.col("opens").cast("int"))
+    rows = rows.withColumn("last", F.last(before, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))).withColumn("next", F.last("line", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumn("last", F.coalesce("last", F.max("piece").over(whole), F.lit(-1))).withColumn("inside", F.col("at") < F.max("end").over(whole))  # an empty one at the very end is in no section
+    span = F.when(F.col("what") == 0, F.array("piece")).when(F.col("inside") & (F.col("last") >= F.greatest("first", F.lit(0))), F.sequence(F.greatest("first", F.lit(0)), F.col("last")))
+    dealt = rows.select(*keys, "op", "line", "added", "deleted", F.when(F.col("what") == 0, F.col("next")).alias("next"), F.explode(span).alias("piece"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return dealt.groupBy(*keys, "piece").agg(F.first("op", ignorenulls=True).alias("op"), F.min("line").alias("low"), F.max("line").alias("high"), F.max("next").alias("next"), total("added").alias("words_added"), total("deleted").alias("words_deleted"))
+
+
 def cross_reference(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Every statute that each document operates on, from sections and from the title.
 
@@ -62,20 +88,15 @@ def cross_reference(segments: DataFrame, keys: list[str]) -> DataFrame:
     opener = F.length(F.concat(F.lit("Section "), F.col("bill_section").cast("string"), F.lit(". ")))
     between = F.substring(head, opener + 1, F.greatest(F.col("at") - 1 - opener, F.lit(0)))
     parts = sections(flat, keys).withColumns({"at": at, "wide": (where > 0) & (~full_form | (where - 1 < 120))})
-    parts = parts.where("wide or at > 0").select(
-        *keys, "bill_section", "start", "end", "wide",
+    operation = F.struct(
+        "bill_section", "wide",
         F.when(F.col("wide"), F.regexp_extract("body", CHAPTER, 1)).alias("chapter"),
         F.when(F.col("wide"), tx.cites_in(F.regexp_extract(body, CHAPTER, 2))).otherwise(F.array(F.when(full_form, F.regexp_extract("head", STATUTE, 1)).otherwise(F.regexp_extract("head", STATUTE_SHORT, 1)))).alias("members"),
         F.when(F.col("wide"), F.lower(F.regexp_extract("body", CHAPTER, 3))).when(said != "", said).when(head.rlike(ADDED_TO), "added").otherwise("amended").alias("verb"),
         F.when(F.col("wide"), "").otherwise(F.left(F.regexp_replace(F.regexp_replace(between, r"(?U)\s+", " "), "^[ ,]+|[ ,]+$", ""), F.lit(160))).alias("scope"),
     )
-
-    # Sections meet the segments they overlap; a chapter-wide one takes the first line from its start on, wherever that is.
-    seg = placed(segments, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("s0"), F.col("end").alias("s1"), "kind", "text", F.when(F.col("line") != 0, F.col("line")).alias("line"))
-    meets = [*[F.col(k) == F.col(f"_{k}") for k in keys], F.col("s1") > F.col("start"), F.when(F.col("wide"), F.col("line").isNotNull() & (F.col("s0") >= F.col("start"))).otherwise(F.col("s0") < F.col("end"))]
-    words = lambda k: F.coalesce(F.sum(F.when(~F.col("wide") & (F.col("kind") == k), tx.raw_words(F.col("text")))), F.lit(0)).cast("long")
-    own = [*keys, "bill_section", "start", "wide", "chapter", "members", "verb", "scope"]
-    met = parts.join(seg.hint("merge"), meets, "left").groupBy(*own).agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min_by("line", F.when(F.col("line").isNotNull(), F.col("s0"))).alias("next"), words("insert").alias("words_added"), words("delete").alias("words_deleted"))
+    parts = parts.select(*keys, F.col("start").alias("at"), F.lit(0).alias("what"), "piece", F.when(F.col("wide") | (F.col("at") > 0), operation).alias("op"))
+    met = of_sections(parts, segments, keys).where("op is not null").select(*keys, "op.*", "low", "high", "next", *[F.when(F.col("op.wide"), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("words_added", "words_deleted")])
     found = met.withColumn("statute", F.explode(F.when(F.size("members") > 0, F.col("members")).otherwise(F.array("chapter"))))
     of_body = found.select(
         *keys, F.regexp_replace("statute", r"\.+$", "").alias("statute"), F.coalesce(rules.lookup(rules.ACTION_CATEGORY, F.col("verb")), F.lit("amend")).alias("action"), "bill_section",

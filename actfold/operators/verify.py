@@ -68,26 +68,30 @@ def checked(claims: DataFrame, readings: DataFrame, keys: list[str], least_words
     return rows.withColumn("quote", F.when(F.col("drop_reason").isNull(), F.col("_q")).otherwise(F.col("quote"))).drop(*[c for c in rows.columns if c in ("_q", "_l") or c.startswith(("_amended", "_standing", "_printed", "_lamended", "_lstanding", "_lprinted"))])
 
 
-def contained(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, shingle: int = 8) -> DataFrame:
-    """(quote_id, doc_id) of every document that contains a quote, none named: candidates share the quote's first run of words, then are checked in full.
+def contained(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, shingle: int = 8, small: int = 500_000) -> DataFrame:
+    """(quote_id, doc_id) of every document that contains a quote, none named: candidates share the quote's rarest run of words, then are checked in full.
 
     Both texts are in canonical spelling. A quote inside a document may begin
     or end inside a word, so its runs of words leave out the first and last.
-    Quotes with fewer than three words have no run and find nothing.
+    Quotes with fewer than three words have no run and find nothing. Documents'
+    runs that no quote has are dropped where they are read as long as the
+    quotes have at most ``small`` runs (8 bytes each), else by a merge join.
     """
     words = lambda c: F.split(F.lower(c), " ")
     grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
     q = quotes.select(F.col(quote_id), tx.canonical(F.col("text")).alias("quote")).where("quote != ''").withColumn("w", words(F.col("quote"))).withColumn("inner", F.slice("w", 2, F.size("w") - 2)).where("size(inner) > 0")
     q = q.withColumn("n", F.least(F.size("inner"), F.lit(shingle)))
-    sizes = sorted(r[0] for r in q.select("n").distinct().collect())  # at most ``shingle`` values
-    out = []
-    d = documents.select(F.col(doc_id), tx.canonical(F.col("text")).alias("whole")).withColumn("w", words(F.col("whole")))
-    for n in sizes:
-        keys = d.where(F.size("w") >= n).select(doc_id, F.explode(F.array_distinct(grams(F.col("w"), n))).alias("key"))
-        mine = q.where(F.col("n") == n).select(quote_id, F.element_at(grams(F.col("inner"), n), 1).alias("key"))
-        out.append(keys.join(mine.hint("merge"), "key").select(quote_id, doc_id))
-    pairs = reduce(DataFrame.union, out).distinct() if out else q.select(quote_id, F.lit(None).cast(d.schema[doc_id].dataType).alias(doc_id)).where(F.lit(False))
-    full = pairs.join(q.select(quote_id, "quote").hint("merge"), quote_id).join(d.select(doc_id, "whole").hint("merge"), doc_id)
+    d = documents.select(F.col(doc_id), tx.canonical(F.col("text")).alias("whole"))
+    runs = q.select(quote_id, F.explode(F.array_distinct(grams(F.col("inner"), F.col("n")))).alias("key"))
+    sizes, n_runs = q.agg(F.collect_set("n"), F.coalesce(F.sum(F.size("inner") - F.col("n") + 1), F.lit(0))).first()  # at most ``shingle`` sizes
+    w = F.col("w")
+    every = F.flatten(F.array(F.array().cast("array<bigint>"), *[F.when(F.size(w) >= n, grams(w, n)).otherwise(F.array().cast("array<bigint>")) for n in sorted(sizes)]))
+    found = d.select(doc_id, words(F.col("whole")).alias("w")).select(doc_id, F.explode(F.array_distinct(every)).alias("key"))
+    found = found.join(runs.select("key").distinct().hint("broadcast" if n_runs <= small else "merge"), "key", "left_semi")
+    rarity = runs.join(found.groupBy("key").agg(F.count("*").alias("docs")).hint("merge"), "key", "left")
+    rarest = rarity.groupBy(quote_id).agg(F.min_by("key", F.struct(F.coalesce("docs", F.lit(0)), "key")).alias("key"))
+    pairs = found.join(rarest.hint("merge"), "key").select(quote_id, doc_id).distinct()
+    full = pairs.join(q.select(quote_id, "quote").hint("merge"), quote_id).join(d.hint("merge"), doc_id)
     return full.where(F.contains("whole", F.col("quote"))).select(quote_id, doc_id)
 
 

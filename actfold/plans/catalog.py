@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from actfold.functions import rules
 from actfold.functions import text as tx
@@ -444,17 +445,40 @@ def brief_blocks(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy(*DOC).agg(F.sum("changed").alias("changed"), F.count("*").alias("kept"))
 
 
-@query()
+def _kept_sql(budget: int) -> str:
+    """Blocks walked from the most changed on, each kept while it fits."""
+    return f"""wo AS (SELECT *, length(passage) AS n, row_number() OVER (PARTITION BY num ORDER BY changed DESC, block_ix) AS k FROM blocks),
+    walk AS (SELECT *, n AS used, true AS kept FROM wo WHERE k = 1 UNION ALL SELECT wo.*, used + CASE WHEN used + wo.n <= {budget} THEN wo.n ELSE 0 END, used + wo.n <= {budget} FROM walk JOIN wo ON wo.num = walk.num AND wo.k = walk.k + 1)"""
+
+
+#: Blocks walked in order, a new part wherever the next one would not fit.
+PARTS_SQL = """po AS (SELECT *, length(passage) AS n, row_number() OVER (PARTITION BY num ORDER BY block_ix) AS k FROM blocks),
+    pw AS (SELECT *, n AS used, 1 AS part FROM po WHERE k = 1 UNION ALL SELECT po.*, CASE WHEN used > 0 AND used + po.n > 2000 THEN 0 ELSE used END + po.n, part + CASE WHEN used > 0 AND used + po.n > 2000 THEN 1 ELSE 0 END FROM pw JOIN po ON po.num = pw.num AND po.k = pw.k + 1),
+    dealt AS (SELECT *, max(part) OVER (PARTITION BY num) AS parts FROM pw)"""
+PASSAGE_SQL = "string_agg(chr(10) || '[' || coalesce('line ' || line, '—') || '] ' || passage, chr(10) ORDER BY block_ix)"
+
+
+def _walked(*more: str) -> str:
+    return with_("segment", more=", ".join((BLOCKS_SQL, *more))).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_walked(_kept_sql(4000)) + "SELECT session, num, block_ix, changed, n FROM walk WHERE kept")
 def brief_within_budget(spark: SparkSession, d: str) -> DataFrame:
-    return verify.within_budget(_blocks(spark, d), DOC, 4000).select(*DOC, "block_ix", "changed", F.length("passage").alias("n"))
+    return verify.within_budget(_blocks(spark, d), DOC, 4000).select(*DOC, "block_ix", "changed", F.length("passage").cast("long").alias("n"))
 
 
-@query()
+@query(_walked(PARTS_SQL) + "SELECT session, num, block_ix, part, parts FROM dealt")
 def brief_parts(spark: SparkSession, d: str) -> DataFrame:
     return verify.parted(_blocks(spark, d), DOC, 2000).select(*DOC, "block_ix", "part", "parts")
 
 
-@query()
+#: No document of the tables cites a statute in a bill's form, so headers hold no references; act_briefs has those.
+@query(_walked(_kept_sql(8000)) + f""", body AS (SELECT num, count(*) AS passages, {PASSAGE_SQL} AS body FROM walk WHERE kept GROUP BY num), total AS (SELECT num, count(*) AS total FROM blocks GROUP BY num),
+    words AS (SELECT num, coalesce(sum(len(regexp_extract_all(text, '\\S+'))) FILTER (kind = 'insert'), 0) AS a, coalesce(sum(len(regexp_extract_all(text, '\\S+'))) FILTER (kind = 'delete'), 0) AS x FROM segment GROUP BY num)
+    SELECT 'd' AS session, doc_id AS num, concat_ws(chr(10), 'BILL: HB ' || doc_id || ' — ' || coalesce(source, ''), 'CHAMBER: House', 'SPONSOR: ' || nullif(lang, ''),
+        CASE WHEN passages > 0 THEN format('\n\nCHANGED LANGUAGE ({{}} of {{}} passages). In total this bill adds {{:,}} words and deletes {{:,}}.', passages, total, a::BIGINT, x::BIGINT)[2:] ELSE chr(10) || 'CHANGED LANGUAGE: none marked' END, body) AS text,
+        coalesce(passages, 0) AS passages, coalesce(total, 0) AS total_passages, coalesce(passages, 0) < coalesce(total, 0) AS truncated
+    FROM documents LEFT JOIN body ON body.num = doc_id LEFT JOIN total ON total.num = doc_id LEFT JOIN words ON words.num = doc_id""".replace("'\n\nCHANGED", "chr(10) || chr(10) || 'CHANGED"))
 def brief_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = ad.table(spark, d, "documents").select(F.lit("d").alias("session"), F.col("doc_id").alias("num"), F.concat(F.lit("HB "), F.col("doc_id").cast("string")).alias("label"), F.col("source").alias("title"), F.lit("House").alias("chamber"), F.col("lang").alias("sponsor"), F.lit("").alias("effective_date"))
     refs = statutes.cross_reference(ad.segments(spark, d), DOC)
@@ -477,6 +501,36 @@ def cross_reference(spark: SparkSession, d: str) -> DataFrame:
     return out.drop("action_label").withColumn("bill_section", F.col("bill_section").cast("long"))
 
 
+#: All references of acts, as cross_reference's SQL gives them.
+REF_SQL = """rf AS (SELECT num, statute, action, bill_section, verb, 3 * bill_section AS line_start, words_added, words_deleted FROM a
+    UNION ALL SELECT num, statute, action, NULL, '', NULL, 0, 0 FROM pr ANTI JOIN (SELECT DISTINCT num, action, statute FROM a) ab USING (num, action, statute)),
+    rl AS (SELECT *, coalesce(bill_section::VARCHAR, '-') AS sec, CASE WHEN words_added <> 0 OR words_deleted <> 0 THEN words_added || '|' || words_deleted END AS churn FROM rf)"""
+
+
+@query(with_(more=ACT_SQL + ", " + REF_SQL) + "SELECT num, statute, bill_section::BIGINT AS bill_section, CASE action WHEN 'amend' THEN 'amends' WHEN 'create' THEN 'creates' WHEN 'repeal' THEN 'repeals' ELSE 'reenacts' END || ' s. ' || statute || coalesce(' at line ' || line_start, '') || coalesce(' (+' || replace(churn, '|', ' / -') || ' words)', '') AS summary FROM rl")
+def reference_summaries(spark: SparkSession, d: str) -> DataFrame:
+    out = statutes.summary(statutes.cross_reference(ad.acts(spark, d), DOC))
+    return out.select("num", "statute", F.col("bill_section").cast("long").alias("bill_section"), "summary")
+
+
+@query(with_(more=ACT_SQL + ", " + REF_SQL) + """, ls AS (SELECT num, count(*) AS n, string_agg('  section ' || sec || ': ' || action || 's s. ' || statute || ' at ' || coalesce('line ' || line_start, 'title only') || coalesce(', +' || replace(churn, '|', '/-') || ' words', '') || CASE WHEN bill_section IS NULL THEN '' ELSE ' [Subsection (2) of]' END, chr(10) ORDER BY bill_section NULLS LAST, statute, action) AS list FROM rl GROUP BY num)
+    SELECT 'o' AS session, o_orderkey AS num, concat_ws(chr(10), 'BILL: HB ' || o_orderkey || ' — ' || coalesce(o_orderpriority, ''), 'CHAMBER: House', 'SPONSOR: ' || o_custkey, chr(10) || 'STATUTES THIS BILL OPERATES ON (' || n || '):', list) AS header FROM orders LEFT JOIN ls ON num = o_orderkey""")
+def act_headers(spark: SparkSession, d: str) -> DataFrame:
+    o = ad.table(spark, d, "orders").select(F.lit("o").alias("session"), F.col("o_orderkey").alias("num"), F.concat(F.lit("HB "), F.col("o_orderkey").cast("string")).alias("label"), F.col("o_orderpriority").alias("title"), F.lit("House").alias("chamber"), F.col("o_custkey").cast("string").alias("sponsor"), F.lit("").alias("effective_date"))
+    return verify.headers(o, statutes.cross_reference(ad.acts(spark, d), DOC))
+
+
+@query(with_(more=ACT_SQL) + """SELECT 'o' AS session, num, ch || '.' || unnest(['013', '022', '023']) AS statute, 'repeal' AS action, n + 1 AS bill_section, 'chapter ' || ch AS scope, 'repealed' AS verb, 3 * (n + 1) AS line_start, NULL::BIGINT AS line_end, 0 AS words_added, 0 AS words_deleted, false AS in_title, true AS in_body
+    FROM (SELECT l_orderkey AS num, count(*) AS n, (min(l_partkey) % 800 + 1)::VARCHAR AS ch FROM lineitem GROUP BY l_orderkey)""")
+def chapter_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Acts that end by repealing three sections of a chapter at once."""
+    li = ad.table(spark, d, "lineitem").groupBy("l_orderkey").agg((F.count("*") + 1).alias("n"), (F.min("l_partkey") % 800 + 1).cast("string").alias("ch"))
+    text = F.concat(F.lit("Section "), F.col("n").cast("string"), F.lit(". Chapter "), "ch", F.lit(", Florida Statutes, consisting of ss. "), F.concat_ws(", ", *[F.concat("ch", F.lit(x)) for x in (".013", ".022", ".023")]), F.lit(", is repealed."))
+    last = li.select(F.lit("o").alias("session"), F.col("l_orderkey").alias("num"), (F.col("n") * 3).alias("seg_ix"), F.lit("plain").alias("kind"), text.alias("text"), (F.col("n") * 3).alias("line"), F.lit(1).cast("long").alias("page"))
+    out = statutes.cross_reference(ad.acts(spark, d).unionByName(last), DOC).where(F.startswith("scope", F.lit("chapter ")))
+    return out.drop("action_label").withColumns({c: F.col(c).cast("long") for c in ("bill_section", "line_start", "line_end")})
+
+
 @query(with_(more=ACT_SQL) + "SELECT statute, count(DISTINCT num) AS bills, sum(words_added)::BIGINT AS added, sum(words_deleted)::BIGINT AS deleted FROM (SELECT num, statute, words_added, words_deleted FROM a UNION ALL SELECT num, statute, 0, 0 FROM pr) GROUP BY statute")
 def cross_reference_index(spark: SparkSession, d: str) -> DataFrame:
     return statutes.statute_index(statutes.cross_reference(ad.acts(spark, d), DOC))
@@ -725,6 +779,22 @@ def enumeration_index(spark: SparkSession, d: str) -> DataFrame:
     return writes.enumeration(li).drop("page")
 
 
+@query(f"WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ad.LINE_ORDER)}) AS n FROM lineitem) " + """, it AS (SELECT *, chr(10) || n || '. [' || ['major', 'moderate', 'technical'][n % 3 + 1] || '] Part ' || l_partkey || CASE WHEN n % 2 = 0 THEN ' (s. ' || l_suppkey || '.01)' ELSE '' END || chr(10) || '   ' || l_returnflag || chr(10) || '   "' || l_linestatus || '"' AS item FROM li)
+    SELECT 'o' AS session, o_orderkey AS num, 'BILL: ' || o_orderkey || chr(10) || chr(10) || 'WHAT THIS BILL DOES — ' || count(*) || ' provisions' || chr(10) || string_agg(item, chr(10) ORDER BY n) AS text FROM orders JOIN it ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def provision_digests(spark: SparkSession, d: str) -> DataFrame:
+    li = ad.table(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ad.LINE_ORDER)))
+    cite = F.when(F.col("n") % 2 == 0, F.concat(F.col("l_suppkey").cast("string"), F.lit(".01")))
+    provisions = li.select(F.lit("o").alias("session"), F.col("l_orderkey").alias("num"), F.col("n").alias("ord"), cite.alias("statute"), ad.pick(["major", "moderate", "technical"], F.col("n") % 3).alias("significance"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("heading"), F.col("l_returnflag").alias("effect"), F.col("l_linestatus").alias("quote"))
+    header = ad.table(spark, d, "orders").select(F.lit("o").alias("session"), F.col("o_orderkey").alias("num"), F.concat(F.lit("BILL: "), F.col("o_orderkey").cast("string")).alias("header"))
+    return verify.provision_digest(header, provisions)
+
+
+@query("SELECT doc_id, sha256(text) AS digest, strlen(text) AS bytes FROM documents")
+def document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    return ad.table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("digest"), F.length(text).cast("long").alias("bytes"))
+
+
 @query()
 def bill_pages(spark: SparkSession, d: str) -> DataFrame:
     b = ad.bills(spark, d)
@@ -802,7 +872,7 @@ def digest_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("bills", F.array_join(F.transform("bills", lambda b: F.concat_ws(" ", b["num"].cast("string"), b["area"], b["one_line"])), "|"))
 
 
-@query()
+@query(_walked(PARTS_SQL) + f"SELECT d.session, d.num, part, parts, count(*) AS passages, concat_ws(chr(10), 'BILL: ' || any_value(source), chr(10) || 'CHANGED LANGUAGE — PART ' || part || ' OF ' || parts, {PASSAGE_SQL}) AS text FROM dealt d JOIN documents ON doc_id = d.num GROUP BY d.session, d.num, part, parts")
 def brief_part_texts(spark: SparkSession, d: str) -> DataFrame:
     docs = ad.table(spark, d, "documents").select(F.lit("d").alias("session"), F.col("doc_id").alias("num"), F.concat(F.lit("BILL: "), "source").alias("header"))
     return verify.brief_parts(docs, _blocks(spark, d), 2000)
