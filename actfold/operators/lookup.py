@@ -69,6 +69,17 @@ def enacted(bills: DataFrame) -> DataFrame:
     return bills.where(tx.truthy(F.col("chapter_law")))
 
 
+def enacted_in_order(bills: DataFrame) -> DataFrame:
+    """Enacted bills by number; a range sort, so no task holds them all."""
+    return enacted(bills).orderBy("session", "num")
+
+
+def distinct_lists(columns: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(list, value): the distinct values, neither null nor empty, of a column of each named table."""
+    parts = [df.select(F.lit(name).alias("list"), F.col(c).cast("string").alias("value")) for name, (df, c) in columns.items()]
+    return reduce(DataFrame.union, parts).where(tx.truthy(F.col("value"))).distinct()
+
+
 def restricted(rows: DataFrame, to: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(to.select(*keys).distinct(), keys, "left_semi")
 

@@ -131,6 +131,16 @@ def refs_of_enacted(spark: SparkSession, d: str) -> DataFrame:
     return lookup.restricted(ad.refs(spark, d), lookup.enacted(ad.orders_as_bills(spark, d)), DOC)
 
 
+@query(with_("obill") + "SELECT session, num, label, title, chapter_law FROM obill WHERE chapter_law <> ''")
+def enacted_list(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.enacted_in_order(ad.orders_as_bills(spark, d))
+
+
+@query(with_("bill", "statute_ref", "bill_text") + "SELECT DISTINCT 'sponsor' AS list, sponsor_url AS value FROM bill UNION ALL SELECT DISTINCT 'statute', statute FROM statute_ref UNION ALL SELECT DISTINCT 'number', num::VARCHAR FROM bill_text")
+def distinct_lists(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.distinct_lists({"sponsor": (ad.bills(spark, d), "sponsor_url"), "statute": (ad.refs(spark, d), "statute"), "number": (ad.texts(spark, d), "num")})
+
+
 @query(with_("bill") + "SELECT b.session, b.num, b.sponsor_url, s_name AS member, 'district ' || s_nationkey AS party FROM bill b LEFT JOIN supplier s ON b.sponsor_url = '/Senators/S' || s_suppkey")
 def sponsor_member(spark: SparkSession, d: str) -> DataFrame:
     s = ad.table(spark, d, "supplier")
