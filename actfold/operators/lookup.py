@@ -29,9 +29,9 @@ def ranked(activities: DataFrame) -> DataFrame:
     """By session, the busiest bills first, then by number.
 
     Rows are numbered within an activity and a range of 65,536 numbers, from
-    the count of all rows before it, so no task sorts a whole session.
+    the count of all rows before it, so no task sorts a whole session. Null numbers come first.
     """
-    rows, by = activities.withColumn("_range", F.floor(F.col("num") / 65536)), ["session", "activity", "_range"]
+    rows, by = activities.withColumn("_range", F.coalesce(F.floor(F.col("num") / 65536), F.lit(-(1 << 48)))), ["session", "activity", "_range"]
     before = Window.partitionBy("session").orderBy(F.desc("activity"), "_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("num"))).join(counts.hint("merge"), by)

@@ -71,6 +71,6 @@ def test_quotes_by_their_rarest_run(spark):
 
 def test_ranks_across_ranges(spark):
     rng = random.Random(2)
-    rows = [("s", n, rng.randint(0, 3)) for n in rng.sample(range(400_000), 300)]
+    rows = [("s", n, rng.randint(0, 3)) for n in rng.sample(range(400_000), 300)] + [("s", None, 2)]
     got = {r.num: r.place for r in lookup.ranked(spark.createDataFrame(rows, "session string, num long, activity long")).collect()}
-    assert got == {r[1]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])), 1)}
+    assert got == {r[1]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[2], -1 if r[1] is None else r[1])), 1)}
