@@ -143,7 +143,7 @@ def marked_words(words: DataFrame, rules: DataFrame) -> DataFrame:
     frac = (F.col("r_top") - F.col("top")) / F.greatest(F.col("bottom") - F.col("top"), F.lit(0.01))
     near = near.withColumn("cov", cov).where("cov >= 0.45").withColumn("mark", F.when(frac < 0.78, "delete").otherwise("insert"))
     best = near.groupBy("page", "word_ix").agg(F.max_by("mark", F.struct("cov", -F.col("rule_ix"))).alias("mark"))
-    return body.join(best, ["page", "word_ix"], "left").withColumn("kind", F.coalesce("mark", F.lit("plain"))).drop("mark")
+    return body.join(best.hint("merge"), ["page", "word_ix"], "left").withColumn("kind", F.coalesce("mark", F.lit("plain"))).drop("mark")
 
 
 def geometry_segments(words: DataFrame, rules: DataFrame) -> DataFrame:

@@ -129,6 +129,27 @@ def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("page_id"), html.alias("html"))
 
 
+def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, html): listing pages of forty orders, with a heading row and the count of bills found."""
+    o = table(spark, sf_dir, "orders").withColumn("page_id", F.floor(F.col("o_orderkey") / 40))
+    key = F.col("o_orderkey").cast("string")
+    row = F.concat(
+        F.lit('<tr><th scope="row"><a href="/Session/Bill/2024/'), key, F.lit('">HB '), key, F.lit("</a></th><td>"), F.col("o_orderpriority"), F.lit("</td><td>S"), F.col("o_custkey").cast("string"),
+        F.lit("</td><td>Last Action: "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit(" House - Filed</td></tr>"),
+    )
+    listed = o.groupBy("page_id").agg(F.count("*").cast("string").alias("n"), F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("row")))).alias("a"))
+    html = F.concat(F.lit("<p>"), F.col("n"), F.lit(" Bills Found</p><table><thead><tr><th>Number</th><th>Title</th><th>Filed By</th><th>Last Action</th></tr></thead><tbody>"), F.array_join(F.transform("a", lambda x: x["row"]), ""), F.lit("</tbody></table>"))
+    return listed.select("page_id", html.alias("html"))
+
+
+def member_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html): a member's page of every supplier; a third name no party."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    party = pick(["<p>Party: Democrat </p>", "<p>Party: Republican</p>", "<p>Party:</p>"], F.col("s_nationkey") % 3)
+    html = F.concat(F.lit('<h1>The Senate</h1><h2>Senator Ana "Nick" '), F.col("s_name"), F.lit("</h2><p>Office</p>"), party)
+    return s.select(k.alias("page_id"), F.concat(F.lit("/Senators/S"), (k % 40 + 1).cast("string")).alias("url"), html.alias("html"))
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as quotes of documents: each is asked of documents by number, in part altered."""
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id")

@@ -742,10 +742,6 @@ def page_marked_segments(spark: SparkSession, d: str) -> DataFrame:
     return pages.marked_segments(marked)
 
 
-WORDS_SQL = """w AS (SELECT l_orderkey % 50 AS page, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS word_ix, (l_partkey % 500)::DOUBLE AS x0, (l_partkey % 500 + l_quantity)::DOUBLE AS x1, (l_suppkey % 60 * 10 + 100)::DOUBLE AS top, (l_suppkey % 60 * 10 + 110)::DOUBLE AS bottom FROM lineitem WHERE l_orderkey % 10 = 1),
-    r AS (SELECT o_orderkey % 50 AS page, o_orderkey AS rule_ix, (o_custkey % 450)::DOUBLE AS r0, (o_custkey % 450 + 80)::DOUBLE AS r1, (o_orderkey % 600 + 100)::DOUBLE AS r_top FROM orders WHERE o_orderkey % 3 = 0)"""
-
-
 PAGE_SQL = """w AS (SELECT l_orderkey // 40 AS page, row_number() OVER () AS word_ix, (l_partkey % 500)::DOUBLE AS x0, (l_partkey % 500 + l_quantity)::DOUBLE AS x1, (l_suppkey % 60 * 10 + 100)::DOUBLE AS top, (l_suppkey % 60 * 10 + 110)::DOUBLE AS bottom FROM lineitem),
     r AS (SELECT o_orderkey // 40 AS page, o_orderkey AS rule_ix, (o_custkey % 450)::DOUBLE AS r0, (o_custkey % 450 + 80)::DOUBLE AS r1, (o_orderkey % 600 + 100)::DOUBLE AS r_top FROM orders)"""
 
@@ -757,8 +753,28 @@ def geometry_marks(spark: SparkSession, d: str) -> DataFrame:
     """All words and rules, forty orders to a page, so there are more pages in larger tables and none grows."""
     page = lambda key: F.floor(F.col(key) / 40)
     words = ad.table(spark, d, "lineitem").select(page("l_orderkey").alias("page"), F.monotonically_increasing_id().alias("word_ix"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 500 + F.col("l_quantity")).cast("double").alias("x1"), (F.col("l_suppkey") % 60 * 10 + 100).cast("double").alias("top"), (F.col("l_suppkey") % 60 * 10 + 110).cast("double").alias("bottom"))
-    thin = ad.table(spark, d, "orders").select(page("o_orderkey").alias("page"), F.col("o_orderkey").alias("rule_ix"), (F.col("o_custkey") % 450).cast("double").alias("x0"), (F.col("o_custkey") % 450 + 80).cast("double").alias("x1"), (F.col("o_orderkey") % 600 + 100).cast("double").alias("top"), F.lit(0.5).alias("height"), F.lit(80.0).alias("width"))
-    return segments.marked_words(words, thin).groupBy("kind", "page").agg(F.count("*").alias("n"))
+    return segments.marked_words(words, _rules(spark, d)).groupBy("kind", "page").agg(F.count("*").alias("n"))
+
+
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    return ad.table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 40).alias("page"), F.col("o_orderkey").alias("rule_ix"), (F.col("o_custkey") % 450).cast("double").alias("x0"), (F.col("o_custkey") % 450 + 80).cast("double").alias("x1"), (F.col("o_orderkey") % 600 + 100).cast("double").alias("top"), F.lit(0.5).alias("height"), F.lit(80.0).alias("width"))
+
+
+GEOMETRY_SQL = PAGE_SQL.replace("row_number() OVER () AS word_ix", "l_orderkey * 100 + n AS word_ix, CASE WHEN n = 1 THEN l_partkey::VARCHAR ELSE l_returnflag || l_partkey END AS text").replace("FROM lineitem", "FROM li")
+
+
+@query(f"""WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ad.LINE_ORDER)}) AS n FROM lineitem), {GEOMETRY_SQL}, c AS (SELECT page, word_ix, rule_ix, (least(x1, r1) - greatest(x0, r0)) / greatest(x1 - x0, 0.01) AS cov, (r_top - top) / greatest(bottom - top, 0.01) AS frac FROM w JOIN r USING (page) WHERE top BETWEEN 120 AND 650 AND r_top BETWEEN top - 3 AND bottom + 4),
+    b AS (SELECT page, word_ix, CASE WHEN frac < 0.78 THEN 'delete' ELSE 'insert' END AS mark FROM c WHERE cov >= 0.45 QUALIFY row_number() OVER (PARTITION BY page, word_ix ORDER BY cov DESC, rule_ix) = 1),
+    m AS (SELECT w.*, coalesce(mark, 'plain') AS kind, (round_even(top / 4, 0) * 4)::BIGINT AS row_at FROM w LEFT JOIN b USING (page, word_ix) WHERE top BETWEEN 120 AND 650), o AS (SELECT *, row_number() OVER (PARTITION BY page, row_at ORDER BY x0, word_ix) AS i FROM m),
+    l AS (SELECT *, i = 1 AND x0 < 60 AND regexp_full_match(text, '[0-9]+') AS lead FROM o), t AS (SELECT *, max(CASE WHEN lead THEN try_cast(text AS BIGINT) END) OVER (PARTITION BY page, row_at) AS line FROM l),
+    f AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY page, row_at ORDER BY i) THEN 0 ELSE 1 END AS new FROM t WHERE NOT lead), g AS (SELECT *, sum(new) OVER (PARTITION BY page, row_at ORDER BY i) AS run FROM f)
+    SELECT page, row_at, line, kind, string_agg(text, ' ' ORDER BY i) AS text, row_number() OVER (PARTITION BY page ORDER BY row_at, run) AS seg_ix FROM g GROUP BY page, row_at, run, line, kind""")
+def geometry_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Printed pages as segments: rows by height, numbers in the margin as lines, runs of one mark joined."""
+    li = ad.table(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ad.LINE_ORDER)))
+    part = F.col("l_partkey").cast("string")
+    words = li.select(F.floor(F.col("l_orderkey") / 40).alias("page"), (F.col("l_orderkey") * 100 + F.col("n")).alias("word_ix"), F.when(F.col("n") == 1, part).otherwise(F.concat("l_returnflag", part)).alias("text"), (F.col("l_partkey") % 500).cast("double").alias("x0"), (F.col("l_partkey") % 500 + F.col("l_quantity")).cast("double").alias("x1"), (F.col("l_suppkey") % 60 * 10 + 100).cast("double").alias("top"), (F.col("l_suppkey") % 60 * 10 + 110).cast("double").alias("bottom"))
+    return segments.geometry_segments(words, _rules(spark, d)).select("page", F.col("row").cast("long").alias("row_at"), F.col("line").cast("long").alias("line"), "kind", "text", F.col("seg_ix").cast("long").alias("seg_ix"))
 
 
 # --- writes ------------------------------------------------------------------------------
@@ -945,3 +961,15 @@ def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
 @query(LI_SQL + "SELECT o_orderkey AS page, 'House' AS chamber, k AS seq, CASE k WHEN 0 THEN 'Rules' ELSE 'Taxes ' || o_custkey END AS name, CASE k WHEN 0 THEN 'RUL' ELSE 'TAX' END AS code FROM (SELECT *, unnest([0, 1]) AS k FROM orders WHERE o_orderkey IN (SELECT page FROM li))")
 def page_committees(spark: SparkSession, d: str) -> DataFrame:
     return pages.committee_refs(pages.page_blocks(ad.record_pages(spark, d)))
+
+
+@query("SELECT o_orderkey // 40 AS page, row_number() OVER (PARTITION BY o_orderkey // 40 ORDER BY o_orderkey) AS row_ix, 'HB ' || o_orderkey AS label, o_orderkey AS num, '/Session/Bill/2024/' || o_orderkey AS url, o_orderpriority AS title, 'S' || o_custkey AS filed_by, strftime(o_orderdate, '%-m/%-d/%Y') || ' House - Filed' AS last_action, count(*) OVER (PARTITION BY o_orderkey // 40) AS total FROM orders")
+def page_bill_list(spark: SparkSession, d: str) -> DataFrame:
+    p = ad.list_pages(spark, d)
+    return pages.bill_list(pages.page_cells(p), pages.page_blocks(p)).withColumn("row_ix", F.col("row_ix").cast("long"))
+
+
+@query("SELECT s_suppkey AS page, '/Senators/S' || (s_suppkey % 40 + 1) AS url, (s_suppkey % 40 + 1)::INTEGER AS district, 'Ana ' || s_name AS name, ['Democrat', 'Republican', ''][s_nationkey % 3 + 1] AS party FROM supplier")
+def page_members(spark: SparkSession, d: str) -> DataFrame:
+    p = ad.member_pages(spark, d)
+    return pages.members(pages.page_blocks(p), p.select(F.col("page_id").alias("page"), "url"))
