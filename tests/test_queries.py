@@ -16,8 +16,8 @@ DATA = Path("/root/testdata/sf0.001")
 NAMES = [n for n in __spark_entry__.queries() if not n.startswith("op") and n != "pipeline"]
 #: Queries without SQL, and the tests that compare their rows with literal cases, loops or plain SQL in parts.
 OTHERWISE = {
-    "page_blocks": "test_pages: test_bill_page, test_broken_pages",
-    "page_marked_segments": "test_golden: test_marked_html",
+    "page_blocks": "test_pages: test_every_page, test_broken_pages",
+    "page_marked_segments": "test_pages: test_every_page; test_golden: test_marked_html",
     "bill_pages": "test_bill_pages, below",
     "companion_sequences": "test_companions: test_all_pairs_of_whole_texts",
 }
