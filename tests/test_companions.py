@@ -1,13 +1,11 @@
-"""Agreement of whole texts, against difflib over all pairs."""
+"""Agreement of whole texts, against difflib."""
 
 import random
 from difflib import SequenceMatcher
 
 import numpy as np
 
-from actfold.llm import queries
 from actfold.operators import lookup
-from tests.llm.test_minhash import brute
 
 
 def want(a, b):
@@ -28,22 +26,17 @@ def test_long_sequences_match_difflib():
     assert lookup.matched(np.array([], int), np.array([1])) == 0
 
 
-def test_all_pairs_of_whole_texts(spark, tmp_path):
+def test_all_pairs_of_components(spark):
     rng = random.Random(8)
-    rows = []
+    rows = [(91, 91, None), (92, 92, "")]
     for base in range(3):
-        w = [f"w{base}.{rng.randrange(300)}" for _ in range([40, 150, 1200][base])]  # the last is far over 3,000 characters
+        w = [f"w{base}.{rng.randrange(300)}" for _ in range([40, 150, 1200][base])]
         for k in range(4):
             v = list(w)
             if k:
-                v[rng.randrange(1 + (k > 1), len(w))] = f"x{k}"
-            rows.append((10 * base + k, " ".join(["start"] * (k == 3) + v)))  # k = 3 begins with another word
-    rows += [(90, rows[1][1]), (91, None), (92, ""), (93, "alone here")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    comp, text = {i: c for i, _, c in brute(rows)}, {i: (t or "").split() for i, t in rows}
-    pairs = {(i, j): round(want(text[i], text[j]), 6) for i in text for j in text if i > j and comp[i] == comp[j]}
-    got = queries.companion_sequences(spark, str(tmp_path)).collect()
-    assert len(pairs) > 12 and len(got) == len(pairs) and {(r.doc_id, r.other): r.ratio for r in got} == pairs
-    docs = spark.createDataFrame([(i, comp[i], t) for i, t in rows], "doc_id long, component long, text string")
-    small = lookup.sequence_ratios(docs, block=2).collect()
-    assert len(small) == len(pairs) and {(r.doc_id, r.other): round(r.ratio, 6) for r in small} == pairs
+                v[rng.randrange(len(w))] = f"x{k}"
+            rows.append((10 * base + k, 10 * base, " ".join(v)))
+    text = {i: (t or "").split() for i, _, t in rows}
+    pairs = {(i, j): round(want(text[i], text[j]), 6) for i, c, _ in rows for j, e, _ in rows if i > j and c == e}
+    got = lookup.sequence_ratios(spark.createDataFrame(rows, "doc_id long, component long, text string"), block=2).collect()
+    assert len(got) == len(pairs) == 18 and {(r.doc_id, r.other): round(r.ratio, 6) for r in got} == pairs

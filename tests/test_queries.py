@@ -19,7 +19,7 @@ OTHERWISE = {
     "page_blocks": "test_pages: test_every_page, test_broken_pages",
     "page_marked_segments": "test_pages: test_every_page; test_golden: test_marked_html",
     "bill_pages": "test_bill_pages, below",
-    "companion_sequences": "test_companions: test_all_pairs_of_whole_texts",
+    "companion_sequences": "llm/test_companions: test_all_pairs_of_whole_texts",
 }
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
