@@ -105,6 +105,21 @@ def text_chunks(texts: list, most: int = 1_000_000) -> Iterator[list]:
         yield held
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 3_000_000) -> Iterator[tuple[list, list]]:
+    """Ids and texts of several batches, until they have about ``most`` characters, so that words are looked up together."""
+    ids, texts, n = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        more = batch.column(1).to_pylist()
+        texts += more
+        n += sum(len(t) for t in more if t)
+        if n >= most:
+            yield ids, texts
+            ids, texts, n = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that the cluster names; a temporary one only where none is set (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from actfold.llm.common import kept, pick, short_batches, text_chunks
+from actfold.llm.common import gathered, kept, pick, short_batches, text_chunks
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # What the tokenizer's own first cut makes of lower-case texts in Latin letters: letters, digits one by one, contractions, other marks.
@@ -152,21 +152,6 @@ def windows_of(lengths: list[int], capacity: int, piece: int) -> list[list[tuple
     return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int = 3_000_000) -> Iterator[tuple[list, list]]:
-    """Ids and texts of several batches, until they have about ``most`` characters, so that words are looked up together."""
-    ids, texts, n = [], [], 0
-    for batch in batches:
-        ids += batch.column(0).to_pylist()
-        more = batch.column(1).to_pylist()
-        texts += more
-        n += sum(len(t) for t in more if t)
-        if n >= most:
-            yield ids, texts
-            ids, texts, n = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, encoder: Callable[[str], Callable[[list], list[bytes]]] = PieceIds, end_id: int = 1, capacity: int = 2048, piece: int = 512, group: int = 512) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -202,7 +187,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), fields, strict=True)], schema=fields)
 
-        for doc_ids, texts in _gathered(batches):
+        for doc_ids, texts in gathered(batches):
             for doc_id, ids in zip(doc_ids, encode(texts), strict=True):
                 held.append((doc_id, ids + end))
                 if len(held) == group:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actfold.functions import text as tx
-from actfold.llm import embeddings, language, minhash, mixing, packing, pii, quality, secrets, sharding, topk
+from actfold.llm import alignment, embeddings, language, minhash, mixing, packing, pii, quality, secrets, sharding, topk
 from actfold.llm.common import Scratch, pick
 from actfold.operators import lookup
 
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"), F.col("_error").alias("error"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def companion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a component of near-duplicates, over their whole texts."""
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
@@ -73,7 +77,7 @@ def companion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.sequence_ratios(rows).select("doc_id", "other", F.round("ratio", 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op8_pii, op9_packing, op10_mixing, companion_sequences)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op8_pii, op9_packing, op10_mixing, op12_alignment, companion_sequences)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links between nodes(id) as edge(a, b), both ways, to the smallest id that each reaches.
 _REACH = "reach AS (SELECT id AS a, id AS b FROM node UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a), comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
