@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actfold.functions import text as tx
-from actfold.llm import alignment, embeddings, language, minhash, mixing, packing, pii, quality, secrets, sharding, topk
+from actfold.llm import alignment, embeddings, language, minhash, mixing, packing, pii, prefixes, quality, secrets, sharding, topk
 from actfold.llm.common import Scratch, pick
 from actfold.operators import lookup
 
@@ -65,6 +65,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def companion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a component of near-duplicates, over their whole texts."""
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
@@ -77,10 +81,12 @@ def companion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.sequence_ratios(rows).select("doc_id", "other", F.round("ratio", 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op8_pii, op9_packing, op10_mixing, op12_alignment, companion_sequences)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op8_pii, op9_packing, op10_mixing, op12_alignment, op13_prefixes, companion_sequences)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links between nodes(id) as edge(a, b), both ways, to the smallest id that each reaches.
 _REACH = "reach AS (SELECT id AS a, id AS b FROM node UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a), comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
+#: CRC-32 of a decimal number as SQL: each digit's code enters at the first of its eight shifts.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda x, e: xor(xor(x, e) >> 1, 3988292384 * (xor(x, e) & 1))), 4294967295)"
 
 ORACLE_SQL: dict[str, str] = {
     "op4_embeddings": f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -98,4 +104,13 @@ ORACLE_SQL: dict[str, str] = {
         edge AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
         node AS (SELECT doc_id AS id FROM documents), {_REACH}
         SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comp ON doc_id = id""",
+    "op13_prefixes": f"""WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT *, ({_CRC} % 4)::INT AS h FROM o),
+        b AS (SELECT h.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(d.turns[1:h], []) ELSE [] END, h.turns[h + 1:]) AS turns FROM h LEFT JOIN o d ON d.conv_id = h.conv_id - h.conv_id % 20),
+        p AS (SELECT conv_id, d, len(turns) AS n, CASE WHEN d > 0 THEN turns[d].t ELSE '' END AS last, sha256(CASE WHEN d > 0 THEN to_json(turns[1:d])::VARCHAR ELSE '' END) AS node, sha256(CASE WHEN d > 1 THEN to_json(turns[1:d - 1])::VARCHAR ELSE '' END) AS up FROM b, unnest(range(0, len(turns) + 1)) AS x(d)),
+        n AS (SELECT node, min(conv_id) AS conv_id, min(d) AS depth, min(CASE WHEN d > 0 THEN up END) AS up, count(*) AS n_convs, len(regexp_extract_all(min(last), '[^\x20\x09-\x0D]+')) AS words, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends_sha256 FROM p GROUP BY node),
+        k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+        a AS (SELECT DISTINCT x.node AS top, y.node FROM p x JOIN p y ON x.conv_id = y.conv_id AND x.d <= y.d),
+        s AS (SELECT a.top AS node, count(*) FILTER (WHERE k.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words)::BIGINT AS saved_tokens FROM a JOIN n ON n.node = a.node LEFT JOIN k ON k.node = a.node GROUP BY a.top)
+        SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256 FROM n JOIN s ON s.node = n.node LEFT JOIN n u ON u.node = n.up LEFT JOIN k ON k.node = n.node""",
 }
