@@ -142,10 +142,10 @@ class Scratch:
         workers.reach(spark)
         self.spark, self.root, self.n = spark, f"{checkpoint_root(spark)}/actfold-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actfold.functions import text as tx
-from actfold.llm import alignment, embeddings, language, minhash, mixing, packing, pii, prefixes, quality, secrets, sharding, topk
+from actfold.llm import alignment, embeddings, language, minhash, mixing, packing, pii, prefixes, quality, secrets, sharding, topk, warc
 from actfold.llm.common import Scratch, pick
 from actfold.operators import lookup
 
@@ -61,6 +61,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "tokens", F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"), F.col("_error").alias("error"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -81,7 +85,7 @@ def companion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.sequence_ratios(rows).select("doc_id", "other", F.round("ratio", 6).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op8_pii, op9_packing, op10_mixing, op12_alignment, op13_prefixes, companion_sequences)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_quality, op3_sharding, op4_embeddings, op5_topk, op6_language, op7_minhash, op8_pii, op9_packing, op10_mixing, op11_warc, op12_alignment, op13_prefixes, companion_sequences)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links between nodes(id) as edge(a, b), both ways, to the smallest id that each reaches.
 _REACH = "reach AS (SELECT id AS a, id AS b FROM node UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a), comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"
@@ -104,6 +108,10 @@ ORACLE_SQL: dict[str, str] = {
         edge AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
         node AS (SELECT doc_id AS id FROM documents), {_REACH}
         SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comp ON doc_id = id""",
+    "op11_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT *, rpad(sha1(b), 40, '0') AS hex, row_number() OVER (PARTITION BY b ORDER BY page_id NULLS LAST) AS k, first(page_id) OVER (PARTITION BY b ORDER BY page_id NULLS LAST) AS response FROM p)
+        SELECT page_id, octet_length(b) AS payload_bytes, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), lambda x, y: x || y) AS payload_digest,
+            CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN response END AS refers_to FROM d""",
     "op13_prefixes": f"""WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
         h AS (SELECT *, ({_CRC} % 4)::INT AS h FROM o),
         b AS (SELECT h.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(d.turns[1:h], []) ELSE [] END, h.turns[h + 1:]) AS turns FROM h LEFT JOIN o d ON d.conv_id = h.conv_id - h.conv_id % 20),
