@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actfold.plans import adapters as ad
 from actfold.plans.catalog import FOLD, with_
+from actfold.scratch import folder
 from actfold.streaming import live
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def folder(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's checkpoint folder; a temporary one only where none is set (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream; a single file is read through a pattern that only it fits."""
     return spark.readStream.schema(EVENTS).parquet(f"{d}/events.parque[t]")
