@@ -107,6 +107,8 @@ class Aligner:
         self.a_len, self.b_len = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id("▁")
         self.by_chunk = all("\n" not in p and " " not in p.lstrip("▁").replace("▁", " ") for i, p in pieces if not self.b.is_byte(i))
+        self.decimal = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
+        self.digits = np.array([len(x) for x in self.decimal], dtype=np.int64)
         self.half, self.young, self.old = most // 2, {}, {}
 
     def b_ids(self, chunks: list[str]) -> list[list[int]]:
@@ -114,37 +116,58 @@ class Aligner:
         found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         return [[self.blank] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, found, strict=True)]
 
+    def given_back(self, chunks: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> np.ndarray:
+        """Which chunks both tokenizers give back byte by byte."""
+        raw = [c.encode() for c in chunks]
+        sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        same = sizes > 0
+        for ids, entry, lengths in ((a_ids, self.a_bytes, self.a_len), (b_ids, self.b_bytes, self.b_len)):
+            flat = [i for some in ids for i in some]
+            ends = np.concatenate(([0], np.cumsum(lengths[flat])))[np.concatenate(([0], np.cumsum([len(some) for some in ids])))]
+            if b"".join([entry[i] for i in flat]) == b"".join(raw):
+                same &= np.diff(ends) == sizes
+            else:
+                same &= np.array([b"".join([entry[i] for i in some]) == r for some, r in zip(ids, raw, strict=True)], dtype=bool)
+        return same
+
     def learn(self, chunks: list[str]) -> list[tuple | None]:
-        """What chunks have: counts, groups as text, distinct pairs and their times; None for chunks that a tokenizer doesn't give back."""
+        """What chunks have: groups as text, counts, distinct pairs and their times, these as bytes; None for chunks that a tokenizer doesn't give back."""
         a_ids, b_ids = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.b_ids(chunks)
         out: list[tuple | None] = [None] * len(chunks)
-        same = [k for k, c in enumerate(chunks) if b"".join([self.a_bytes[i] for i in a_ids[k]]) == (raw := c.encode()) == b"".join([self.b_bytes[i] for i in b_ids[k]]) and raw]
+        same = np.flatnonzero(self.given_back(chunks, a_ids, b_ids)).tolist()
         if not same:
             return out
-        a, b = (np.concatenate([np.array(ids[k], dtype=np.int64) for k in same]) for ids in (a_ids, b_ids))
+        a, b = (np.array([i for k in same for i in ids[k]], dtype=np.int64) for ids in (a_ids, b_ids))
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        side = np.repeat([0, 1], [len(a), len(b)])
-        ends = np.concatenate((a_end, b_end))
-        order, group = coalesce(np.concatenate((a_end - self.a_len[a], b_end - self.b_len[b])), ends, side)
-        n = int(group[-1]) + 1
-        where = np.empty(len(order), dtype=np.int64)
+        a_of, b_of = (np.repeat(np.arange(len(same)), [len(ids[k]) for k in same]) for ids in (a_ids, b_ids))
+        side, of, ids = np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a_of, b_of)), np.concatenate((a, b))
+        order, group = coalesce(np.concatenate((a_end - self.a_len[a], b_end - self.b_len[b])), np.concatenate((a_end, b_end)), side)
+        n, where = int(group[-1]) + 1, np.empty(len(order), dtype=np.int64)
         where[order] = group
         a_group, b_group = where[: len(a)], where[len(a) :]
-        last = np.zeros(n, dtype=np.int64)
-        np.maximum.at(last, where, ends)
-        of_group = np.searchsorted(np.cumsum([len(chunks[k].encode()) for k in same]), last)  # the chunk that a group lies in
-        na, nb = np.bincount(a_group, minlength=n), np.bincount(b_group, minlength=n)
+        of_group = np.empty(n, dtype=np.int64)
+        of_group[where] = of  # a chunk's ends are both sides' ends, so no group lies in two
+        links = np.bincount(a_group, minlength=n) * np.bincount(b_group, minlength=n)
+        m = len(same)
+        counts = np.stack([np.bincount(a_of, minlength=m), np.bincount(b_of, minlength=m), np.bincount(of_group, minlength=m), np.bincount(of_group, weights=links, minlength=m).astype(np.int64)], axis=1)
+
         at, pair, times = link_pairs(a, b, a_group, b_group, n)
-        by_chunk = np.argsort(of_group[at], kind="stable")
-        pair, times = pair[by_chunk], times[by_chunk]
-        cuts = np.searchsorted(of_group[at][by_chunk], np.arange(len(same) + 1))
-        ga, gb, gc = ([0, *np.cumsum(x).tolist()] for x in (na, nb, np.bincount(of_group, minlength=len(same))))
-        shown_a, shown_b, links = list(map(str, a.tolist())), list(map(str, b.tolist())), np.concatenate(([0], np.cumsum(na * nb)))
-        for j, k in enumerate(same):
-            lo, hi = gc[j], gc[j + 1]
-            text = ";".join([f"{','.join(shown_a[ga[g] : ga[g + 1]])}|{','.join(shown_b[gb[g] : gb[g + 1]])}" for g in range(lo, hi)])
-            p, t = _sums(pair[cuts[j] : cuts[j + 1]], times[cuts[j] : cuts[j + 1]])
-            out[k] = ((len(a_ids[k]), len(b_ids[k]), hi - lo, int(links[hi] - links[lo])), text, p.tobytes(), t.tobytes())
+        kinds, code = np.unique(pair, return_inverse=True)
+        key, times = _sums(of_group[at] * len(kinds) + code, times)
+        chunk, code = np.divmod(key, len(kinds))
+        pairs, once = kinds[code].tobytes(), np.bincount(chunk, weights=times > 1, minlength=m) == 0
+        cuts, times = (8 * np.searchsorted(chunk, np.arange(m + 1))).tolist(), times.tobytes()
+
+        by_group = np.lexsort((side, where))  # ids as they are written: groups in order, A before B
+        shown, last = ids[by_group], np.concatenate((where[by_group][1:] != where[by_group][:-1], [True]))
+        turn = ~last & np.concatenate((side[by_group][1:] != side[by_group][:-1], [False]))
+        marks = np.where(last, ";", np.where(turn, "|", ",")).tolist()
+        text = "".join([x for pair in zip([self.decimal[i] for i in shown.tolist()], marks, strict=True) for x in pair])
+        ends = np.cumsum(self.digits[shown] + 1)[np.searchsorted(of[by_group], np.arange(m), "right") - 1].tolist()
+        start, counts = 0, counts.tolist()
+        for j, (k, alone) in enumerate(zip(same, once.tolist(), strict=True)):
+            out[k] = (text[start : ends[j] - 1], counts[j], pairs[cuts[j] : cuts[j + 1]], b"" if alone else times[cuts[j] : cuts[j + 1]])
+            start = ends[j]
         return out
 
     def of_chunks(self, chunks: list[str]) -> list[tuple | None]:
@@ -174,38 +197,39 @@ class Aligner:
         cut = pc.replace_substring_regex(pc.if_else(odd, "", given), "([^ \t\r\n])([ \n])", f"\\1{_CUT}\\2")
         parts = pc.split_pattern(cut, _CUT)
         coded = parts.values.dictionary_encode()
-        chunks, codes, cuts = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()
-        alone = [k for k, o in enumerate(odd.to_pylist()) if o]
-        place = {k: len(chunks) + i for i, k in enumerate(alone)}  # texts that are one chunk
+        chunks, codes, cuts = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64)
         got = [None if c == "" else x for c, x in zip(chunks, self.of_chunks([c or " " for c in chunks]), strict=True)]
-        for k in alone:
-            got += self.learn([f" {texts[k]}"])
-        valid = np.array([x is not None for x in got], dtype=bool)
-        counts = np.array([x[0] if x else (0, 0, 0, 0) for x in got], dtype=np.int64).reshape(-1, 4)
-        own_pairs = [np.frombuffer(x[2], dtype=np.int64) if x else np.empty(0, dtype=np.int64) for x in got]
-        sizes = np.array([len(p) for p in own_pairs], dtype=np.int64)
-        pairs, of_chunk = np.unique(np.concatenate([*own_pairs, np.empty(0, dtype=np.int64)]), return_inverse=True)
-        times = np.concatenate([*(np.frombuffer(x[3], dtype=np.int64) for x in got if x), np.empty(0, dtype=np.int64)])
+        for k, o in enumerate(odd.to_pylist()):
+            if o:  # such a text is one chunk, which stands where its cut would have
+                codes[cuts[k]] = len(got)
+                got += self.learn([f" {texts[k]}"])
+        doc = np.repeat(np.arange(len(texts)), np.diff(cuts))
+        lost = np.array([x is None for x in got], dtype=bool)
+        given = np.array([bool(t) for t in texts], dtype=bool) & (np.bincount(doc, weights=lost[codes], minlength=len(texts)) == 0)
+        own = given[doc]
+        doc, codes = doc[own], codes[own]
+        shown = ["" if x is None else x[0] for x in got]
+        counts = np.array([(0, 0, 0, 0) if x is None else x[1] for x in got], dtype=np.int64).reshape(-1, 4)
+        rows = np.stack([np.bincount(doc, weights=counts[codes, k], minlength=len(texts)) for k in range(4)]).astype(np.int64)
+        ends, sha = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist(), [""] * len(texts)
+        words = [shown[k] for k in codes.tolist()]
+        for d, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
+            if given[d]:
+                sha[d] = hashlib.sha256(";".join(words[start:end]).encode()).hexdigest()
+
+        sizes = np.array([0 if x is None else len(x[2]) // 8 for x in got], dtype=np.int64)
+        pairs, of_chunk = np.unique(np.frombuffer(b"".join([x[2] for x in got if x]), dtype=np.int64), return_inverse=True)
+        times = np.frombuffer(b"".join([x[3] or b"\1\0\0\0\0\0\0\0" * (len(x[2]) // 8) for x in got if x]), dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
-        rows, sha = np.zeros((len(texts), 4), dtype=np.int64), [""] * len(texts)
-        doc, code = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-        for d, text in enumerate(texts):
-            own = np.array([place[d]]) if d in place else codes[cuts[d] : cuts[d + 1]]
-            if text and valid[own].all():
-                rows[d] = counts[own].sum(axis=0)
-                sha[d] = hashlib.sha256(";".join([got[k][1] for k in own.tolist()]).encode()).hexdigest()
-                doc.append(np.full(len(own), d))
-                code.append(own)
-        key, n = _sums(np.concatenate(doc) * len(got) + np.concatenate(code), np.ones(sum(map(len, code)), dtype=np.int64))
+        key, n = _sums(doc * len(got) + codes, np.ones(len(doc), dtype=np.int64))
         d, c = np.divmod(key, max(1, len(got)))
         at = _spread(starts[c], sizes[c])
         key, n = _sums(np.repeat(d, sizes[c]) * len(pairs) + of_chunk[at], np.repeat(n, sizes[c]) * times[at])
         d, p = np.divmod(key, max(1, len(pairs)))
         held = np.bincount(p, minlength=len(pairs))
         used = np.flatnonzero(held)  # pairs of chunks that stand only in texts without tokens are in no document
-        p = (np.cumsum(held > 0) - 1)[p]
-        step = np.diff(p, prepend=0)
-        return {name: rows[:, k].tolist() for k, name in enumerate(COUNTS)} | {
+        step = np.diff((np.cumsum(held > 0) - 1)[p], prepend=0)
+        return {name: rows[k].tolist() for k, name in enumerate(COUNTS)} | {
             "groups_sha256": sha, "sizes": np.bincount(d, minlength=len(texts)).tolist(), "places": packed(step), "times": packed(n), "pairs": pairs[used], "held": held[used],
         }
 
