@@ -93,7 +93,7 @@ class Aligner:
     cache has two halves, as a packer's.
     """
 
-    def __init__(self, a_path: str, b_path: str, most: int = 240_000):
+    def __init__(self, a_path: str, b_path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -116,30 +116,52 @@ class Aligner:
         found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         return [[self.blank] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, found, strict=True)]
 
-    def given_back(self, chunks: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> np.ndarray:
-        """Which chunks both tokenizers give back byte by byte."""
-        raw = [c.encode() for c in chunks]
-        sizes = np.array([len(r) for r in raw], dtype=np.int64)
-        same = sizes > 0
-        for ids, entry, lengths in ((a_ids, self.a_bytes, self.a_len), (b_ids, self.b_bytes, self.b_len)):
-            flat = [i for some in ids for i in some]
-            ends = np.concatenate(([0], np.cumsum(lengths[flat])))[np.concatenate(([0], np.cumsum([len(some) for some in ids])))]
-            if b"".join([entry[i] for i in flat]) == b"".join(raw):
-                same &= np.diff(ends) == sizes
-            else:
-                same &= np.array([b"".join([entry[i] for i in some]) == r for some, r in zip(ids, raw, strict=True)], dtype=bool)
-        return same
+    def _joined(self, chunks: list[str], size: int = 256) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """Chunks that are tokenized as parts of longer texts: which they are, and for each side the ids and their chunks, counted among these.
+
+        Groups of chunks whose texts do not come back, or are not cut where
+        chunks end, are left to be tokenized one by one, as are chunks that end
+        in white space, which would grow together with the next one's.
+        """
+        fit = [k for k, c in enumerate(chunks) if c[-1] not in " \n\r\t" and c[0] in " \n"]
+        groups = [fit[s : s + size] for s in range(0, len(fit), size)]
+        texts = ["".join([chunks[k] for k in g]) for g in groups]
+        sides = ([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b_ids(texts))
+        done, ids, of = [], ([], []), ([], [])
+        for j, (g, text) in enumerate(zip(groups, texts, strict=True)):
+            raw, ends, own = text.encode(), np.cumsum([len(chunks[k].encode()) for k in g]), []
+            for found, entry, lengths in zip(sides, (self.a_bytes, self.b_bytes), (self.a_len, self.b_len), strict=True):
+                some = np.array(found[j], dtype=np.int64)
+                to = np.cumsum(lengths[some])
+                chunk = np.searchsorted(ends, to)
+                if b"".join([entry[i] for i in found[j]]) == raw and (to[np.concatenate((chunk[1:] != chunk[:-1], [True]))] == ends).all():
+                    own.append((some, chunk))
+            if len(own) == 2:
+                for side, (some, chunk) in enumerate(own):
+                    ids[side].append(some)
+                    of[side].append(chunk + len(done))
+                done += g
+        return done, ids, of
+
+    def _each(self, chunks: list[str]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """The same, one by one: the chunks that both sides give back byte by byte."""
+        sides = ([e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.b_ids(chunks))
+        done = [k for k, c in enumerate(chunks) if c and all(b"".join([entry[i] for i in ids[k]]) == c.encode() for ids, entry in zip(sides, (self.a_bytes, self.b_bytes), strict=True))]
+        sizes = [[len(ids[k]) for k in done] for ids in sides]
+        return done, [[np.array([i for k in done for i in ids[k]], dtype=np.int64)] for ids in sides], [[np.repeat(np.arange(len(done)), n)] for n in sizes]
 
     def learn(self, chunks: list[str]) -> list[tuple | None]:
         """What chunks have: groups as text, counts, distinct pairs and their times, these as bytes; None for chunks that a tokenizer doesn't give back."""
-        a_ids, b_ids = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.b_ids(chunks)
         out: list[tuple | None] = [None] * len(chunks)
-        same = np.flatnonzero(self.given_back(chunks, a_ids, b_ids)).tolist()
+        same, ids, of = self._joined(chunks)
+        rest = sorted(set(range(len(chunks))).difference(same))
+        more, more_ids, more_of = self._each([chunks[k] for k in rest])
+        a, b = (np.concatenate([*x, *y]).astype(np.int64) for x, y in zip(ids, more_ids, strict=True))
+        a_of, b_of = (np.concatenate([*x, *(z + len(same) for z in y)]).astype(np.int64) for x, y in zip(of, more_of, strict=True))
+        same += [rest[k] for k in more]
         if not same:
             return out
-        a, b = (np.array([i for k in same for i in ids[k]], dtype=np.int64) for ids in (a_ids, b_ids))
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        a_of, b_of = (np.repeat(np.arange(len(same)), [len(ids[k]) for k in same]) for ids in (a_ids, b_ids))
         side, of, ids = np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a_of, b_of)), np.concatenate((a, b))
         order, group = coalesce(np.concatenate((a_end - self.a_len[a], b_end - self.b_len[b])), np.concatenate((a_end, b_end)), side)
         n, where = int(group[-1]) + 1, np.empty(len(order), dtype=np.int64)
