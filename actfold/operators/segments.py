@@ -62,25 +62,28 @@ def context_blocks(segments: DataFrame, keys: list[str], pad: int = 220) -> Data
     """
     w = Window.partitionBy(*keys).orderBy("seg_ix")
     rows = segments.withColumn("i", F.row_number().over(w) - 1).withColumn("e", F.sum(F.length("text")).over(w).cast("long")).withColumn("c", F.col("e") - F.length("text"))
-    # A frame is asked at one sum and filled by the other, so both kinds of points are laid on one line.
-    reach = rows.select(*keys, F.col("e").alias("at"), "i", F.lit(1).alias("ask")).union(rows.select(*keys, F.col("c").alias("at"), "i", F.lit(0).alias("ask")))
-    hi = F.max(F.when(F.col("ask") == 0, F.col("i"))).over(Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, pad - 1))
-    high = reach.withColumn("hi", hi).where("ask = 1").select(*keys, "i", "hi")
-    back = rows.select(*keys, F.col("c").alias("at"), "i", F.lit(1).alias("ask")).union(rows.select(*keys, F.col("e").alias("at"), "i", F.lit(0).alias("ask")))
-    lo = F.min(F.when(F.col("ask") == 0, F.col("i"))).over(Window.partitionBy(*keys).orderBy("at").rangeBetween(-(pad - 1), Window.unboundedFollowing))
-    low = back.withColumn("lo", lo).where("ask = 1").select(*keys, "i", "lo")
-    spans = rows.where("kind != 'plain'").select(*keys, "i").join(high, [*keys, "i"]).join(low, [*keys, "i"])
-    spans = spans.withColumn("hi", F.greatest("hi", "i")).withColumn("lo", F.least("lo", "i"))
+    # A frame is asked at one sum and filled by the other, so both kinds of points are laid on one line. Both frames only grow: the left one is read backwards.
+    asked, filled = F.col("ask") == 1, F.when(F.col("ask") == 0, F.col("i"))
+    none = F.lit(None).cast("int")
+    right = rows.where("kind != 'plain'").select(*keys, F.col("e").alias("at"), "i", "c", F.lit(1).alias("ask")).union(rows.select(*keys, F.col("c").alias("at"), "i", "c", F.lit(0).alias("ask")))
+    hi = F.max(filled).over(Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, pad - 1))
+    spans = right.withColumn("hi", hi).where(asked)
+    left = spans.select(*keys, F.col("c").alias("at"), "i", "hi", "ask").union(rows.select(*keys, F.col("e").alias("at"), "i", none, F.lit(0)))
+    lo = F.min(filled).over(Window.partitionBy(*keys).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, pad - 1))
+    spans = left.withColumn("lo", lo).where(asked).select(*keys, "i", F.greatest("hi", "i").alias("hi"), F.least("lo", "i").alias("lo"))
     so = Window.partitionBy(*keys).orderBy("i")
     spans = spans.withColumn("_past", F.max("hi").over(so.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("block_ix", F.sum(F.when(F.col("_past").isNull() | (F.col("lo") > F.col("_past") + 1), 1).otherwise(0)).over(so) - 1)
     blocks = spans.groupBy(*keys, "block_ix").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    inside = rows.select(*keys, "i", "kind", "text", "line", "page").alias("r").join(blocks.alias("b"), [F.col(f"r.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("i").between(F.col("lo"), F.col("hi"))])
-    inside = inside.select(*[F.col(f"b.{k}") for k in keys], "block_ix", "lo", "hi", "i", "kind", "text", "line", "page")
+    # Blocks lie apart, so the last one that opens at or before a segment is the only one that can hold it.
+    opens = blocks.select(*keys, F.col("lo").alias("i"), F.lit(0).alias("is_row"), F.struct("block_ix", "lo", "hi").alias("b"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("kind", "text", "line", "page")])
+    line = opens.union(rows.select(*keys, "i", F.lit(1), F.lit(None).cast(opens.schema["b"].dataType), "kind", "text", "line", "page"))
+    held = line.withColumn("b", F.last("b", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("i", "is_row"))).where("is_row = 1 and i <= b.hi")
+    inside = held.select(*keys, "b.*", "i", "kind", "text", "line", "page")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c) != 0), F.col("i")))
     by = [*keys, "block_ix"]
     facts = inside.groupBy(*by, "lo", "hi").agg(first("line").alias("line"), first("page").alias("page"), F.count_if(F.col("kind") != "plain").alias("changed"))
-    return facts.join(rendered(inside, by), by)
+    return facts.join(rendered(inside, by).hint("merge"), by)
 
 
 def rendered(parts: DataFrame, keys: list[str], at: str = "i") -> DataFrame:
@@ -117,14 +120,25 @@ def readings(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def located(segments: DataFrame, quotes: DataFrame, keys: list[str], quote: str = "quote") -> DataFrame:
-    """quotes with line: that of the last numbered segment that starts at or before the quote's first 60 characters; null under 12 characters or if not found."""
+    """quotes with line: that of the last numbered segment that starts at or before the quote's first 60 characters; null under 12 characters or if not found.
+
+    A document's text meets the distinct beginnings of its quotes once. Where
+    they stand is then looked up among the starts of its numbered segments as
+    an as-of join: both on one line, the last line number carried along.
+    """
     low = F.lower(tx.squeeze(tx.normalize(F.col("text"))))
     rows = placed(segments.withColumn("low", low), keys, F.col("low")).select(*keys, "seg_ix", "low", "start", "line")
-    whole = rows.groupBy(*keys).agg(joined(F.col("low")).alias("whole"), F.collect_list(F.when(F.coalesce("line", F.lit(0)) != 0, F.struct("start", "seg_ix", "line"))).alias("marks"))
     target = F.lower(tx.squeeze(tx.normalize(F.coalesce(F.col(quote), F.lit("")))))
-    asked = quotes.join(whole, keys, "left").withColumn("_t", target).withColumn("_at", F.when(F.length("_t") >= 12, F.instr(F.col("whole"), F.left(F.col("_t"), F.lit(60))) - 1))
-    before = F.filter("marks", lambda m: m["start"] <= F.col("_at"))
-    return asked.withColumn("line", F.when(F.col("_at") >= 0, F.array_max(before)["line"])).drop("whole", "marks", "_t", "_at")
+    asked = quotes.withColumn("_t", F.when(F.length(target) >= 12, F.left(target, F.lit(60))))
+    heads = asked.where("_t is not null").groupBy(*keys).agg(F.collect_set("_t").alias("heads"))
+    whole = rows.groupBy(*keys).agg(joined(F.col("low")).alias("whole"))
+    met = heads.join(whole.hint("merge"), keys).select(*keys, F.explode(F.transform("heads", lambda t: F.struct(t.alias("_t"), (F.instr(F.col("whole"), t) - 1).cast("long").alias("at")))).alias("h"))
+    found = met.select(*keys, "h._t", "h.at").where("at >= 0")
+    points = rows.where("line != 0").select(*keys, F.col("start").alias("at"), F.lit(0).alias("asks"), "seg_ix", "line", F.lit(None).cast("string").alias("_t"))
+    points = points.union(found.select(*keys, "at", F.lit(1), F.lit(None).cast(rows.schema["seg_ix"].dataType), F.lit(None).cast(rows.schema["line"].dataType), "_t"))
+    last = F.last("line", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("at", "asks", "seg_ix"))
+    lines = points.withColumn("_line", last).where("asks = 1").select(*keys, "_t", "_line")
+    return asked.join(lines.hint("merge"), [*keys, "_t"], "left").select(*[F.col(c) for c in quotes.columns if c != "line"], F.col("_line").alias("line"))
 
 
 def marked_words(words: DataFrame, rules: DataFrame) -> DataFrame:

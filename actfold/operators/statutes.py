@@ -31,16 +31,12 @@ def title_refs(flat: DataFrame, keys: list[str]) -> DataFrame:
 def sections(flat: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, piece, bill_section, start, head, body): numbered sections with their places; head is 320 characters, body up to 4,600 of the section."""
     pieces = F.split("full", rf"(?={SECTION})")
-    starts = F.aggregate("pieces", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    rows = flat.withColumn("pieces", pieces).withColumn("starts", starts)
-    row = lambda p, i: F.struct(
-        i.alias("piece"),
-        F.regexp_extract(p, f"^{SECTION}", 1).alias("number"),
-        F.element_at("starts", i + 1).alias("start"),
-        F.substring(F.col("full"), F.element_at("starts", i + 1) + 1, F.lit(320)).alias("head"),
-        F.substring(F.col("full"), F.element_at("starts", i + 1) + 1, F.least(F.length(p), F.lit(4600))).alias("body"),
-    )
-    out = rows.select(*keys, F.explode(F.transform("pieces", row)).alias("s")).select(*keys, "s.*").where("number != ''")
+    rows = flat.select(*keys, pieces.alias("pieces"))
+    # A section has ten characters at least, so 33 pieces hold the 320 of a head.
+    row = lambda p, i: F.struct(p.alias("p"), F.left(F.array_join(F.slice("pieces", i + 1, F.lit(33)), ""), F.lit(320)).alias("head"))
+    out = rows.select(*keys, F.posexplode(F.transform("pieces", row)).alias("piece", "s")).select(*keys, "piece", "s.*")
+    before = F.coalesce(F.sum(F.length("p")).over(Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    out = out.select(*keys, "piece", F.regexp_extract("p", f"^{SECTION}", 1).alias("number"), before.alias("start"), "head", F.left("p", F.lit(4600)).alias("body")).where("number != ''")
     return out.withColumn("bill_section", F.col("number").cast("int")).drop("number")
 
 

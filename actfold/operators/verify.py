@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from actfold.functions import text as tx
+from actfold.scratch import saved
 
 # The guards' patterns.
 ACTORS = r"sponsor|author|lawmaker|legislator|republican|democrat|gop|the bill'?s backers?|proponents?|opponents?"
@@ -210,19 +211,39 @@ def within_budget(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
 
 
 def parted(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """blocks with part and parts: filled in order up to the budget; a block over it is a part of its own."""
-    sizes = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block_ix", F.length("passage").alias("n")))).alias("a"))
-    init = F.struct(F.lit(1).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<block_ix:bigint,part:int>>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        new = (acc["used"] > 0) & (acc["used"] + b["n"] > budget)
-        part = acc["part"] + new.cast("int")
-        used = F.when(new, F.lit(0).cast("long")).otherwise(acc["used"]) + b["n"]
-        return F.struct(part.alias("part"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(b["block_ix"].cast("long").alias("block_ix"), part.alias("part")))).alias("out"))
-
-    dealt = sizes.select(*keys, F.explode(F.aggregate("a", init, step)["out"]).alias("o")).select(*keys, "o.*")
-    rows = blocks.withColumn("block_ix", F.col("block_ix").cast("long")).join(dealt.hint("merge"), [*keys, "block_ix"])
-    return rows.withColumn("parts", F.max("part").over(Window.partitionBy(*keys)))
+    """blocks with part and parts: filled in order up to the budget; a block over it is a part of its own.
+
+    Where a part that begins at a block ends is found on running sums: before
+    the first later block that ends over the budget, and not while nothing is
+    in it yet. Both are counts in frames that only grow. The parts are what
+    these jumps reach from the first block: each round doubles the jump and
+    with it the parts that are reached, so it takes as many rounds as the
+    number of parts has binary digits. Documents within the budget take none.
+    """
+    w = Window.partitionBy(*keys).orderBy("block_ix")
+    rows = blocks.withColumn("block_ix", F.col("block_ix").cast("long")).withColumn("_to", F.sum(F.length("passage")).over(w).cast("long"))
+    slim = rows.select(*keys, "block_ix", (F.row_number().over(w) - 1).cast("long").alias("k"), (F.col("_to") - F.length("passage")).alias("c"), F.col("_to").alias("e"))
+    every = Window.partitionBy(*keys)
+    slim = saved(slim.withColumn("size", F.max("e").over(every)).withColumn("n", F.count("*").over(every)), "sums")
+    long = slim.where(F.col("size") > budget)
+    line = long.select(*keys, "k", "n", F.col("c").alias("at"), "c", F.lit(1).alias("ask")).union(long.select(*keys, "k", "n", F.col("e").alias("at"), "c", F.lit(0)))
+    fits = F.count_if(F.col("ask") == 0).over(Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, budget))
+    over = line.withColumn("fits", fits).where("ask = 1")
+    begun = F.count("*").over(Window.partitionBy(*keys).orderBy("c").rangeBetween(Window.unboundedPreceding, 0))  # blocks that begin where this one does, or before
+    jumps = saved(over.withColumn("to", F.greatest("fits", begun)).where("to < n").select(*keys, "k", "to"), "jumps")
+    reached = saved(long.where("k = 0").select(*keys, "k", F.lit(1).cast("long").alias("part")), "reached")
+    step = 1
+    while not jumps.isEmpty():
+        further = reached.join(jumps.hint("merge"), [*keys, "k"]).select(*keys, F.col("to").alias("k"), (F.col("part") + step).alias("part"))
+        more = saved(further, "further")
+        if more.isEmpty():
+            break
+        reached, step = saved(reached.union(more), "reached"), 2 * step
+        next_ = jumps.select(*keys, F.col("k").alias("to"), F.col("to").alias("end"))
+        jumps = saved(jumps.join(next_.hint("merge"), [*keys, "to"]).select(*keys, "k", F.col("end").alias("to")), "jumps")
+    starts = slim.join(reached.hint("merge"), [*keys, "k"], "left").select(*keys, "block_ix", F.when(F.col("k") == 0, 1).otherwise(F.col("part")).alias("part"))
+    dealt = starts.withColumn("part", F.max("part").over(w).cast("int"))
+    return rows.drop("_to").join(dealt.hint("merge"), [*keys, "block_ix"]).withColumn("parts", F.max("part").over(every))
 
 
 def headers(bills: DataFrame, refs: DataFrame, shown: int = 60) -> DataFrame:

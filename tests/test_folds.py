@@ -1,6 +1,7 @@
 """Random cases: what Spark folds in groups and windows against a loop."""
 
 import random
+import time
 import re
 
 from pyspark.sql import functions as F
@@ -145,3 +146,49 @@ def test_lines(spark):
             cur[1] += 1
             cur[2] |= kind != "plain"
         assert len(got[i]) == len(out) and sum(p for _, p, _ in got[i]) == len(d)
+
+
+def timed(df):
+    began = time.time()
+    df.write.format("noop").mode("overwrite").save()
+    return time.time() - began
+
+
+def test_one_long_document_takes_linear_time(spark):
+    """A document of 20,000 segments, and of 80,000 blocks against 40,000."""
+    kind = F.when(F.col("id") % 3 == 1, "insert").otherwise("plain")
+    doc = spark.range(20_000).select(F.lit("s").alias("session"), F.lit(1).cast("long").alias("num"), F.col("id").alias("seg_ix"), kind.alias("kind"), F.repeat(F.lit("word "), (F.col("id") % 90).cast("int") + 1).alias("text"), (F.col("id") + 1).alias("line"), F.lit(1).cast("long").alias("page"))
+    assert timed(segments.context_blocks(doc, KEYS)) < 20
+    quotes = spark.range(100).select(F.lit("s").alias("session"), F.lit(1).cast("long").alias("num"), F.concat(F.repeat(F.lit("word "), 4), F.lit("x"), F.col("id").cast("string")).alias("quote"))
+    assert timed(segments.located(doc, quotes, KEYS)) < 20
+    block = lambda n: spark.range(n).select(F.lit("s").alias("session"), F.lit(1).cast("long").alias("num"), F.col("id").alias("block_ix"), F.repeat(F.lit("x"), (F.col("id") * 7 % 40).cast("int")).alias("passage"))
+    timed(verify.parted(block(1000), KEYS, 4000))
+    times = [min(timed(verify.parted(block(n), KEYS, 4000)) for _ in range(2)) for n in (40_000, 80_000)]
+    assert times[1] < 2.5 * times[0] + 2
+    got = {r.block_ix: (r.part, r.parts) for r in verify.parted(block(5000), KEYS, 4000).collect()}
+    part, used, want = 1, 0, {}
+    for k in range(5000):
+        n = k * 7 % 40
+        if used and used + n > 4000:
+            part, used = part + 1, 0
+        used += n
+        want[k] = part
+    assert got == {k: (p, part) for k, p in want.items()}
+
+
+def test_parts_of_empty_and_single_blocks(spark):
+    rows = [("s", 1, 0, ""), ("s", 1, 1, "x" * 30), ("s", 1, 2, ""), ("s", 1, 3, "x" * 30), ("s", 2, 5, "x" * 99), ("s", 3, 1, ""), ("s", 4, 0, "x" * 10), ("s", 4, 1, "")]
+    df = spark.createDataFrame(rows, "session string, num long, block_ix long, passage string")
+    got = {(r.num, r.block_ix): (r.part, r.parts) for r in verify.parted(df, KEYS, 20).collect()}
+    assert got == {(1, 0): (1, 2), (1, 1): (1, 2), (1, 2): (2, 2), (1, 3): (2, 2), (2, 5): (1, 1), (3, 1): (1, 1), (4, 0): (1, 1), (4, 1): (1, 1)}
+    assert verify.parted(df.limit(0), KEYS, 20).collect() == []
+
+
+def test_located_is_an_as_of_join(spark):
+    seg = spark.createDataFrame([("s", 1, k, "plain", t, n, 1) for k, (t, n) in enumerate([("The first line of it", 4), ("goes on without number", None), ("the Second Part begins", 9), ("and ends", 0)])], "session string, num long, seg_ix long, kind string, text string, line long, page long")
+    asked = spark.createDataFrame([("s", 1, q, 7) for q in ("first line of it goes", "goes on without number", "SECOND part begins and", "and ends", "not there at all", None, "short", "first line of it goes")] + [("s", 2, "first line of it goes", 7)], "session string, num long, quote string, line long")
+    got = segments.located(seg, asked, KEYS)
+    assert got.columns == ["session", "num", "quote", "line"]
+    assert sorted((r.num, str(r.quote), r.line) for r in got.collect()) == sorted([(1, "first line of it goes", 4), (1, "first line of it goes", 4), (1, "goes on without number", 4), (1, "SECOND part begins and", 9), (1, "and ends", None), (1, "not there at all", None), (1, "None", None), (1, "short", None), (2, "first line of it goes", None)], key=lambda r: (r[0], r[1]))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "marks" not in plan and "NestedLoop" not in plan
