@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -13,13 +14,24 @@ from pyspark.sql import functions as F
 
 from actfold.llm.common import Scratch, kept, pick, short_batches, text_chunks, with_columns
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Runs of word characters; those of them that are no letters (numbers such as ½ and Ⅷ) end a word.
+RUN = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 _BASE, _MULT = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.uint64(64 - 21)
 #: Words up to this length are scored many at once without scaling, since no product of so many chances gets too small; longer ones with it.
 SHORT = 40
 FLOOR = 1e-7
+#: Languages whose sums are held at once, and numbers that a worker keeps of words that it has scored.
+LANGS_AT_ONCE, KEPT = 32, 4_000_000
+
+
+def letter_words(text: str) -> list[str]:
+    """The runs of letters (Unicode's category L) of a text."""
+    out = []
+    for run in RUN.findall(text):
+        out += [run] if run.isalpha() else "".join([c if c.isalpha() else " " for c in run]).split()
+    return out
 
 
 def public_pieces(path: str | None = None) -> list[str]:
@@ -81,9 +93,37 @@ def _edges(vocabulary: Vocabulary, words: list[str]) -> Iterator[tuple[int, int,
             yield i, j, rows, pieces
 
 
+#: Letters that training reads as one word at most; longer runs are read there in parts, of which only the first begins a word.
+TRAINED = 1_000
+
+
 def _parts(word: str) -> list[str]:
-    """A word for training: runs longer than SHORT are read in parts there."""
-    return [(MARK if k == 0 else "") + word[k : k + SHORT] for k in range(0, len(word), SHORT)]
+    """A word for training, in parts of TRAINED letters."""
+    return [(MARK if k == 0 else "") + word[k : k + TRAINED] for k in range(0, len(word), TRAINED)]
+
+
+def expected_uses(edges: list[tuple[int, int, np.ndarray, np.ndarray]], n: int, rows: int, chance_of) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, pieces, expected uses) of each edge over all segmentations of words of n letters, edges by end and then start.
+
+    Sums up to each letter are kept relative to the one before, so no product
+    gets too small; what they are relative to is kept as a logarithm.
+    """
+    ahead, low = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
+    ahead[0] = 1.0
+    for j, group in groupby(edges, key=lambda e: e[1]):
+        for i, _, r, p in group:
+            ahead[j, r] += ahead[i, r] * np.exp(low[i, r] - low[j - 1, r]) * chance_of(r, p)
+        low[j] = low[j - 1] + np.log(ahead[j])
+        ahead[j] = 1.0
+    back, high = np.zeros((n + 1, rows)), np.zeros((n + 1, rows))
+    back[n] = 1.0
+    for i, group in groupby(sorted(edges, key=lambda e: -e[0]), key=lambda e: e[0]):
+        for _, j, r, p in group:
+            back[i, r] += back[j, r] * np.exp(high[j, r] - high[i + 1, r]) * chance_of(r, p)
+        high[i] = high[i + 1] + np.log(back[i])
+        back[i] = 1.0
+    for i, j, r, p in edges:
+        yield r, p, np.exp(low[i, r] + high[j, r] - low[n, r]) * chance_of(r, p)
 
 
 class Model:
@@ -96,11 +136,14 @@ class Model:
         """words x languages: log of the sum over all segmentations of each whole word."""
         out = np.zeros((len(words), len(self.langs)))
         for n, rows, parts in _by_length([(k, MARK + w) for k, w in enumerate(words) if len(w) <= SHORT]):
-            forward = np.zeros((n + 1, len(parts), len(self.langs)))
-            forward[0] = 1.0
-            for i, j, at, pieces in _edges(self.vocabulary, parts):
-                forward[j, at] += forward[i, at] * self.chance[pieces]
-            out[rows] = np.log(np.maximum(forward[n], 1e-300))
+            edges = list(_edges(self.vocabulary, parts))
+            for a in range(0, len(self.langs), LANGS_AT_ONCE):
+                chance = self.chance[:, a : a + LANGS_AT_ONCE]
+                forward = np.zeros((n + 1, len(parts), chance.shape[1]))
+                forward[0] = 1.0
+                for i, j, at, pieces in edges:
+                    forward[j, at] += forward[i, at] * chance[pieces]
+                out[rows, a : a + LANGS_AT_ONCE] = np.log(np.maximum(forward[n], 1e-300))
         long = sorted((k for k, w in enumerate(words) if len(w) > SHORT), key=lambda k: -len(words[k]))
         while long:  # of similar length together, half a million characters at most unless one word has more
             most = max(1, 500_000 // (len(words[long[0]]) + 1))
@@ -164,9 +207,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _by_lang(docs: DataFrame, sample_docs: int, most_langs: int) -> DataFrame:
+def _by_lang(docs: DataFrame, sample_docs: int) -> DataFrame:
     """About ``sample_docs`` documents in equal shares of the languages, chosen by a hash of the id; of a rare one, all."""
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    sizes = docs.groupBy("lang").count().collect()
     if not sizes:
         return docs.limit(0)
     share, slots = max(1, sample_docs // len(sizes)), 1 << 20
@@ -174,12 +217,12 @@ def _by_lang(docs: DataFrame, sample_docs: int, most_langs: int) -> DataFrame:
     return docs.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(17)), F.lit(slots)) < F.coalesce(rates[F.col("lang")], F.lit(0)))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_path: str | None = None, sample_docs: int = 6_000, rounds: int = 2, most_langs: int = 200, work: Scratch | None = None) -> Model | None:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary_path: str | None = None, sample_docs: int = 6_000, rounds: int = 2, work: Scratch | None = None) -> Model | None:
     """Expectation maximisation over about ``sample_docs`` labelled documents that are not held out.
 
-    Every language has an equal share of the sample, so a rare one is learned
-    at any size; the ``most_langs`` commonest values are (a table of languages x
-    vocabulary goes to every executor, so dirty labels must not make it grow).
+    Every language has an equal share of the sample, one document at least, so
+    a rare one is learned at any size. A table of languages x vocabulary goes
+    to every executor: 160 KB for each value that ``lang_col`` has.
     The words of the sample are counted by language once and written; each
     round sums the expected uses of every piece over them in Spark, from which
     languages x vocabulary sums reach the driver. None: nothing to learn from.
@@ -191,13 +234,13 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         for batch in batches:
             sums: dict[tuple[str, str], int] = {}
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                for w in WORD.findall(text.lower()):
+                for w in letter_words(text.lower()):
                     sums[lang, w] = sums.get((lang, w), 0) + 1
             yield pd.DataFrame([(a, b, n) for (a, b), n in sums.items()], columns=["lang", "word", "n"])
 
     work = work or Scratch(df.sparkSession)
     short_batches(df.sparkSession)
-    words = work.save(_by_lang(docs, sample_docs, most_langs).select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = work.save(_by_lang(docs, sample_docs).select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     if not langs:
         return None
@@ -217,15 +260,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                         for _, _, r, p in edges:
                             np.add.at(sums, (own[r], p), heavy[r])
                         continue
-                    ahead, back = np.zeros((n + 1, len(parts))), np.zeros((n + 1, len(parts)))
-                    ahead[0] = back[n] = 1.0
-                    for i, j, r, p in edges:
-                        ahead[j, r] += ahead[i, r] * chance[p, own[r]]
-                    for i, j, r, p in sorted(edges, key=lambda e: -e[0]):
-                        back[i, r] += back[j, r] * chance[p, own[r]]
-                    scale = heavy / np.maximum(ahead[n], 1e-300)
-                    for i, j, r, p in edges:
-                        np.add.at(sums, (own[r], p), ahead[i, r] * chance[p, own[r]] * back[j, r] * scale[r])
+                    for r, p, uses in expected_uses(edges, n, len(parts), lambda r, p, own=own: chance[p, own[r]]):
+                        np.add.at(sums, (own[r], p), uses * heavy[r])
             lang, piece = np.nonzero(sums)
             yield pd.DataFrame({"lang": lang, "piece": piece, "n": sums[lang, piece]})
 
@@ -246,13 +282,13 @@ class _Scores:
     """Log-likelihoods of words, kept between batches up to a bound."""
 
     def __init__(self, model: Model, most: int = 250_000):
-        self.model, self.most, self.row = model, most, {}
+        self.model, self.most, self.row = model, min(most, KEPT // max(1, len(model.langs)) + 1), {}
         self.table = np.zeros((1024, len(model.langs)), dtype=np.float64)
 
     def add(self, lists: list[list[str]]) -> None:
         new = {w for words in lists for w in words} - self.row.keys()
         if len(self.row) + len(new) > self.most:
-            self.row, new = {}, {w for words in lists for w in words}
+            self.row, self.table, new = {}, self.table[:1024], {w for words in lists for w in words}
         if not new:
             return
         new = sorted(new)
@@ -288,7 +324,7 @@ def identify(df: DataFrame, text_col: str = "text", model: Model | None = None)
                 return [["und"] * len(texts), [0.0] * len(texts)]
             preds, sure = [], []
             for chunk in text_chunks(texts):
-                lists = [WORD.findall(t.lower()) if t else [] for t in chunk]
+                lists = [letter_words(t.lower()) if t else [] for t in chunk]
                 scores.add(lists)
                 for words in lists:
                     if not words:

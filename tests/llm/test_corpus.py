@@ -2,6 +2,7 @@
 
 import math
 import random
+import unicodedata
 import zlib
 from fractions import Fraction
 
@@ -158,7 +159,58 @@ def test_rare_languages_are_learned(spark):
     rows = [(i, text_in("en", rng), "en") for i in range(400)] + [(400 + i, text_in("fr", rng), "fr") for i in range(12)] + [(900, "", "zz")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert language.fit(df, sample_docs=30).langs == ["en", "fr"]
-    assert language.fit(df, most_langs=1).langs == ["en"]
+
+
+def test_every_label_is_learned(spark):
+    rng = random.Random(5)
+    made = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4)] for k in range(300)}
+    rows = [(i, " ".join(rng.choice(made[lang]) for _ in range(20)), lang) for i, lang in enumerate(x for x in made for _ in range(12))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(df)
+    assert model.langs == sorted(made)
+    got = language.identify(df, model=model).withColumn("held", language.held_out(F.col("doc_id"))).where("held").collect()
+    assert len(got) > 1000 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
+def test_numbers_are_no_letters(spark):
+    """No text of characters outside the letter categories has a language, whatever else they are."""
+    chars = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i))[0] != "L" and not 0xD800 <= i < 0xE000]
+    numbers = [c for c in chars if unicodedata.category(c)[0] == "N"]
+    rows = [(i, c) for i, c in enumerate(numbers)] + [(5000 + i, "".join(chars[a : a + 500])) for i, a in enumerate(range(0, len(chars), 500))]
+    rows += [(100_000, "½"), (100_001, "² Ⅷ"), (100_002, "①"), (100_003, "the½heather")]
+    model = language.fit(spark.createDataFrame([(i, text_in("en", random.Random(i)), "en") for i in range(30)], "doc_id long, text string, lang string"))
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model=model)
+    assert [r.doc_id for r in got.where("lang_pred != 'und' or score != 0").collect()] == [100_003]
+    assert language.letter_words("the½heather Ⅷ a1b_c é") == ["the", "heather", "a", "b", "c", "é"]
+
+
+def test_expected_uses_of_long_words_equal_all_segmentations():
+    pieces = ["a", "b", "ab", "▁", "▁a", "ba", "aba"]
+    chance = np.array([0.2, 0.1, 0.3, 0.1, 0.2, 0.05, 0.05, language.FLOOR])
+    vocabulary, rng = language.Vocabulary(pieces), random.Random(2)
+
+    def brute(w):
+        """Sums over segmentations in exact fractions, from the left and from the right."""
+        f = [Fraction(0)] * (len(w) + 1)
+        b = f[:]
+        f[0] = b[-1] = Fraction(1)
+        of = lambda i, j: Fraction(chance[pieces.index(w[i:j])]) if w[i:j] in pieces else Fraction(language.FLOOR) if j == i + 1 else 0
+        spans = [(i, j) for i in range(len(w)) for j in range(i + 1, min(len(w), i + 3) + 1) if of(i, j)]
+        for i, j in sorted(spans, key=lambda x: x[1]):
+            f[j] += f[i] * of(i, j)
+        for i, j in sorted(spans, key=lambda x: -x[0]):
+            b[i] += b[j] * of(i, j)
+        uses = np.zeros(len(chance))
+        for i, j in spans:
+            uses[pieces.index(w[i:j]) if w[i:j] in pieces else -1] += float(f[i] * of(i, j) * b[j] / f[-1])
+        return uses
+
+    for n in (3, 60, 400):
+        words = ["▁" + "".join(rng.choice("abz") for _ in range(n)) for _ in range(4)]
+        got = np.zeros((4, len(chance)))
+        for r, p, uses in language.expected_uses(list(language._edges(vocabulary, words)), n + 1, 4, lambda r, p: chance[p]):
+            np.add.at(got, (r, p), uses)
+        assert np.allclose(got, [brute(w) for w in words])
 
 
 def test_quality_shrinks_sparse_sites(spark):
