@@ -104,6 +104,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, coordinates: int) -> DataFrame:
         return [[x.tobytes() for x in found], [signature(x, coordinates).tobytes() for x in found]]
 
     mine = docs.join(ids.hint("merge"), "doc_id", "left_semi")
+    if not mine.groupBy("doc_id").count().where("count > 1").isEmpty():  # of repeated rows one; different texts of one id are each compared
+        mine = mine.dropDuplicates(["doc_id", "text"])
     return with_columns(mine, "text", lambda: run, "shingles binary, sig binary").select("doc_id", "shingles", "sig")
 
 

@@ -1,6 +1,7 @@
 """Near-duplicates against all pairs."""
 
 import random
+import time
 import re
 
 import numpy as np
@@ -76,6 +77,27 @@ def test_edges(spark):
     assert run(spark, rows[:0] or []) == [] if rows[:0] else minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeated_rows_of_a_link_cost_nothing(spark):
+    one, two = " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(302))
+    few = spark.createDataFrame([(1, one), (2, two)], DOCS)
+    many = few.crossJoin(spark.range(1000)).select("doc_id", "text").repartition(4)
+    times = []
+    for df in (few, many):
+        began = time.time()
+        got = minhash.near_duplicates(df).collect()
+        times.append(time.time() - began)
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1)} and len(got) == df.count()
+    assert times[1] < times[0] + 8
+    other = many.union(spark.createDataFrame([(2, one + " x"), (2, "quite another text than that")], DOCS))
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(other).collect()} >= {(1, 1), (2, 1)}
+
+
+def test_a_text_of_ten_megabytes(spark):
+    long = " ".join(f"{i:x}" for i in range(1_700_000))
+    got = minhash.near_duplicates(spark.createDataFrame([(1, long), (2, long + " end"), (3, "end")], DOCS)).collect()
+    assert len(long) > 10_000_000 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, "a b", 3, "x"), (2, "a b", 4, "y")], "doc_id long, text string, kept int, component_id string")
     assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()} == {(1, 1), (2, 1)}
