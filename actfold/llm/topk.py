@@ -72,10 +72,42 @@ def _distinct(rows: DataFrame, most: int | None, work: Scratch) -> DataFrame:
     return rows.dropDuplicates(["vec_id", "fp1", "fp2"])
 
 
-def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in floating point where every sum fits in 53 bits, which is faster."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64) if most < 2**53 else q @ x.T
+def _most(q: np.ndarray, x: np.ndarray) -> int:
+    """No inner product of the two, nor a part of one, is larger than this."""
+    high = lambda m: max(-int(m.min(initial=0)), int(m.max(initial=0)))
+    return high(q) * high(x) * q.shape[1]
+
+
+def _product(q: np.ndarray, x: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Exact integer inner products: in floating point where every sum fits in 53 bits, which is faster.
+
+    Raises where a product fits no long. Integer sums wrap, but what they wrap
+    to is exact if the true sum fits; whether it does is told by the sum in
+    floating point, or, near the limit or where its error may be large, by
+    Python's integers. Pairs in ``own`` are a vector and itself, which nobody
+    asks for; they may be anything.
+    """
+    most = _most(q, x)
+    if most < 2**53:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    out = q @ x.T
+    if most >= 2**63:
+        near = q.astype(np.float64) @ x.astype(np.float64).T
+        unsure = np.abs(near) + np.float64(most) * (q.shape[1] + 2) * 2.0**-52 >= 2.0**62
+        for i, j in np.argwhere(unsure if own is None else unsure & ~own).tolist():
+            exact = sum(a * b for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True))
+            if not -(2**63) <= exact < 2**63:
+                raise OverflowError(f"the inner product {exact} fits no long")
+            out[i, j] = exact
+    return out
+
+
+def _parts_of(q: np.ndarray, x: np.ndarray, slices: list[slice], own: np.ndarray | None = None) -> list[np.ndarray]:
+    """Partial scores that sum to the totals: one for each part of the dimensions, or, where such a part might fit no long, the total and zeros."""
+    if _most(q, x) < 2**62:
+        return [_product(q[:, s], x[:, s]) for s in slices]
+    total = _product(q, x, own)
+    return [total] + [np.zeros_like(total)] * (len(slices) - 1)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -94,9 +126,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows with another id. Components become floor(scale * x). Ties go to the
     smaller id. Vectors that are null or empty or hold null or non-finite
-    components take no part, nor do null ids; nor do vectors with a component
-    of 2**53 or more after scaling, of which no exact product fits a long.
-    Vectors of different dimensions are not compared; repeated rows are one
+    components take no part, nor do null ids. A score or a scaled component that
+    fits no long raises an OverflowError; nothing ever wraps. Vectors of different dimensions are not compared; repeated rows are one
     candidate; further columns of any name are left out; an empty table gives
     an empty one.
 
@@ -126,8 +157,10 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         out: list[list] = [[], [], [], []]
         for v in map(as_vector, values):
             x = np.floor(scale * v) if v is not None else None
-            if x is None or np.abs(x).max() >= 2**53:
+            if x is None:
                 row: tuple = (None, None, None, None)
+            elif np.abs(x).max() >= 2**63:
+                raise OverflowError(f"a component of {np.abs(x).max():g} after scaling fits no long")
             else:
                 wide = bool(np.abs(x).max() >= 2**31)
                 raw = x.astype(np.int64 if wide else np.int32).tobytes()
@@ -170,7 +203,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         return left.groupBy("qr", "salt").cogroup(right.groupBy("qr", "salt")).applyInArrow(run, schema)
 
     def heads(x: dict, q: dict, ids: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, asked: np.ndarray) -> list[dict]:
-        partial = [_product(asked[:, s], cells[:, s]) for s in slices(x["dim"])]
+        partial = _parts_of(asked, cells, slices(x["dim"]), q_ids[:, None] == ids)
         total, most = sum(partial), min(k + 1, len(ids))
         found = np.concatenate([np.argpartition(-p, most - 1, axis=1)[:, :most] for p in partial], axis=1)
         out = []
@@ -194,8 +227,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     def enough(x: dict, q: dict, ids: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, asked: np.ndarray) -> list[dict]:
         cuts = {c["query_id"]: c["cut"] for c in q["cuts"] or []}
         bound = np.array([cuts.get(i, NO_CUT) for i in q_ids.tolist()], np.int64)
-        partial = np.stack([_product(asked[:, s], cells[:, s]) for s in slices(x["dim"])])
-        over = partial * lists >= bound[None, :, None]
+        partial = np.stack(_parts_of(asked, cells, slices(x["dim"]), q_ids[:, None] == ids))
+        over = partial >= -(-bound // lists)[None, :, None]  # the cutoff's share, rounded up
         known, seen = np.where(over, partial, 0).sum(axis=0), over.sum(axis=0)
         out = []
         for i, own in enumerate(q_ids):
@@ -211,7 +244,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     two = work.save(meet(armed.select("*", every_salt), enough, "qb long, db long, query_id long, cut long, exact array<struct<vec_id:long,score:long>>, open array<struct<at:long,known:long,missing:long>>"), "entries")
     sure = work.save(one.union(two.select("qb", "query_id", F.explode("exact").alias("e")).select("qb", "query_id", "e.*")).distinct(), "sure")
     raised = cutoffs(sure).select("query_id", F.col("cut").alias("raised"))
-    left_open = F.filter("open", lambda o: F.col("raised").isNull() | (o["known"] * lists + o["missing"] * F.col("cut") >= F.col("raised") * lists))
+    left_open = F.filter("open", lambda o: F.col("raised").isNull() | (o["known"].cast("decimal(38,0)") * lists + o["missing"] * F.col("cut").cast("decimal(20,0)") >= F.col("raised").cast("decimal(38,0)") * lists))
     wanted = two.where(F.size("open") > 0).join(raised.hint("merge"), "query_id", "left").withColumn("open", F.transform(left_open, lambda o: o["at"])).where(F.size("open") > 0)
     wanted = wanted.groupBy("qb", "db").agg(F.collect_list(F.struct("query_id", "open")).alias("wanted"))  # a block's queries, each with places in one block of rows
     wanted = work.save(wanted, "open")

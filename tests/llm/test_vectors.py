@@ -1,6 +1,10 @@
 """Embedding near-duplicates and exact top-k against all pairs."""
 
+import math
+import random
+
 import numpy as np
+import pytest
 
 from actfold.llm import embeddings, topk
 
@@ -95,6 +99,34 @@ def test_top_k_of_few_rows(spark):
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 3 * 1024**2), (2, -(1024**2))]
 
 
+def test_large_scores_are_exact_or_raise(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([1e8, -1e8, 3e5, 0.5]) * rng.random() if rng.random() < 0.15 else 0.0 for _ in range(12)] + [float(i) / 64], 0) for i in range(120)]
+    rows = [(i, [min(max(x, -4e5), 4e5) if j % 2 else x * 20 / 1e8 if abs(x) > 1e6 else x for j, x in enumerate(v)], 0) for i, v, _ in rows]
+    rows += [(300, [1e8] + [0.0] * 12, 0), (301, [80.0] + [1e-3] * 12, 0), (302, [-80.0, 2.0] + [0.0] * 11, 0)]  # scores of up to 2^62
+    got = topk.top_k(spark.createDataFrame(rows, VECS), query_block=4, row_block=64).collect()
+    use = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(use[a], use[b], strict=True))
+    want = []
+    for q in (i for i in use if i % 100 == 0):
+        best = sorted((-dot(q, j), j) for j in use if j != q)[:10]
+        want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert max(abs(dot(300, j)) for j in use if j != 300) > 2**52
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+    for bad in ([1e8, 1e8], [1e17, 0.0]):
+        with pytest.raises(Exception, match="fits no long"):
+            topk.top_k(spark.createDataFrame([(0, bad, 0), (1, bad, 0)], VECS)).collect()
+
+
+def test_products_near_the_limit():
+    a = np.array([[2**40, 2**40, 2**22]], dtype=np.int64)
+    x = np.array([[2**22, -(2**22) + 1, 5], [2**21, 2**21, 2**20], [-(2**40), 2**40, 3]], dtype=np.int64)
+    assert topk._product(a, x)[0].tolist() == [sum(int(p) * int(q) for p, q in zip(a[0], y, strict=True)) for y in x]
+    with pytest.raises(OverflowError):
+        topk._product(a, np.array([[2**23, 0, 0]], dtype=np.int64))
+    assert sum(topk._parts_of(a, x, [slice(0, 1), slice(1, 3)]))[0].tolist() == topk._product(a, x)[0].tolist()
+
+
 def test_codes_are_balanced():
     x = np.random.default_rng(3).standard_normal((2000, 32)) + 1
     c = embeddings.Codes(x, bits=32)
