@@ -103,7 +103,7 @@ def test_large_scores_are_exact_or_raise(spark):
     rng = random.Random(7)
     rows = [(i, [rng.uniform(-80, 80), *(rng.uniform(-3e5, 3e5) if rng.random() < 0.2 else 0.0 for _ in range(11)), i / 64], 0) for i in range(120)]
     rows += [(300, [1e8] + [0.0] * 12, 0), (301, [80.0] + [1e-3] * 12, 0), (302, [-80.0, 2.0] + [0.0] * 11, 0)]  # scores of up to 2^62
-    got = topk.top_k(spark.createDataFrame(rows, VECS), query_block=4, row_block=64).collect()
+    got = topk.top_k(spark.createDataFrame(rows, VECS.replace("float", "double")), query_block=4, row_block=64).collect()
     use = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows}
     dot = lambda a, b: sum(x * y for x, y in zip(use[a], use[b], strict=True))
     want = []
@@ -114,7 +114,7 @@ def test_large_scores_are_exact_or_raise(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
     for bad in ([1e8, 1e8], [1e17, 0.0]):
         with pytest.raises(Exception, match="fits no long"):
-            topk.top_k(spark.createDataFrame([(0, bad, 0), (1, bad, 0)], VECS)).collect()
+            topk.top_k(spark.createDataFrame([(0, bad, 0), (1, bad, 0)], VECS.replace("float", "double"))).collect()
 
 
 def test_products_near_the_limit():
