@@ -69,26 +69,55 @@ def checked(claims: DataFrame, readings: DataFrame, keys: list[str], least_words
     return rows.withColumn("quote", F.when(F.col("drop_reason").isNull(), F.col("_q")).otherwise(F.col("quote"))).drop(*[c for c in rows.columns if c in ("_q", "_l") or c.startswith(("_amended", "_standing", "_printed", "_lamended", "_lstanding", "_lprinted"))])
 
 
-def contained(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, shingle: int = 8, small: int = 500_000) -> DataFrame:
+def key_bits(keys: DataFrame, n: int) -> Column:
+    """A Bloom filter of a table's long ``key``, of which there are about n, as a scalar: an array of longs, at most 8 MB."""
+    bits = min(1 << 26, max(1 << 16, 1 << (16 * n).bit_length()))
+    at = keys.select(F.explode(_places(F.col("key"), F.lit(bits))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("id")).agg(F.bit_or(_bit(F.col("at"))).alias("word"))
+    whole = keys.sparkSession.range(bits >> 6).join(words.hint("merge"), "id", "left")
+    listed = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"]).alias("bits"))
+    return saved(listed, "bits").scalar()
+
+
+def _places(key: Column, bits: Column) -> Column:
+    """Two places of a key."""
+    return F.array(F.pmod(key, bits), F.pmod(F.shiftrightunsigned(key, 31), bits))
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+
+
+def may_have(key: Column, filter_: Column) -> Column:
+    """Whether a key may be among those of a filter: true for all that are, and for few others while the filter isn't full."""
+    places = _places(key, F.size(filter_).cast("long") * 64)
+    held = lambda at: F.get(filter_, F.shiftright(at, 6).cast("int")).bitwiseAND(_bit(at)) != 0
+    return held(places[0]) & held(places[1])
+
+
+def contained(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, shingle: int = 8) -> DataFrame:
     """(quote_id, doc_id) of every document that contains a quote, none named: candidates share the quote's rarest run of words, then are checked in full.
 
     Both texts are in canonical spelling. A quote inside a document may begin
     or end inside a word, so its runs of words leave out the first and last.
-    Quotes with fewer than three words have no run and find nothing. Documents'
-    runs that no quote has are dropped where they are read as long as the
-    quotes have at most ``small`` runs (8 bytes each), else by a merge join.
+    Quotes with fewer than three words have no run and find nothing. Documents
+    are read once for their runs; runs that no quote has are dropped there, by
+    a Bloom filter of the quotes' runs, so what is shuffled follows the hits.
+    Beyond some millions of runs the filter fills up and drops fewer; the join
+    that follows is exact at every size.
     """
     words = lambda c: F.split(F.lower(c), " ")
     grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
     q = quotes.select(F.col(quote_id), tx.canonical(F.col("text")).alias("quote")).where("quote != ''").withColumn("w", words(F.col("quote"))).withColumn("inner", F.slice("w", 2, F.size("w") - 2)).where("size(inner) > 0")
     q = q.withColumn("n", F.least(F.size("inner"), F.lit(shingle)))
     d = documents.select(F.col(doc_id), tx.canonical(F.col("text")).alias("whole"))
-    runs = q.select(quote_id, F.explode(F.array_distinct(grams(F.col("inner"), F.col("n")))).alias("key"))
-    sizes, n_runs = q.agg(F.collect_set("n"), F.coalesce(F.sum(F.size("inner") - F.col("n") + 1), F.lit(0))).first()  # at most ``shingle`` sizes
+    runs = saved(q.select(quote_id, F.explode(F.array_distinct(grams(F.col("inner"), F.col("n")))).alias("key")), "runs")
+    sizes = q.agg(F.collect_set("n")).first()[0]  # at most ``shingle`` sizes
     w = F.col("w")
     every = F.flatten(F.array(F.array().cast("array<bigint>"), *[F.when(F.size(w) >= n, grams(w, n)).otherwise(F.array().cast("array<bigint>")) for n in sorted(sizes)]))
+    keys = runs.select("key").distinct()
     found = d.select(doc_id, words(F.col("whole")).alias("w")).select(doc_id, F.explode(F.array_distinct(every)).alias("key"))
-    found = found.join(runs.select("key").distinct().hint("broadcast" if n_runs <= small else "merge"), "key", "left_semi")
+    found = saved(found.where(may_have(F.col("key"), key_bits(keys, runs.count()))).join(keys.hint("merge"), "key", "left_semi"), "hits")
     rarity = runs.join(found.groupBy("key").agg(F.count("*").alias("docs")).hint("merge"), "key", "left")
     rarest = rarity.groupBy(quote_id).agg(F.min_by("key", F.struct(F.coalesce("docs", F.lit(0)), "key")).alias("key"))
     pairs = found.join(rarest.hint("merge"), "key").select(quote_id, doc_id).distinct()
@@ -115,6 +144,16 @@ def reverified(claims: DataFrame, readings: DataFrame, keys: list[str]) -> DataF
     return again.withColumn("restored", (F.col("quote_status") != "failed") & F.col("flagged_for").isNull())
 
 
+def reinstated(claims: DataFrame, readings: DataFrame, keys: list[str]) -> DataFrame:
+    """All claims after reverified(): those that were kept as they are, and the others under today's rules, with restored.
+
+    A restored claim has its new status and canonical quote and counts as kept
+    in claim_stats(); one that fails again keeps the reason it fails for now.
+    """
+    kept = claims.where("quote_status != 'failed' and flagged_for is null").withColumn("restored", F.lit(False))
+    return kept.unionByName(reverified(claims, readings, keys).select(*kept.columns))
+
+
 def deduped(claims: DataFrame, keys: list[str], order: list[str], field: str = "quote") -> DataFrame:
     """Each first claim of its document by the first 120 letters and digits of a field; claims without any are all kept."""
     key = F.left(F.regexp_replace(F.lower(F.coalesce(field, F.lit(""))), "[^a-z0-9]+", ""), F.lit(120))

@@ -482,7 +482,7 @@ def brief_parts(spark: SparkSession, d: str) -> DataFrame:
     return verify.parted(_blocks(spark, d), DOC, 2000).select(*DOC, "block_ix", "part", "parts")
 
 
-#: No document of the tables cites a statute in a bill's form, so headers hold no references; act_briefs has those.
+#: No document of the tables cites a statute in a bill's form, so headers hold no references here.
 @query(_walked(_kept_sql(8000)) + f""", body AS (SELECT num, count(*) AS passages, {PASSAGE_SQL} AS body FROM walk WHERE kept GROUP BY num), total AS (SELECT num, count(*) AS total FROM blocks GROUP BY num),
     words AS (SELECT num, coalesce(sum(len(regexp_extract_all(text, '\\S+'))) FILTER (kind = 'insert'), 0) AS a, coalesce(sum(len(regexp_extract_all(text, '\\S+'))) FILTER (kind = 'delete'), 0) AS x FROM segment GROUP BY num)
     SELECT 'd' AS session, doc_id AS num, concat_ws(chr(10), 'BILL: HB ' || doc_id || ' — ' || coalesce(source, ''), 'CHAMBER: House', 'SPONSOR: ' || nullif(lang, ''),
@@ -666,10 +666,11 @@ def claims_most_significant(spark: SparkSession, d: str) -> DataFrame:
     return verify.most_significant(o, ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT conv_id, turn, (length(text) < 60)::INT + (length(text) > 500)::INT + (role NOT IN ('major', 'moderate', 'technical'))::INT AS n FROM conversations")
+@query("""SELECT conv_id, turn, concat_ws('; ', CASE WHEN text IS NULL THEN 'effect: missing' END, CASE WHEN length(text) < 60 THEN 'effect: shorter than 60' END, CASE WHEN length(text) > 500 THEN 'effect: longer than 500' END,
+    CASE WHEN role IS NULL THEN 'significance: missing' END, CASE WHEN role NOT IN ('major', 'moderate', 'technical') THEN 'significance: not among its values' END) AS broken FROM conversations""")
 def contract_violations(spark: SparkSession, d: str) -> DataFrame:
     c = ad.table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("effect"), F.col("role").alias("significance"))
-    return verify.violations(c, ["effect", "significance"]).select("conv_id", "turn", F.size("violations").alias("n"))
+    return verify.violations(c, ["effect", "significance"]).select("conv_id", "turn", F.array_join("violations", "; ").alias("broken"))
 
 
 @query("SELECT role AS pass, count(*) AS calls, count(*) FILTER (turn * 10 > 0.5 * length(text)) AS cache_hits, sum(length(text))::BIGINT AS prompt_tokens, sum(turn)::BIGINT AS completion_tokens, sum(conv_id)::BIGINT AS seconds FROM conversations GROUP BY role")
@@ -850,14 +851,34 @@ def claims_reverified(spark: SparkSession, d: str) -> DataFrame:
     return verify.reverified(c, segments.readings(ad.segments(spark, d), DOC), DOC).select(*DOC, "ord", "restored")
 
 
-@query("SELECT conv_id AS num, role AS pass, min(turn) FILTER (turn % 3 = 0) AS attempt, count(*) FILTER (turn % 3 <> 0) AS bad FROM conversations GROUP BY ALL")
+@query(with_("segment", "claim", more=READ_SQL) + f""", x AS (SELECT c.*, {CANON('quote')} AS q, {LOOSE('quote')} AS l, {CANON('printed')} AS a3, {LOOSE('printed')} AS l3, {CANON('amended')} AS a1, {CANON('standing')} AS a2, {LOOSE('amended')} AS l1, {LOOSE('standing')} AS l2 FROM claim c LEFT JOIN rd USING (session, num)),
+    y AS (SELECT session, num % 10 AS num, ord % 2 = 1 AS was, len(string_split(q, ' ')) >= 3 AND coalesce(contains(a1, q) OR contains(a2, q) OR contains(a3, q) OR (l <> '' AND (contains(l1, l) OR contains(l2, l) OR contains(l3, l))), false) AS holds, num % 3 = 0 AS fl FROM x)
+    SELECT session, num, count(*) FILTER (was OR (holds AND NOT fl)) AS kept, count(*) FILTER (NOT was AND NOT holds) AS dropped, count(*) FILTER (NOT was AND holds AND fl) AS flagged, count(*) FILTER (NOT was AND holds AND NOT fl) AS restored,
+        round_even(1 - count(*) FILTER (NOT was AND NOT holds) / (count(*) FILTER (was OR (holds AND NOT fl)) + count(*) FILTER (NOT was AND NOT holds)), 3) AS verify_rate FROM y GROUP BY ALL""")
+def claims_reinstated(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of all claims, over ten groups of documents, after what was dropped is verified again: restored claims count as kept."""
+    c = ad.claims(spark, d).withColumn("quote_status", F.when(F.col("ord") % 2 == 0, "failed").otherwise("exact")).withColumn("drop_reason", F.lit(None).cast("string")).withColumn("flagged_for", F.lit(None).cast("string")).withColumn("consequence", F.when(F.col("num") % 3 == 0, "The sponsor wants it").otherwise("It applies"))
+    whole = verify.reinstated(c, segments.readings(ad.segments(spark, d), DOC), DOC).withColumn("num", F.col("num") % 10)
+    back = whole.groupBy(*DOC).agg(F.count_if("restored").alias("restored"))
+    return verify.claim_stats(whole, DOC).join(back.hint("merge"), DOC)
+
+
+DEGENERATE_SQL = r"""b AS (SELECT *, regexp_replace(t, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS bare, (list_sort(list_transform(list_filter(list_distinct(string_split(t, '')), lambda c: contains(t, repeat(c, 25))), lambda c: {'p': strpos(t, repeat(c, 25)), 'c': c})))[1].c AS run FROM r)"""
+
+
+@query(
+    "WITH r AS (SELECT conv_id AS num, role AS pass, turn AS attempt, turn % 3 = 0 AS ok, CASE WHEN turn % 3 = 0 THEN '' ELSE '{' || text END AS t FROM conversations), "
+    + DEGENERATE_SQL
+    + r""", y AS (SELECT num, pass, attempt, ok, CASE WHEN ok THEN NULL WHEN t IS NULL OR bare = '' THEN 'empty response' WHEN run IS NOT NULL THEN 'padded with repeated ''' || replace(run, chr(10), '\n') || '''' WHEN bare NOT LIKE '%}' THEN 'truncated before the object closed' ELSE 'unparseable JSON' END AS why FROM b),
+    f AS (SELECT num, pass, min(attempt) FILTER (ok) AS attempt FROM y GROUP BY ALL)
+    SELECT f.num, f.pass, f.attempt, coalesce(string_agg(y.attempt || ': ' || why, '; ' ORDER BY y.attempt) FILTER (why IS NOT NULL AND (f.attempt IS NULL OR y.attempt < f.attempt)), '') AS failures FROM f JOIN y USING (num, pass) GROUP BY f.num, f.pass, f.attempt"""
+)
 def replies_accepted(spark: SparkSession, d: str) -> DataFrame:
     c = ad.table(spark, d, "conversations")
     text = F.when(F.col("turn") % 3 == 0, '{"one_line": "Adds a fee.", "summary": ["x"]}').otherwise(F.concat(F.lit("{"), "text"))
     replies = c.select(F.col("conv_id").alias("num"), F.col("role").alias("pass"), F.col("turn").alias("attempt"), text.alias("text"))
     out = verify.accepted(replies, replies.select("num", F.lit("").alias("deleted")).distinct(), ["num"])
-    bad = replies.withColumn("bad", F.col("attempt") % 3 != 0).groupBy("num", "pass").agg(F.count_if("bad").alias("bad"))
-    return out.join(bad, ["num", "pass"]).where(F.size("failures") <= F.col("bad")).select("num", "pass", "attempt", "bad")
+    return out.select("num", "pass", "attempt", F.array_join(F.transform("failures", lambda f: F.concat(f["attempt"].cast("string"), F.lit(": "), f["why"])), "; ").alias("failures"))
 
 
 @query("SELECT doc_id, n_chars, unnest([0, 1, 2]) AS ord, unnest(['summary', 'provisions', 'implications']) AS pass, unnest([900, 2000, 2000]) AS budget FROM documents")

@@ -128,7 +128,53 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return site.read("bill").join(site.read("bill_text").groupBy("page").agg(F.count("*").alias("texts")).hint("merge"), "page")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (children_published, stream_refresh, stream_ingest)}
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Digest deliveries of the events table: a subscriber gets a day's digest of a kind once; every tenth comes five days after its time."""
+    e = ad.table(spark, d, "events").select(F.col("user_id").alias("subscriber_id"), F.concat_ws(" ", "event_type", F.to_date("ts").cast("string")).alias("payload"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    late = F.when(F.col("event_id") % 10 == 0, 86400 * 5).otherwise(0)
+    return e.withColumn("arrives", F.unix_seconds("ts") + late)
+
+
+DELIVERY = "subscriber_id long, payload string, ts timestamp"
+
+
+def stream_once_daily(spark: SparkSession, d: str, shares: int = 6, progress: list | None = None) -> DataFrame:
+    """Each digest once, over runs of one stream whose state is dropped six days after a delivery, though repeats come up to five days late."""
+    inbox, state, out = folder(spark, "inbox"), folder(spark, "state"), folder(spark, "once")
+    for rows in arrivals(saved(deliveries(spark, d), "deliveries"), "arrives", shares):
+        rows.select("subscriber_id", "payload", "ts").write.mode("append").parquet(inbox)
+        run = live.run_available(live.once(live.read_new(spark, inbox, DELIVERY), "6 days"), state, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/part={n}"))
+        run.awaitTermination()
+        if progress is not None:
+            progress += run.recentProgress
+    return spark.read.option("basePath", out).parquet(out).select("subscriber_id", "payload")
+
+
+def event_props(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of JSON texts, with broken, empty, missing and other values mixed in."""
+    i, p = F.col("event_id") % 7, F.col("props")
+    mixed = F.when(i == 0, F.substring(p, F.lit(1), F.length(p) - 1)).when(i == 1, " ").when(i == 2, F.lit(None)).when(i == 3, F.replace(p, F.lit(":"), F.lit(': "x" , "m":'))).when(i == 4, F.concat(F.lit('{"in": '), p, F.lit("}"))).when(i == 5, F.concat(F.lit("["), p, F.lit("]"))).otherwise(p)
+    rows = ad.table(spark, d, "events").select("event_id", mixed.alias("text"))
+    return pages.tolerant(rows, "text", {"k": ("$.k", "bigint"), "m": ("$.m", "bigint"), "inner": ("$.in.k", "bigint"), "first": ("$[0].k", "bigint")}).drop("text")
+
+
+def page_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as a file each, and read as files: size, digest, and the digest of the text."""
+    at = folder(spark, "files")
+    ad.table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")).write.partitionBy("page_id").text(at)
+    return pages.documents(spark, at).select(F.regexp_extract("path", r"page_id=(\d+)", 1).cast("long").alias("page_id"), F.col("nbytes").cast("long").alias("nbytes"), "sha256", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def index_files(spark: SparkSession, d: str) -> DataFrame:
+    """Index files of 400 orders, each a JSON object of a session's bills with their number, written and read as files."""
+    at, o = folder(spark, "index"), ad.table(spark, d, "orders")
+    bill = F.struct(F.col("o_orderkey").alias("num"), F.concat(F.lit("HB "), F.col("o_orderkey").cast("string")).alias("label"), F.col("o_orderpriority").alias("title"))
+    listed = o.groupBy(F.floor(F.col("o_orderkey") / 400).alias("page")).agg(F.lit("2024").alias("session"), F.count("*").alias("reported_total"), F.array_sort(F.collect_list(bill)).alias("bills"))
+    listed.write.partitionBy("page").json(at)
+    return pages.index_file(spark, at).select("session", "reported_total", F.explode("bills").alias("b")).select("session", "reported_total", "b.*")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (children_published, stream_refresh, stream_ingest, stream_once_daily, event_props, page_files, index_files)}
 
 
 def _row_sql(table: str, columns: list[str]) -> str:
@@ -144,6 +190,12 @@ SQL = {
             "citation": "kind cite url", "related": "label subject filed_by relationship status url",
         }.items()
     ),
+    "stream_once_daily": "SELECT DISTINCT user_id AS subscriber_id, event_type || ' ' || ts::DATE AS payload FROM events",
+    "event_props": """WITH t AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN ' ' WHEN 2 THEN NULL WHEN 3 THEN replace(props, ':', ': "x" , "m":') WHEN 4 THEN '{"in": ' || props || '}' WHEN 5 THEN '[' || props || ']' ELSE props END AS p FROM events),
+        v AS (SELECT event_id, p, CASE WHEN json_valid(p) THEN p::JSON END AS j FROM t)
+        SELECT event_id, TRY_CAST(j->>'$.k' AS BIGINT) AS k, TRY_CAST(j->>'$.m' AS BIGINT) AS m, TRY_CAST(j->>'$.in.k' AS BIGINT) AS "inner", TRY_CAST(j->>'$[0].k' AS BIGINT) AS first, coalesce(trim(p) <> '' AND NOT json_valid(p), false) AS bad FROM v""",
+    "page_files": "SELECT page_id, octet_length(encode(h)) AS nbytes, sha256(h) AS sha256, md5(h) AS text_md5 FROM (SELECT page_id, coalesce(html, '') || chr(10) AS h FROM pages)",
+    "index_files": "SELECT '2024' AS session, count(*) OVER (PARTITION BY o_orderkey // 400) AS reported_total, o_orderkey AS num, 'HB ' || o_orderkey AS label, o_orderpriority AS title FROM orders",
     "stream_refresh": catalog.SQL["progress"],
     "stream_ingest": f"SELECT h.*, texts FROM ({catalog.SQL['page_heads']}) h JOIN (SELECT page, count(*) AS texts FROM ({catalog.SQL['page_texts']}) GROUP BY page) t USING (page)",
 }

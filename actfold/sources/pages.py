@@ -303,7 +303,7 @@ def marked_segments(pages: DataFrame, page_id: str = "page_id", html: str = "htm
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder: path, text (UTF-8, bad bytes replaced), nbytes, sha256."""
+    """Files below a folder: path, text (UTF-8, bad bytes replaced), nbytes, sha256. Spark's source gives no row for an empty file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.length("content").alias("nbytes"), F.sha2("content", 256).alias("sha256"))
 
@@ -321,5 +321,18 @@ def json_or_empty(c: Column, schema: str) -> Column:
     return F.coalesce(F.from_json(c, schema), F.array().cast(schema))
 
 
+def tolerant(rows: DataFrame, column: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """rows with fields of a JSON text column, as {name: (path, type)}, and bad: whether the text is there and no JSON.
+
+    Null and empty texts have no fields and aren't bad. A field that is missing,
+    or isn't of its type, is null. The text is parsed once, to a variant.
+    """
+    text = F.nullif(F.trim(column), F.lit(""))
+    parsed = rows.withColumn("_v", F.try_parse_json(text))
+    out = parsed.withColumns({name: F.try_variant_get("_v", path, kind) for name, (path, kind) in fields.items()})
+    return out.withColumn("bad", text.isNotNull() & F.col("_v").isNull()).drop("_v")
+
+
 def index_file(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """Index files, each one JSON object over several lines or one; a folder is read with its subfolders."""
+    return spark.read.option("multiLine", True).option("recursiveFileLookup", True).json(path)

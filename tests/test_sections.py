@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from actfold.functions import text as tx
 from actfold.operators import lookup, statutes, verify
 
@@ -63,12 +65,24 @@ def test_quotes_by_their_rarest_run(spark):
     quotes = [(k, " ".join(t.split()[5:19])) for k, t in texts[:30]] + [(90, stock), (91, "two words"), (92, None), (93, "no such run of words anywhere in them"), (94, "fee tax road bri")]
     q, d = spark.createDataFrame(quotes, "q long, text string"), spark.createDataFrame(texts, "d long, text string")
     want = sorted({(k, j) for k, quote in quotes for j, t in texts if quote and t and len(quote.split()) > 2 and quote in t})
-    for small in (500_000, 0):
-        got = [tuple(r) for r in verify.contained(q, d, "q", "d", small=small).collect()]
-        assert sorted(set(got)) == want
+    got = [tuple(r) for r in verify.contained(q, d, "q", "d").collect()]
+    assert sorted(set(got)) == want
     assert verify.contained(q.where("q < 0"), d, "q", "d").count() == 0 and verify.contained(q, d.where("d < 0"), "q", "d").count() == 0
 
 
+def test_the_filter_of_runs_loses_none_and_passes_few(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    others = spark.range(10_000, 60_000).select(F.xxhash64("id").alias("key"))
+    bits = lambda n: verify.key_bits(keys, n)
+    assert keys.where(verify.may_have(F.col("key"), bits(3000))).count() == 3000
+    assert others.where(verify.may_have(F.col("key"), bits(3000))).count() < 1500
+    assert keys.where(verify.may_have(F.col("key"), bits(1))).count() == 3000  # too small a filter passes more, and still loses none
+    edges = spark.createDataFrame([(0,), (-1,), (2**63 - 1,), (-(2**63),), (63,), (64,)], "key long")
+    assert edges.where(verify.may_have(F.col("key"), verify.key_bits(edges, 6))).count() == 6
+    plan = others.where(verify.may_have(F.col("key"), bits(3000))).groupBy("key").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("Filter")  # printed from the top: what the filter drops is not shuffled
+
+
 def test_ranks_across_ranges(spark):
     rng = random.Random(2)
     rows = [("s", n, rng.randint(0, 3)) for n in rng.sample(range(400_000), 300)] + [("s", None, 2)]
