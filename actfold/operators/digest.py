@@ -42,12 +42,12 @@ def deliveries(rows: DataFrame, subscribers: DataFrame, sent: DataFrame, payload
     item = F.struct("num", "label", "title", "area", "one_line")
     if product == "daily":
         wants = who.select("id", "email", F.explode(F.array_distinct("areas")).alias("area_slug"))
-        mine = wants.join(rows.where("area_slug != ''").hint("merge"), "area_slug").groupBy("id", "email").agg(F.array_sort(F.collect_list(item)).alias("bills"))
+        mine = wants.join(F.broadcast(rows.where("area_slug != ''")), "area_slug").groupBy("id", "email").agg(F.array_sort(F.collect_list(item)).alias("bills"))  # the payload's cap
     else:
         everything = rows.groupBy(F.lit(1).alias("k")).agg(F.array_sort(F.collect_list(item)).alias("bills"))  # the payload's cap
         mine = who.select("id", "email", F.lit(1).alias("k")).join(F.broadcast(everything), "k").drop("k")
     done = sent.where(F.col("payload") == payload).select(F.col("subscriber_id").alias("id")).distinct()
-    return mine.join(done, "id", "left_anti").withColumn("payload", F.lit(payload))
+    return mine.join(done.hint("merge"), "id", "left_anti").withColumn("payload", F.lit(payload))
 
 
 def messages(out: DataFrame, product: str, session: str, base_url: str) -> DataFrame:

@@ -94,7 +94,7 @@ def statute_links(claims: DataFrame, refs: DataFrame) -> DataFrame:
     """claims with statute tidied and link: its base citation if that statute has a page, else empty."""
     pages = refs.select(F.col("statute").alias("_base")).distinct().withColumn("_page", F.lit(True))
     rows = claims.withColumn("statute", tx.tidy_statute(F.col("statute"))).withColumn("_base", tx.base_cite(F.col("statute")))
-    return rows.join(pages, "_base", "left").withColumn("link", F.when(F.col("_page"), F.col("_base")).otherwise("")).drop("_base", "_page")
+    return rows.join(pages.hint("merge"), "_base", "left").withColumn("link", F.when(F.col("_page"), F.col("_base")).otherwise("")).drop("_base", "_page")
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -94,17 +94,28 @@ def rendered(parts: DataFrame, keys: list[str], at: str = "i") -> DataFrame:
 
 
 def stats(segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments, insertions, deletions, and words of each by both counts: stitched tokens and words between spaces."""
-    of = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, c)), F.lit(0))
-    words = lambda k: tx.stitched_count(F.flatten(ordered(F.when(F.col("kind") == k, tx.tokens(F.col("text"))).otherwise(F.array().cast("array<string>")))))
-    return segments.groupBy(*keys).agg(
+    """Segments, insertions, deletions, and words of each by both counts: stitched tokens and words between spaces.
+
+    A token that follows one ending in a hyphen goes on with it, also from one
+    segment of a kind to the next that has tokens: only the last token of each
+    segment is carried along for that.
+    """
+    hyphen = lambda t: F.endswith(t, F.lit("-"))
+    tokens = F.when(F.col("kind") != "plain", tx.tokens(F.col("text")))
+    inner = F.size(F.filter(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), hyphen))
+    rows = segments.select(*keys, "kind", "seg_ix", tokens.alias("t"), tx.space_words(F.col("text")).alias("spaced"))
+    rows = rows.select(*keys, "kind", "seg_ix", "spaced", F.size("t").alias("n"), inner.alias("inner"), F.try_element_at("t", F.lit(-1)).alias("last"))
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy(*keys, "kind").orderBy("seg_ix").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("words", F.col("n") - F.col("inner") - F.when((F.col("n") > 0) & hyphen(before), 1).otherwise(0))
+    total = lambda k, c: F.coalesce(F.sum(F.when(F.col("kind") == k, c)), F.lit(0)).cast("long")
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("segments"),
         F.count_if(F.col("kind") == "insert").alias("insertions"),
         F.count_if(F.col("kind") == "delete").alias("deletions"),
-        words("insert").cast("long").alias("words_inserted"),
-        words("delete").cast("long").alias("words_deleted"),
-        of("insert", tx.space_words(F.col("text"))).cast("long").alias("space_words_added"),
-        of("delete", tx.space_words(F.col("text"))).cast("long").alias("space_words_deleted"),
+        total("insert", F.col("words")).alias("words_inserted"),
+        total("delete", F.col("words")).alias("words_deleted"),
+        total("insert", F.col("spaced")).alias("space_words_added"),
+        total("delete", F.col("spaced")).alias("space_words_deleted"),
     )
 
 

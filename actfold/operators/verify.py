@@ -59,7 +59,7 @@ def checked(claims: DataFrame, readings: DataFrame, keys: list[str], least_words
     loose if only its letters and digits are; too short or empty it fails.
     """
     texts = readings.select(*keys, *[tx.canonical(F.col(c)).alias(f"_{c}") for c in ("amended", "standing", "printed")], *[tx.loose_key(F.col(c)).alias(f"_l{c}") for c in ("amended", "standing", "printed")])
-    rows = claims.join(texts, keys, "left").withColumn("_q", tx.canonical(F.col("quote"))).withColumn("_l", tx.loose_key(F.col("quote")))
+    rows = claims.join(texts.hint("merge"), keys, "left").withColumn("_q", tx.canonical(F.col("quote"))).withColumn("_l", tx.loose_key(F.col("quote")))
     among = lambda q, cols: reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(c), F.col(q)), F.lit(False)) for c in cols])
     exact = among("_q", ("_amended", "_standing", "_printed"))
     loose = (F.col("_l") != "") & among("_l", ("_lamended", "_lstanding", "_lprinted"))
@@ -301,7 +301,7 @@ def headers(bills: DataFrame, refs: DataFrame, shown: int = 60) -> DataFrame:
     if "long_title" not in bills.columns:
         bills = bills.withColumn("long_title", F.lit(None).cast("string"))
     head = F.concat_ws("\n", F.concat(F.lit("BILL: "), F.coalesce("label", F.lit("")), F.lit(" — "), F.coalesce("title", F.lit(""))), line("CHAMBER: ", "chamber"), line("SPONSOR: ", "sponsor"), line("EFFECTIVE: ", "effective_date"), line("\nOFFICIAL SUMMARY (written by the Legislature):\n", "long_title"), refs_text)
-    return bills.join(listed, keys, "left").select(*keys, head.alias("header"))
+    return bills.join(listed.hint("merge"), keys, "left").select(*keys, head.alias("header"))
 
 
 def briefs(header: DataFrame, blocks: DataFrame, totals: DataFrame | None = None, budget: int = 24_000) -> DataFrame:
@@ -315,10 +315,10 @@ def briefs(header: DataFrame, blocks: DataFrame, totals: DataFrame | None = None
     at = F.when(F.coalesce("line", F.lit(0)) != 0, F.concat(F.lit("line "), F.col("line").cast("string"))).otherwise("—")
     body = kept.withColumn("_p", F.concat(F.lit("\n["), at, F.lit("] "), "passage")).groupBy(*keys).agg(F.count("*").alias("passages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "_p"))), lambda x: x["_p"]), "\n").alias("body"))
     total = blocks.groupBy(*keys).agg(F.count("*").alias("total_passages"))
-    out = header.join(body, keys, "left").join(total, keys, "left").withColumns({"passages": F.coalesce("passages", F.lit(0)), "total_passages": F.coalesce("total_passages", F.lit(0))})
+    out = header.join(body.hint("merge"), keys, "left").join(total.hint("merge"), keys, "left").withColumns({"passages": F.coalesce("passages", F.lit(0)), "total_passages": F.coalesce("total_passages", F.lit(0))})
     balance = F.lit("")
     if totals is not None:
-        out = out.join(totals.select(*keys, "space_words_added", "space_words_deleted"), keys, "left")
+        out = out.join(totals.select(*keys, "space_words_added", "space_words_deleted").hint("merge"), keys, "left")
         balance = F.coalesce(F.format_string(" In total this bill adds %s words and deletes %s.", F.format_number("space_words_added", 0), F.format_number("space_words_deleted", 0)), F.lit(""))
     title = F.when(F.col("passages") > 0, F.concat(F.format_string("\nCHANGED LANGUAGE (%d of %d passages).", "passages", "total_passages"), balance)).otherwise("\nCHANGED LANGUAGE: none marked")
     return out.select(*keys, F.concat_ws("\n", "header", title, "body").alias("text"), "passages", "total_passages", (F.col("passages") < F.col("total_passages")).alias("truncated"))
@@ -330,7 +330,7 @@ def brief_parts(header: DataFrame, blocks: DataFrame, budget: int = 24_000) -> D
     rows = parted(blocks, keys, budget)
     at = F.when(F.coalesce("line", F.lit(0)) != 0, F.concat(F.lit("line "), F.col("line").cast("string"))).otherwise("—")
     body = rows.withColumn("_p", F.concat(F.lit("\n["), at, F.lit("] "), "passage")).groupBy(*keys, "part", "parts").agg(F.count("*").alias("passages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "_p"))), lambda x: x["_p"]), "\n").alias("body"))
-    return body.join(header, keys).select(*keys, "part", "parts", "passages", F.concat_ws("\n", "header", F.format_string("\nCHANGED LANGUAGE — PART %d OF %d", "part", "parts"), "body").alias("text"))
+    return body.join(header.hint("merge"), keys).select(*keys, "part", "parts", "passages", F.concat_ws("\n", "header", F.format_string("\nCHANGED LANGUAGE — PART %d OF %d", "part", "parts"), "body").alias("text"))
 
 
 def provision_digest(header: DataFrame, provisions: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def provision_digest(header: DataFrame, provisions: DataFrame) -> DataFrame:
     cite = F.when(tx.truthy(F.col("statute")), F.concat(F.lit(" (s. "), "statute", F.lit(")"))).otherwise("")
     item = F.concat_ws("\n", F.concat(F.lit("\n"), F.col("_n").cast("string"), F.lit(". ["), F.coalesce("significance", F.lit("")), F.lit("] "), F.coalesce("heading", F.lit("")), cite), F.concat(F.lit("   "), F.coalesce("effect", F.lit(""))), F.when(tx.truthy(F.col("quote")), F.concat(F.lit('   "'), "quote", F.lit('"'))))
     rows = provisions.withColumn("_n", F.row_number().over(w)).withColumn("_item", item).groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_item"))), lambda x: x["_item"]), "\n").alias("body"))
-    return header.join(rows, keys).select(*keys, F.concat_ws("\n", "header", F.format_string("\nWHAT THIS BILL DOES — %d provisions", "n"), "body").alias("text"))
+    return header.join(rows.hint("merge"), keys).select(*keys, F.concat_ws("\n", "header", F.format_string("\nWHAT THIS BILL DOES — %d provisions", "n"), "body").alias("text"))
 
 
 def requests(briefs_: DataFrame, budgets: dict[str, int]) -> DataFrame:

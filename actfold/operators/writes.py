@@ -70,7 +70,7 @@ def bill_pages(track: DataFrame, bills: DataFrame, refs: DataFrame, stats: DataF
     keys = ["session", "num"]
     r = refs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bill_section", "statute", "action", "words_added", "words_deleted"))).alias("refs"))
     c = claims.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "quote", "statute"))).alias("claims"))
-    out = bills.join(track.drop("label", "chapter_law"), keys, "left")
+    out = bills.join(track.drop("label", "chapter_law").hint("merge"), keys, "left")
     for part in (r, stats, areas.drop("title"), sponsors, c):
-        out = out.join(part, keys, "left")
+        out = out.join(part.hint("merge"), keys, "left")
     return out

@@ -174,7 +174,17 @@ def index_files(spark: SparkSession, d: str) -> DataFrame:
     return pages.index_file(spark, at).select("session", "reported_total", F.explode("bills").alias("b")).select("session", "reported_total", "b.*")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (children_published, stream_refresh, stream_ingest, stream_once_daily, event_props, page_files, index_files)}
+def bill_page_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All that a bill's page shows as one row of plain columns: its lists joined, in order."""
+    rows = catalog.bill_pages(spark, d)
+    ref = lambda r: F.concat_ws(" ", F.coalesce(r["bill_section"].cast("string"), F.lit("-")), r["statute"], r["action"], r["words_added"].cast("string"), r["words_deleted"].cast("string"))
+    claim = lambda c: F.concat_ws(" ", c["ord"].cast("string"), F.md5(c["quote"].cast("binary")), c["statute"])
+    joined = lambda c, f: F.coalesce(F.array_join(F.array_sort(F.transform(c, f)), "; "), F.lit(""))
+    people = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    return rows.select("session", "num", "label", "title", "sponsor", "kind", "stage", "outcome", "events", "area", joined("refs", ref).alias("refs"), joined("claims", claim).alias("claims"), "segments", "words_inserted", "words_deleted", people("panels").alias("panels"), people("people").alias("people"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (children_published, stream_refresh, stream_ingest, stream_once_daily, event_props, page_files, index_files, bill_page_rows)}
 
 
 def _row_sql(table: str, columns: list[str]) -> str:
@@ -196,6 +206,11 @@ SQL = {
         SELECT event_id, TRY_CAST(j->>'$.k' AS BIGINT) AS k, TRY_CAST(j->>'$.m' AS BIGINT) AS m, TRY_CAST(j->>'$.in.k' AS BIGINT) AS "inner", TRY_CAST(j->>'$[0].k' AS BIGINT) AS first, coalesce(trim(p) <> '' AND NOT json_valid(p), false) AS bad FROM v""",
     "page_files": "SELECT page_id, octet_length(encode(h)) AS nbytes, sha256(h) AS sha256, md5(h) AS text_md5 FROM (SELECT page_id, coalesce(html, '') || chr(10) AS h FROM pages)",
     "index_files": "SELECT '2024' AS session, count(*) OVER (PARTITION BY o_orderkey // 400) AS reported_total, o_orderkey AS num, 'HB ' || o_orderkey AS label, o_orderpriority AS title FROM orders",
+    "bill_page_rows": f"""WITH ref AS (SELECT num % 1500 AS num, string_agg(t, '; ' ORDER BY t) AS refs FROM (SELECT num, concat_ws(' ', coalesce(bill_section::VARCHAR, '-'), statute, action, words_added, words_deleted) AS t FROM ({ad.with_('statute_ref')} SELECT * FROM statute_ref)) GROUP BY num % 1500),
+        cl AS (SELECT num, string_agg(t, '; ' ORDER BY t) AS claims FROM (SELECT num, concat_ws(' ', ord, md5(quote), statute) AS t FROM ({ad.with_('claim')} SELECT * FROM claim)) GROUP BY num)
+        SELECT b.session, b.num, b.label, b.title, b.sponsor, t.kind, t.stage, t.outcome, t.events, a.area, coalesce(ref.refs, '') AS refs, coalesce(cl.claims, '') AS claims, s.segments, s.words_inserted, s.words_deleted, coalesce(p.panels, '') AS panels, coalesce(p.people, '') AS people
+        FROM ({ad.with_('bill')} SELECT * FROM bill) b LEFT JOIN ({catalog.SQL['progress']}) t ON t.num = b.num LEFT JOIN ({catalog.SQL['bill_areas']}) a ON a.num = b.num LEFT JOIN ref ON ref.num = b.num LEFT JOIN cl ON cl.num = b.num
+        LEFT JOIN ({catalog.SQL['segment_stats']}) s ON s.num = b.num LEFT JOIN ({catalog.SQL['sponsor_split']}) p ON p.num = b.num""",
     "stream_refresh": catalog.SQL["progress"],
     "stream_ingest": f"SELECT h.*, texts FROM ({catalog.SQL['page_heads']}) h JOIN (SELECT page, count(*) AS texts FROM ({catalog.SQL['page_texts']}) GROUP BY page) t USING (page)",
 }
