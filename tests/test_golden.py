@@ -237,3 +237,32 @@ def test_members(spark):
     p = spark.createDataFrame([(1, html, "https://x/Senators/S37")], "page_id long, html string, url string")
     (r,) = pages.members(pages.page_blocks(p), p.select(F.col("page_id").alias("page"), "url")).collect()
     assert (r.name, r.party, r.district) == ("Jason W. B. Pizzo", "No Party Affiliation", 37)
+
+
+def test_a_brief_with_references_whole(spark):
+    """Bills with no, three and 62 references, each brief compared as a whole text with one written by a loop."""
+    bills = [("s", n, f"HB {n}", f"Title {n}", "House", "Roth" if n % 2 else "", "7/1/2024", "An act." if n == 2 else None) for n in (1, 2, 3)]
+    refs = [("s", 2, 1, "1.01", "amend", 7, 9, 3, 0, None), ("s", 2, None, "9.02", "repeal", None, None, 0, 0, ""), ("s", 2, 1, "1.005", "create", 0, None, 0, 12, "Subsection (2) of")]
+    refs += [("s", 3, k, f"{k}.01", "amend", k, k, 1, 1, None) for k in range(1, 63)]
+    blocks = [("s", n, k, 1, 10 * k, f"passage {k} [[+new+]]") for n in (2, 3) for k in range(n)]
+    totals = [("s", 2, 1234, 5), ("s", 3, 0, 0)]
+    head = verify.headers(spark.createDataFrame(bills, "session string, num long, label string, title string, chamber string, sponsor string, effective_date string, long_title string"), spark.createDataFrame(refs, "session string, num long, bill_section int, statute string, action string, line_start int, line_end int, words_added int, words_deleted int, scope string"))
+    got = {r.num: r.text for r in verify.briefs(head, spark.createDataFrame(blocks, "session string, num long, block_ix long, changed long, line long, passage string"), spark.createDataFrame(totals, "session string, num long, space_words_added long, space_words_deleted long")).collect()}
+    for _, n, label, title, chamber, sponsor, effective, long_title in bills:
+        out = [f"BILL: {label} — {title}", f"CHAMBER: {chamber}"]
+        out += [f"SPONSOR: {sponsor}"] * bool(sponsor) + [f"EFFECTIVE: {effective}"]
+        out += [f"\nOFFICIAL SUMMARY (written by the Legislature):\n{long_title}"] * bool(long_title)
+        own = sorted((r for r in refs if r[1] == n), key=lambda r: (r[2] is None, r[2] or 0, r[3], r[4]))
+        if own:
+            out.append(f"\nSTATUTES THIS BILL OPERATES ON ({len(own)}):")
+            for _, _, section, statute, action, line, _, added, deleted, scope in own[:60]:
+                out.append(f"  section {section or '-'}: {action}s s. {statute} at {f'line {line}' if line else 'title only'}" + (f", +{added}/-{deleted} words" if added or deleted else "") + (f" [{scope}]" if scope else ""))
+            out += [f"  ... and {len(own) - 60} more"] * (len(own) > 60)
+        mine = [b for b in blocks if b[1] == n]
+        if mine:
+            words = next(t for t in totals if t[1] == n)
+            out.append(f"\nCHANGED LANGUAGE ({len(mine)} of {len(mine)} passages). In total this bill adds {words[2]:,} words and deletes {words[3]:,}.")
+            out += [f"\n[{f'line {b[4]}' if b[4] else '—'}] {b[5]}" for b in mine]
+        else:
+            out.append("\nCHANGED LANGUAGE: none marked")
+        assert got[n] == "\n".join(out)
