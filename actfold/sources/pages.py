@@ -148,6 +148,7 @@ def _order(*cols: str):
     return Window.partitionBy("page").orderBy("table_ix", "row_ix", *cols)
 
 
+# Fixed values from here on: the ids, headings and labels by which pages name their sections.
 def history(cells: DataFrame, section: str = "tabBodyBillHistory") -> DataFrame:
     """Events; a cell's actions between bullets are each an event, in order."""
     rows = rows_of_cells(cells, [section]).where("n >= 3").select("page", "table_ix", "row_ix", _c(0).alias("date"), _c(1).alias("chamber"), F.posexplode(F.split(_c(2), "•")).alias("pos", "action"))
