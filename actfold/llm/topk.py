@@ -18,6 +18,8 @@ from actfold.llm.common import Scratch, pick, with_columns
 from actfold.llm.embeddings import as_vector
 
 NO_CUT = -(1 << 62)
+#: Stands for scores that fit no long; scaled components are at most WIDEST, the largest number below 2**63 in double precision.
+FULL, WIDEST = (1 << 63) - 1, float((1 << 63) - 1024)
 #: Groups of equal vectors are broadcast only up to this many.
 MOST_BROADCAST = 50_000
 
@@ -81,10 +83,10 @@ def _most(q: np.ndarray, x: np.ndarray) -> int:
 def _product(q: np.ndarray, x: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
     """Exact integer inner products: in floating point where every sum fits in 53 bits, which is faster.
 
-    Raises where a product fits no long. Integer sums wrap, but what they wrap
-    to is exact if the true sum fits; whether it does is told by the sum in
-    floating point, or, near the limit or where its error may be large, by
-    Python's integers. Pairs in ``own`` are a vector and itself, which nobody
+    Products of FULL and beyond become FULL with their sign. Integer sums wrap,
+    but what they wrap to is exact if the true sum fits; whether it does is told
+    by the sum in floating point, or, near the limit or where its error may be
+    large, by Python's integers. Pairs in ``own`` are a vector and itself, which nobody
     asks for; they may be anything.
     """
     most = _most(q, x)
@@ -96,9 +98,7 @@ def _product(q: np.ndarray, x: np.ndarray, own: np.ndarray | None = None) -> np.
         unsure = np.abs(near) + np.float64(most) * (q.shape[1] + 2) * 2.0**-52 >= 2.0**62
         for i, j in np.argwhere(unsure if own is None else unsure & ~own).tolist():
             exact = sum(a * b for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True))
-            if not -(2**63) <= exact < 2**63:
-                raise OverflowError(f"the inner product {exact} fits no long")
-            out[i, j] = exact
+            out[i, j] = max(-FULL, min(FULL, exact))
     return out
 
 
@@ -126,8 +126,10 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     Queries are the rows whose id is divisible by ``every``; candidates are all
     rows with another id. Components become floor(scale * x). Ties go to the
     smaller id. Vectors that are null or empty or hold null or non-finite
-    components take no part, nor do null ids. A score or a scaled component that
-    fits no long raises an OverflowError; nothing ever wraps. Vectors of different dimensions are not compared; repeated rows are one
+    components take no part, nor do null ids. Nothing ever wraps: a scaled
+    component beyond a long counts as about 2**63 with its sign, and a score of
+    2**63 - 1 and beyond, either way, ranks first or last, among such by id, and
+    is given as null. Vectors of different dimensions are not compared; repeated rows are one
     candidate; further columns of any name are left out; an empty table gives
     an empty one.
 
@@ -156,11 +158,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     def whole(values: list) -> list[list]:
         out: list[list] = [[], [], [], []]
         for v in map(as_vector, values):
-            x = np.floor(scale * v) if v is not None else None
+            x = np.clip(np.floor(scale * v), -WIDEST, WIDEST) if v is not None else None
             if x is None:
                 row: tuple = (None, None, None, None)
-            elif np.abs(x).max() >= 2**63:
-                raise OverflowError(f"a component of {np.abs(x).max():g} after scaling fits no long")
             else:
                 wide = bool(np.abs(x).max() >= 2**31)
                 raw = x.astype(np.int64 if wide else np.int32).tobytes()
@@ -264,4 +264,5 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     three = meet(wanted, resolve, scores)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     every_score = sure.select("query_id", "vec_id", "score").union(three.select("query_id", "vec_id", "score")).distinct()
-    return every_score.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fits = (F.col("score") < FULL) & (F.col("score") > -FULL)
+    return every_score.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.when(fits, F.col("score")).alias("score"))
