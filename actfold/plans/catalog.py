@@ -930,64 +930,64 @@ def brief_part_texts(spark: SparkSession, d: str) -> DataFrame:
 LI_SQL = f"WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(ad.LINE_ORDER)}) AS n, l_orderkey AS page FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)) "
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    return pages.page_cells(ad.record_pages(spark, d))
+def _rows(spark: SparkSession, d: str, *sections: str) -> DataFrame:
+    return pages.page_rows(ad.record_pages(spark, d), list(sections))
 
 
 @query(LI_SQL + "SELECT page, 2 * (n - 1) + k AS seq, strftime(l_shipdate, '%-m/%-d/%Y') AS date, 'House' AS chamber, CASE k WHEN 0 THEN 'Filed ' || l_partkey ELSE 'Read ' || l_suppkey END AS action FROM (SELECT *, unnest([0, 1]) AS k FROM li)")
 def page_history(spark: SparkSession, d: str) -> DataFrame:
-    return pages.history(_cells(spark, d)).withColumn("seq", F.col("seq").cast("long"))
+    return pages.history(_rows(spark, d, "tabBodyBillHistory")).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query(LI_SQL + "SELECT page, 'v' || n AS version, '1/1/2024' AS posted, fmt, '/t/' || l_partkey || '/' || fmt AS url, 2 * (n - 1) + CASE fmt WHEN 'HTML' THEN 1 ELSE 2 END AS text_seq FROM (SELECT *, unnest(['HTML', 'PDF']) AS fmt FROM li)")
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
-    return pages.texts(_cells(spark, d)).withColumn("text_seq", F.col("text_seq").cast("long"))
+    return pages.texts(_rows(spark, d, "tabBodyBillText")).withColumn("text_seq", F.col("text_seq").cast("long"))
 
 
 @query(LI_SQL + "SELECT page, 'Committee' AS scope, 'v' || n AS version, 'Committee ' || l_suppkey AS committee, '1/2/2024' AS date, l_returnflag AS result, '' AS url FROM li")
 def page_votes(spark: SparkSession, d: str) -> DataFrame:
-    return pages.votes(_cells(spark, d))
+    return pages.votes(_rows(spark, d, "tabBodyVoteHistory"))
 
 
 @query(LI_SQL + "SELECT page, 'Floor' AS scope, '' AS version, l_partkey::VARCHAR AS number, 'Delete All' AS kind, 'Delete all' AS description, 'S' || l_suppkey AS filed_by, '1/3' AS posted, 'Adopted' AS action, '/m/' || n AS url FROM li")
 def page_amendments(spark: SparkSession, d: str) -> DataFrame:
-    return pages.amendments(_cells(spark, d))
+    return pages.amendments(_rows(spark, d, "CommitteeAmendmentASC", "FloorAmendmentASC"))
 
 
 @query(LI_SQL + "SELECT page, 'Statutes' AS kind, 'x ' || l_partkey || '.01' AS cite, '/s/' || l_partkey AS url FROM li")
 def page_citations(spark: SparkSession, d: str) -> DataFrame:
-    return pages.citations(_cells(spark, d))
+    return pages.citations(_rows(spark, d, "tabBodyCitations"))
 
 
 @query(LI_SQL + "SELECT page, 'x HB ' || l_partkey AS label, 'Subject' AS subject, 'S' || l_suppkey AS filed_by, 'Identical' AS relationship, 'Died' AS status, '/b/' || l_partkey AS url FROM li")
 def page_related(spark: SparkSession, d: str) -> DataFrame:
-    return pages.related(_cells(spark, d))
+    return pages.related(_rows(spark, d, "tabBodyRelatedBills"))
 
 
 @query(LI_SQL + "SELECT page, 'Analysis' AS kind, l_partkey::VARCHAR AS analysis, 'Rules' AS author, '1/4/2024' AS posted, '/a/' || l_suppkey AS url FROM li")
 def page_analyses(spark: SparkSession, d: str) -> DataFrame:
-    return pages.analyses(_cells(spark, d))
+    return pages.analyses(_rows(spark, d, "tabBodyAnalyses"))
 
 
 @query(LI_SQL + "SELECT o_orderkey AS page, 'CS/HB ' || o_orderkey AS label, 'Order & ' || o_orderpriority AS title, 'House' AS chamber, 'GENERAL BILL' AS subject, 'Roth' AS sponsor, 'Pizzo' AS cosponsors, 'An act.' AS long_title, '/Senators/S3' AS sponsor_url FROM orders WHERE o_orderkey IN (SELECT page FROM li)")
 def page_heads(spark: SparkSession, d: str) -> DataFrame:
-    return pages.bill_heads(pages.page_blocks(ad.record_pages(spark, d)))
+    return pages.bill_heads(pages.page_blocks(ad.record_pages(spark, d), tags=["h2", "p", "a"], links=pages.MEMBER))
 
 
 @query(LI_SQL + "SELECT o_orderkey AS page, '7/1/2024' AS effective_date, 'Chapter No. 2024-' || o_orderkey AS last_action, '2024-' || o_orderkey AS chapter_law, '' AS chapter_law_url FROM orders WHERE o_orderkey IN (SELECT page FROM li)")
 def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return pages.snapshots(pages.page_blocks(ad.record_pages(spark, d)))
+    return pages.snapshots(pages.page_blocks(ad.record_pages(spark, d), tags=["div", "a"], sections=["snapshot"]))
 
 
 @query(LI_SQL + "SELECT o_orderkey AS page, 'House' AS chamber, k AS seq, CASE k WHEN 0 THEN 'Rules' ELSE 'Taxes ' || o_custkey END AS name, CASE k WHEN 0 THEN 'RUL' ELSE 'TAX' END AS code FROM (SELECT *, unnest([0, 1]) AS k FROM orders WHERE o_orderkey IN (SELECT page FROM li))")
 def page_committees(spark: SparkSession, d: str) -> DataFrame:
-    return pages.committee_refs(pages.page_blocks(ad.record_pages(spark, d)))
+    return pages.committee_refs(pages.page_blocks(ad.record_pages(spark, d), tags=["span", "li"], sections=["snapshot"]))
 
 
 @query("SELECT o_orderkey // 40 AS page, row_number() OVER (PARTITION BY o_orderkey // 40 ORDER BY o_orderkey) AS row_ix, 'HB ' || o_orderkey AS label, o_orderkey AS num, '/Session/Bill/2024/' || o_orderkey AS url, o_orderpriority AS title, 'S' || o_custkey AS filed_by, strftime(o_orderdate, '%-m/%-d/%Y') || ' House - Filed' AS last_action, count(*) OVER (PARTITION BY o_orderkey // 40) AS total FROM orders")
 def page_bill_list(spark: SparkSession, d: str) -> DataFrame:
     p = ad.list_pages(spark, d)
-    return pages.bill_list(pages.page_cells(p), pages.page_blocks(p)).withColumn("row_ix", F.col("row_ix").cast("long"))
+    return pages.bill_list(pages.page_rows(p), pages.page_blocks(p)).withColumn("row_ix", F.col("row_ix").cast("long"))
 
 
 @query("SELECT s_suppkey AS page, '/Senators/S' || (s_suppkey % 40 + 1) AS url, (s_suppkey % 40 + 1)::INTEGER AS district, 'Ana ' || s_name AS name, ['Democrat', 'Republican', ''][s_nationkey % 3 + 1] AS party FROM supplier")
