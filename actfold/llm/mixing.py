@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actfold.llm.common import NULL_KEY, Scratch, kept, numbered, pick, sampled, short_batches, with_columns
+from actfold.llm.common import NULL_KEY, Scratch, kept, numbered, pick, short_batches, with_columns
 
 #: Cells are broadcast only up to this many (a few MB); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 20_000
@@ -51,36 +52,105 @@ class Topics:
         return int((self.centres @ (unit - self.means.get(lang, self.mean))).argmax())
 
 
-def fit_topics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", topics: int = 8, sample_docs: int = 4_000, least_docs: int = 20, rounds: int = 25, seed: int = 7) -> Topics | None:
-    """Spherical k-means over the word use of about ``sample_docs`` documents, which is all that reaches the driver.
+#: Steps of a document's shares in 16 bits, and of a centred one in sums of whole numbers, which are the same in any order.
+STEPS, FINE = 32_767, 1 << 20
+
+
+def _centred(batch: pa.RecordBatch, means: dict[str, np.ndarray], mean: np.ndarray) -> np.ndarray:
+    """A batch of (lang, unit) as rows at unit length, what is common to a language taken off."""
+    x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int16).reshape(-1, PLACES) / STEPS
+    langs = batch.column(0).dictionary_encode()
+    x -= np.stack([means.get(lang, mean) for lang in langs.dictionary.to_pylist()])[langs.indices.to_numpy()]
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _summed(units: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple[str, int, np.ndarray]]]) -> dict[str, tuple[int, np.ndarray]]:
+    """For each of a few keys how many rows it has and their sum; of gives both for a batch. A task sends 257 rows a key, the driver gets as many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for key, n, x in of(batch) if batch.num_rows else ():
+                total[key] = total.get(key, 0) + np.append(x, n)
+        for key, x in total.items():
+            yield pa.RecordBatch.from_pydict({"key": [key] * len(x), "place": np.arange(len(x)), "n": x})
+
+    out: dict[str, np.ndarray] = {}
+    for key, place, n in units.mapInArrow(run, "key string, place long, n long").groupBy("key", "place").agg(F.sum("n")).collect():
+        out.setdefault(key, np.zeros(PLACES + 1, np.int64))[place] = n
+    return {key: (int(x[-1]), x[:-1]) for key, x in out.items()}
+
+
+def fit_topics(df: DataFrame, text_col: str = "text", lang_col: str = "lang", topics: int = 8, least_docs: int = 20, rounds: int = 25, seed: int = 7, work: Scratch | None = None) -> Topics | None:
+    """Spherical k-means over the word use of all documents.
+
+    The texts are read once; 512 bytes a document are written, and each round
+    reads these and sums them by centre in Spark, so only sums reach the
+    driver. Sums are of whole numbers, so the centres are the same however the
+    rows are dealt. Each next first centre is what the others are furthest
+    from. It ends when a round changes nothing, or after ``rounds``.
 
     A language (a null one is one of its own) with fewer than ``least_docs``
-    documents there is centred at the mean of all. None: no document with words.
+    documents, or one in 200, is centred at the mean of all. None: no document
+    with words.
     """
-    docs = sampled(pick(df, doc_id=id_col, text=text_col, lang=lang_col).where("text is not null"), "doc_id", sample_docs)
+    docs, work = pick(df, text=text_col, lang=lang_col).where("text is not null"), work or Scratch(df.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(lang, unit.astype(np.float32).tobytes()) for text, lang in zip(batch["text"], batch["lang"], strict=True) if (unit := word_counts(text)[1]) is not None]
+            found = [(lang, np.rint(unit * STEPS).astype(np.int16).tobytes()) for text, lang in zip(batch["text"], batch["lang"], strict=True) if (unit := word_counts(text)[1]) is not None]
             yield pd.DataFrame(found, columns=["lang", "unit"])
 
     short_batches(df.sparkSession)
-    got = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(NULL_KEY)).alias("lang")).mapInPandas(count, "lang string, unit binary").collect()
-    if not got:
+    units = work.save(docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(NULL_KEY)).alias("lang")).mapInPandas(count, "lang string, unit binary"), "units")
+    n = units.count()
+    if not n:
         return None
-    got.sort()  # the same centres however the rows are dealt
-    langs, x = np.array([r[0] for r in got]), np.stack([np.frombuffer(r[1], np.float32) for r in got]).astype(np.float64)
-    mean = x.mean(axis=0)
-    means = {lang: x[langs == lang].mean(axis=0) for lang in set(langs.tolist()) if (langs == lang).sum() >= least_docs}
-    x -= np.stack([means.get(lang, mean) for lang in langs])
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centres = x[[int(np.random.default_rng(seed).integers(len(x)))]]
-    while len(centres) < min(topics, len(x)):  # each next centre is what the others are furthest from
-        centres = np.concatenate((centres, x[[int((x @ centres.T).max(axis=1).argmin())]]))
+    common = frozenset(r.lang for r in units.groupBy("lang").count().where(F.col("count") >= max(least_docs, n // 200)).collect())
+
+    def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
+        x, langs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int16).reshape(-1, PLACES).astype(np.int64), np.array(batch.column(0).to_pylist())
+        for lang in set(langs.tolist()):
+            yield lang if lang in common else "", int((langs == lang).sum()), x[langs == lang].sum(axis=0)
+
+    sums = _summed(units, by_lang)
+    means = {lang: sums[lang][1] / sums[lang][0] / STEPS for lang in common}
+    mean = sum(x for _, x in sums.values()) / n / STEPS
+
+    def furthest(centres: np.ndarray | None) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = _centred(batch, means, mean)
+                    near = np.array([xxhash.xxh3_64_intdigest(r.tobytes(), seed) / 2**64 for r in x]) if centres is None else (x @ centres.T).max(axis=1).round(9)
+                    least = min((near[i], x[i].tobytes()) for i in np.flatnonzero(near == near.min()))
+                    best = least if best is None else min(best, least)
+            if best:
+                yield pa.RecordBatch.from_pydict({"near": [float(best[0])], "x": [best[1]]})
+
+        return np.frombuffer(units.mapInArrow(run, "near double, x binary").agg(F.min(F.struct("near", "x")).alias("m")).first().m.x)
+
+    centres = furthest(None)[None]
+    while len(centres) < min(topics, n):
+        centres = np.concatenate((centres, furthest(centres)[None]))
+    before = None
     for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = np.stack([x[own == k].sum(axis=0) if (own == k).any() else centres[k] for k in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        now = centres
+
+        def by_centre(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
+            x = _centred(batch, means, mean)
+            own = (x @ now.T).round(9).argmax(axis=1)  # noqa: B023
+            x = np.rint(x * FINE).astype(np.int64)
+            for k in set(own.tolist()):
+                yield str(k), int((own == k).sum()), x[own == k].sum(axis=0)
+
+        found = _summed(units, by_centre)
+        sums = np.stack([found[str(k)][1] / FINE if str(k) in found else centres[k] for k in range(len(centres))])
+        if before is not None and np.array_equal(sums, before):
+            break
+        before, centres = sums, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    work.drop(units)
     return Topics(means, mean, centres)
 
 
@@ -251,7 +321,7 @@ MARGINS = ["source", "lang", "topic"]
 def mix_documents(docs: DataFrame, keep: float = 0.7, work: Scratch | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens and what mix() adds, by source, language and fitted topic, tokens being words.
 
-    The texts are read once besides the sample for the topics: what the rest
+    The texts are read once besides the fit of the topics: what the rest
     needs is written then. Null or empty texts have topic ``none`` and no tokens.
     """
     work = work or Scratch(docs.sparkSession)
@@ -262,8 +332,8 @@ def mix_documents(docs: DataFrame, keep: float = 0.7, work: Scratch | None = Non
 def sample_documents(docs: DataFrame, keep: float = 0.7, work: Scratch | None = None) -> DataFrame:
     """The documents that mix_documents() keeps, their columns as they are.
 
-    The texts are read twice, to sum the cells and to draw; nothing but the
-    cells is written or shuffled.
+    The texts are read to fit the topics, to sum the cells and to draw; the
+    cells and, for the fit, 512 bytes a document are written.
     """
     own, at = numbered(docs)
     measured = with_topics(own, fit_topics(docs), at["text"], at["lang"])

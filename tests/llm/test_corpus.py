@@ -338,6 +338,18 @@ def test_topics_part_word_use_within_languages(spark):
     assert mixing.fit_topics(df.limit(0)) is None
 
 
+def test_topics_come_from_all_documents(spark):
+    """The means are those of all 6,002 documents, and the deal of the rows changes nothing."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d"]) for _ in range(30)), "en") for i in range(6000)]
+    rows += [(6000 + i, "quite other words here", "en") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, other = mixing.fit_topics(df.repartition(3), topics=2), mixing.fit_topics(df.repartition(5), topics=2)
+    assert np.array_equal(one.centres, other.centres) and np.array_equal(one.mean, other.mean)
+    units = np.stack([np.rint(mixing.word_counts(t)[1] * mixing.STEPS) for _, t, _ in rows])
+    assert np.allclose(one.means["en"], units.mean(axis=0) / mixing.STEPS)  # of a sample it would be another
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, "", "en", "a"), (None, "x y", "en", "a"), (3, "x y", "en", "a"), (3, "x y", "en", "a")], DOCS)
     out = mixing.mix_documents(df, keep=1.0).collect()
