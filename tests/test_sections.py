@@ -88,3 +88,18 @@ def test_ranks_across_ranges(spark):
     rows = [("s", n, rng.randint(0, 3)) for n in rng.sample(range(400_000), 300)] + [("s", None, 2)]
     got = {r.num: r.place for r in lookup.ranked(spark.createDataFrame(rows, "session string, num long, activity long")).collect()}
     assert got == {r[1]: k for k, r in enumerate(sorted(rows, key=lambda r: (-r[2], -1 if r[1] is None else r[1])), 1)}
+
+
+def test_references_read_segments_once(spark):
+    """The segments come together once, without windows; a document of more sections than a block of running sums is as its loop."""
+    rows = []
+    for k in range(700):
+        rows.append(("s", 1, 2 * k, "plain", f"Section {k + 1}. Section {k + 10}.01, Florida Statutes, is amended:" if k % 3 else f"Section {k + 1}. Chapter {k + 10}, Florida Statutes, is repealed.", k % 5 and 3 * k, 1))
+        rows.append(("s", 1, 2 * k + 1, ["insert", "delete"][k % 2], "of trade " * (k % 4), 3 * k + 1, 1))
+    rows = [(*r[:4], r[4].strip(), *r[5:]) for r in rows]
+    df = spark.createDataFrame(rows, "session string, num long, seg_ix long, kind string, text string, line long, page long")
+    found = statutes.cross_reference(df, ["session", "num"])
+    columns = ("num", "bill_section", "line_start", "line_end", "words_added", "words_deleted")
+    assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=repr) == sorted(looped(rows), key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Window" not in plan
