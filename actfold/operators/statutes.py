@@ -17,7 +17,7 @@ STATUTE_SHORT = r"(?i)\bs{1,2}\.\s*(\d+[0-9A-Za-z.]*)\s*,\s*F\.S\."
 CHAPTER = r"(?is)\bChapter\s+(\d+[0-9A-Za-z.-]*)\s*,\s*Florida\s+Statutes\s*,(?:\s*consisting\s+of\s+ss?\.\s*(.{0,4000}?))?\s*,?\s*(?:is|are)\s+(repealed|amended|created|transferred|renumbered)"
 VERB = r"(?i)\b(?:is|are)\s+(amended|created|added|repealed|reenacted|redesignated|renumbered|reordered|transferred|revived|readopted|directed)\b"
 ADDED_TO = r"(?i)\bis\s+added\s+to\s+section\b"
-TITLE = r"(?i)\b(amending|creating|repealing|reenacting|renumbering|transferring|redesignating|revising|abrogating)\s+s{1,2}\.\s*([\d][0-9A-Za-z.()\s,]*?)\s*(?:,?\s*F\.S\.|,\s*relating\s+to\b|;)"
+TITLE = r"(?i)\b(?=[acrt])(amending|creating|repealing|reenacting|renumbering|transferring|redesignating|revising|abrogating)\s+s{1,2}\.\s*([\d][0-9A-Za-z.()\s,]*?)\s*(?:,?\s*F\.S\.|,\s*relating\s+to\b|;)"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:

@@ -260,7 +260,7 @@ def parted(blocks: DataFrame, keys: list[str], budget: int) -> DataFrame:
     number of parts has binary digits. Documents within the budget take none.
     """
     w = Window.partitionBy(*keys).orderBy("block_ix")
-    rows = blocks.withColumn("block_ix", F.col("block_ix").cast("long")).withColumn("_to", F.sum(F.length("passage")).over(w).cast("long"))
+    rows = saved(blocks.withColumn("block_ix", F.col("block_ix").cast("long")), "blocks").withColumn("_to", F.sum(F.length("passage")).over(w).cast("long"))
     slim = rows.select(*keys, "block_ix", (F.row_number().over(w) - 1).cast("long").alias("k"), (F.col("_to") - F.length("passage")).alias("c"), F.col("_to").alias("e"))
     every = Window.partitionBy(*keys)
     slim = saved(slim.withColumn("size", F.max("e").over(every)).withColumn("n", F.count("*").over(every)), "sums")
@@ -311,6 +311,7 @@ def briefs(header: DataFrame, blocks: DataFrame, totals: DataFrame | None = None
     segments.stats(), lets the text state the balance of the whole bill.
     """
     keys = ["session", "num"]
+    blocks = saved(blocks, "blocks")  # read three times
     kept = within_budget(blocks, keys, budget)
     at = F.when(F.coalesce("line", F.lit(0)) != 0, F.concat(F.lit("line "), F.col("line").cast("string"))).otherwise("—")
     body = kept.withColumn("_p", F.concat(F.lit("\n["), at, F.lit("] "), "passage")).groupBy(*keys).agg(F.count("*").alias("passages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "_p"))), lambda x: x["_p"]), "\n").alias("body"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from actfold.functions import text as tx
 from actfold.operators import lookup, statutes, verify
+from actfold.plans import adapters
 
 
 def drawn(seed):
@@ -103,3 +104,13 @@ def test_references_read_segments_once(spark):
     assert sorted((tuple(r[c] for c in columns) for r in found.collect()), key=repr) == sorted(looped(rows), key=repr)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 1 and "Window" not in plan
+
+
+def test_acts_and_blocks_are_made_once(spark):
+    acts = adapters.acts(spark, "/root/testdata/sf0.001")
+    assert acts._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1
+    rows = [("s", 1, 0, 1, 3, "a"), ("s", 1, 1, 2, None, "b" * 90)]
+    blocks = spark.createDataFrame(rows, "session string, num long, block_ix long, changed long, line long, passage string")
+    head = spark.createDataFrame([("s", 1, "BILL")], "session string, num long, header string")
+    for made in (verify.briefs(head, blocks), verify.brief_parts(head, blocks, 50)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # the header's
