@@ -76,8 +76,9 @@ def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def companion_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a component of near-duplicates, over their whole texts."""
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))  # of rows that share an id, one
     work = Scratch(spark)
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # of rows that share an id, one; texts are not sent about otherwise
+        docs = work.save(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "docs")
     found = work.save(minhash.near_duplicates(docs, work=work).where("n_shingles > 0").select("doc_id", F.col("component_id").alias("component")), "found")
     shared = found.groupBy("component").count().where("count > 1").select("component")
     found = found.join(shared.hint("merge"), "component", "left_semi")

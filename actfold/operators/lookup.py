@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -207,36 +208,135 @@ def sequence_ratio(pairs: DataFrame, left: str = "left_words", right: str = "rig
     return pairs.withColumn("ratio", ratio(left, right))
 
 
-def sequence_ratios(docs: DataFrame, block: int = 48) -> DataFrame:
+def longest(a: str, b: str, a0: int, a1: int, b0: int, b1: int, most: int) -> tuple[int, int, int, bool] | None:
+    """Start in a, start in b and size of the longest block that a[a0:a1] and b[b0:b1] share, the first in a and then in b, and whether others are as long; None after ``most`` searches.
+
+    Only what is longer than the best so far, or as long while it is the only
+    one, is looked for. Where a window of a is not in b, neither is the
+    shortest end of it that is not in b, so the next window begins behind that
+    end's first place.
+    """
+    i, x, y, size, tied = a0, a0, b0, 0, True
+    while i + (n := size + tied) <= a1:
+        most -= 1
+        if most < 0:
+            return None
+        j = b.find(a[i : i + n], b0, b1)
+        if j >= 0:
+            while True:
+                step = 1
+                while i + n + step <= a1 and j + n + step <= b1 and a[i + n : i + n + step] == b[j + n : j + n + step]:
+                    n, step = n + step, 2 * step
+                while step := step // 2:
+                    if i + n + step <= a1 and j + n + step <= b1 and a[i + n : i + n + step] == b[j + n : j + n + step]:
+                        n += step
+                most -= 1
+                k = b.find(a[i : i + n + 1], j + 1, b1) if i + n < a1 else -1
+                if most < 0:
+                    return None
+                if k < 0:
+                    break
+                j, n = k, n + 1
+            if n == size:
+                tied = True
+            else:
+                x, y, size, tied, most = i, j, n, b.find(a[i : i + n], j + 1, b1) >= 0, most - 1
+            i += 1
+            continue
+        known, gone = 0, 1  # ends of these lengths are in b, and are not
+        while gone < n and b.find(a[i + n - gone : i + n], b0, b1) >= 0:
+            known, gone, most = gone, 2 * gone, most - 1
+        gone = min(gone, n)
+        while gone - known > 1:
+            mid, most = (known + gone) // 2, most - 1
+            known, gone = (mid, gone) if b.find(a[i + n - mid : i + n], b0, b1) >= 0 else (known, mid)
+        i += n - gone + 1
+    return x, y, size, tied
+
+
+def shared(a: str, b: str, most: int = 2_000) -> tuple[int, bool]:
+    """matched() of sequences whose items are characters, and whether b and a are known to have the same, since no block had to be chosen.
+
+    Near copies take a few searches a block; ranges that take many go to matched().
+    """
+    total, both, todo = 0, True, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        found = longest(a, b, a0, a1, b0, b1, most)
+        if found is None:
+            codes = np.frombuffer((a[a0:a1] + b[b0:b1]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            codes = np.unique(codes, return_inverse=True)[1]
+            total, both = total + matched(codes[: a1 - a0], codes[a1 - a0 :]), False
+        elif found[2]:
+            i, j, size, tied = found
+            total, both = total + size, both and not tied
+            todo += [(a0, i, b0, j), (i + size, a1, j + size, b1)]
+    return total, both
+
+
+def same_texts(docs: DataFrame, copies: int = 64) -> DataFrame:
+    """(component, doc_id, ids): the ids, ascending, that share a text in a component, in rows of about ``copies`` ids each, named by their smallest."""
+    of = ["component", "key"]
+    ids = docs.select("component", F.sha2("text", 256).alias("key"), "doc_id")
+    parts = ids.groupBy(*of).agg(F.ceil(F.count("*") / copies).cast("int").alias("parts"))
+    dealt = ids.join(parts.hint("merge"), of).groupBy(*of, F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    return dealt.agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_list("doc_id")).alias("ids")).select("component", "doc_id", "ids")
+
+
+def sequence_ratios(docs: DataFrame, block: int = 48, copies: int = 64) -> DataFrame:
     """(doc_id, other, ratio) for all pairs, doc_id > other, of docs(doc_id, component, text) with one component: sequence_ratio of their words, parted by spaces.
 
-    A component is dealt into blocks, and every pair of blocks meets in one
-    group of at most about two blocks of texts, so no task holds a component
-    whole and a text is sent once a block instead of once a pair. Equal texts
-    agree wholly. Ids are taken to be distinct; a null id or text has no pairs.
+    Equal texts of a component go on as one row for about ``copies`` ids, so
+    different texts are compared, not rows; ids are paired where a comparison's
+    row is read. These rows are dealt into blocks, and every pair of blocks
+    meets in one group of at most about two blocks of texts, so no task holds a
+    component whole and a text is sent once a block instead of once a pair.
+    Equal texts agree wholly. The agreement depends on which text is first, so
+    both ways are found where ids call for both. Ids are taken to be distinct;
+    a null id or text has no pairs.
     """
-    live = docs.where("doc_id is not null and text is not null and component is not null")
-    sizes = live.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
-    dealt = live.join(sizes.drop("n").hint("merge"), "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "text")
+    live = docs.where("doc_id is not null and text is not null and component is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    same = same_texts(live, copies)
+    sizes = same.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.sum(F.size("ids")).alias("n")).where("n > 1")
+    dealt = same.join(sizes.drop("n").hint("merge"), "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.drop("component").join(live.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ids", "text")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         two = group["i"].iloc[0] != group["j"].iloc[0]
-        rows = sorted(zip(group["doc_id"], group["own"], group["text"], strict=True), key=lambda r: r[0])
-        words = {t: t.split(" ") for _, _, t in rows}
-        out = []
-        for k, (other, mine, right) in enumerate(rows):
-            matcher, known = SequenceMatcher(None, b=words[right], autojunk=False), {right: 1.0}
-            for doc, own, left in rows[k + 1 :]:
-                if two and own == mine:
-                    continue
-                if left not in known:
-                    known[left] = agreement(words[left], words[right], matcher)
-                out.append((doc, other, known[left]))
-        return pd.DataFrame(out, columns=["doc_id", "other", "ratio"])
-
-    return dealt.groupBy("component", "i", "j").applyInPandas(run, "doc_id long, other long, ratio double")
+        at, signs, known = {}, {}, {}
+        for t in set(group["text"]):
+            codes = [at.setdefault(w, len(at)) for w in t.split(" ")]
+            signs[t] = "".join(map(chr, codes)) if len(at) <= sys.maxunicode else None  # there are no more characters
+
+        def ratio(left: str, right: str) -> float:
+            if left == right:
+                return 1.0
+            if (left, right) not in known:
+                a, b = signs[left], signs[right]
+                if a is None or b is None:
+                    known[left, right] = agreement(left.split(" "), right.split(" "))
+                else:
+                    total, both = shared(a, b)
+                    known[left, right] = 2 * total / (len(a) + len(b))
+                    if both:
+                        known[right, left] = known[left, right]
+            return known[left, right]
+
+        rows, out = list(zip(group["own"], group["ids"], group["text"], strict=True)), []
+        for k, (mine, xs, a) in enumerate(rows):
+            if not two and len(xs) > 1:
+                out.append((xs, xs, 1.0, -1.0))
+            for own, ys, b in rows[k + 1 :]:
+                if not two or own != mine:
+                    out.append((xs, ys, ratio(a, b) if xs[-1] > ys[0] else -1.0, ratio(b, a) if ys[-1] > xs[0] else -1.0))
+        return pd.DataFrame(out, columns=["xs", "ys", "above", "below"])
+
+    found = dealt.groupBy("component", "i", "j").applyInPandas(run, "xs array<long>, ys array<long>, above double, below double")
+    found = found.select(F.explode("xs").alias("x"), "ys", "above", "below").select("x", F.explode("ys").alias("y"), "above", "below")
+    return found.select(F.greatest("x", "y").alias("doc_id"), F.least("x", "y").alias("other"), F.when(F.col("x") > F.col("y"), F.col("above")).otherwise(F.col("below")).alias("ratio")).where("doc_id > other and ratio >= 0")
 
 
 def search_index(bills: DataFrame, track: DataFrame) -> DataFrame:

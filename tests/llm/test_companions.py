@@ -27,3 +27,12 @@ def test_all_pairs_of_whole_texts(spark, tmp_path):
     pairs = {(i, j): round(want(text[i], text[j]), 6) for i in text for j in text if i > j and comp[i] == comp[j]}
     got = queries.companion_sequences(spark, str(tmp_path)).collect()
     assert len(pairs) > 12 and len(got) == len(pairs) and {(r.doc_id, r.other): r.ratio for r in got} == pairs
+
+
+def test_rows_that_share_an_id_count_once(spark, tmp_path):
+    w = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:59])), (2, " ".join([*w[:59], "z"])), (3, " ".join(w)), (3, " ".join(w)), (4, " ".join(w))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    text = {1: w, 2: w[:59], 3: w, 4: w}  # of id 2 the smallest text
+    got = queries.companion_sequences(spark, str(tmp_path)).collect()
+    assert len(got) == 6 and {(r.doc_id, r.other): r.ratio for r in got} == {(i, j): round(want(text[i], text[j]), 6) for i in text for j in text if i > j}
