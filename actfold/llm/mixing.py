@@ -7,37 +7,56 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actfold.llm.common import NULL_KEY, Scratch, kept, numbered, pick, short_batches, with_columns
+from actfold.llm.common import NULL_KEY, Scratch, numbered, pick, short_batches, with_columns
 
 #: Cells are broadcast only up to this many (a few MB); beyond it they are joined by a shuffle.
 MOST_BROADCAST = 20_000
-#: Words are hashed to this many places.
+#: Words are hashed to this many places, a byte of the hash.
 PLACES = 256
 
 
-class _Places(dict):
-    """Places of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word) % PLACES
-        return h
-
-
-def word_counts(text: str | None) -> tuple[int, np.ndarray | None]:
-    """Words of a text (runs without ASCII white space), and their shares by place at unit length; None: no words."""
+def word_places(text: str | None) -> tuple[int, np.ndarray | None]:
+    """Words of a text (runs without ASCII white space), and how many of them fall to each place; None: no words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return 0, None
-    n = np.bincount(np.fromiter(map(kept("places", _Places).__getitem__, words), np.int64, len(words)), minlength=PLACES)
-    return len(words), n / np.linalg.norm(n)
+    last = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint8)[7::8]  # the hash modulo 256
+    return len(words), np.bincount(last, minlength=PLACES)
+
+
+def word_counts(text: str | None) -> tuple[int, np.ndarray | None]:
+    """Words of a text, and their shares by place at unit length; None: no words."""
+    size, n = word_places(text)
+    return size, None if n is None else n / np.linalg.norm(n)
+
+
+def with_words(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df with words (how many fall to each place, in the narrowest whole numbers that hold them; null: no words) and tokens (words; null: 0), from one pass over the texts; columns so named are replaced."""
+
+    def start():
+        def run(texts: list) -> list[list]:
+            found = [word_places(text) for text in texts]
+            return [[None if n is None else n.astype(np.min_scalar_type(n.max())).tobytes() for _, n in found], [size for size, _ in found]]
+
+        return run
+
+    return with_columns(df, text_col, start, "words binary, tokens long")
+
+
+def _units(words: pa.Array) -> np.ndarray:
+    """Rows of shares by place at unit length."""
+    sizes, n = pc.binary_length(words).to_numpy(zero_copy_only=False), np.empty((len(words), PLACES))
+    for size in np.unique(sizes).tolist():  # counts of 1, 2, 4 or 8 bytes
+        own = sizes == size
+        same = words.filter(pa.array(own)).cast(pa.binary(size))
+        n[own] = np.frombuffer(same.buffers()[1], f"u{size // PLACES}", len(same) * PLACES, same.offset * size).reshape(-1, PLACES)
+    return np.divide(n, np.sqrt(np.einsum("ij,ij->i", n, n))[:, None], out=n)
 
 
 @dataclass(frozen=True)
@@ -48,20 +67,45 @@ class Topics:
     mean: np.ndarray
     centres: np.ndarray
 
-    def of(self, unit: np.ndarray, lang: str | None) -> int:
-        return int((self.centres @ (unit - self.means.get(lang, self.mean))).argmax())
+    def of(self, units: np.ndarray, langs: list) -> list[str]:
+        """The topic of each row of units; a null language is NULL_KEY."""
+        values = list(dict.fromkeys(langs))
+        off = np.stack([self.centres @ self.means.get(v, self.mean) for v in values])
+        at = {v: i for i, v in enumerate(values)}
+        near = (units @ self.centres.T - off[[at[v] for v in langs]]).round(9)
+        return [f"topic {k}" for k in near.argmax(axis=1).tolist()]
 
 
 #: Steps of a document's shares in 16 bits, and of a centred one in sums of whole numbers, which are the same in any order.
 STEPS, FINE = 32_767, 1 << 20
+#: Scores that differ by more than this stay apart when they are brought to unit length (at most 2) and rounded to 9 digits.
+APART = 1e-8
 
 
-def _centred(batch: pa.RecordBatch, means: dict[str, np.ndarray], mean: np.ndarray) -> np.ndarray:
-    """A batch of (lang, unit) as rows at unit length, what is common to a language taken off."""
-    x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int16).reshape(-1, PLACES) / STEPS
+def _shares(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """A batch of (lang, words) as rows of shares in whole steps, each row's place in the list of languages, and that list."""
+    x = _units(batch.column(1))
     langs = batch.column(0).dictionary_encode()
-    x -= np.stack([means.get(lang, mean) for lang in langs.dictionary.to_pylist()])[langs.indices.to_numpy()]
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return np.rint(np.multiply(x, STEPS, out=x), out=x), langs.indices.to_numpy(), langs.dictionary.to_pylist()
+
+
+def _centred(shares: np.ndarray, langs: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows at unit length, what is common to their language taken off."""
+    x = shares / STEPS
+    x -= off[langs]
+    return np.divide(x, np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), out=x)
+
+
+def _nearest(shares: np.ndarray, langs: np.ndarray, off: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row; of equals (to 9 digits) the first. Only rows whose best two are close are centred for it."""
+    scores = shares @ (centres.T / STEPS) - (off @ centres.T)[langs]
+    own = scores.argmax(axis=1)
+    best = scores[np.arange(len(own)), own]
+    scores[np.arange(len(own)), own] = -np.inf
+    close = np.flatnonzero(best - scores.max(axis=1) < APART)
+    if len(close):
+        own[close] = (_centred(shares[close], langs[close], off) @ centres.T).round(9).argmax(axis=1)
+    return own
 
 
 def _summed(units: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple[str, int, np.ndarray]]]) -> dict[str, tuple[int, np.ndarray]]:
@@ -82,47 +126,54 @@ def _summed(units: DataFrame, of: Callable[[pa.RecordBatch], Iterator[tuple[str,
 
 
 def fit_topics(df: DataFrame, text_col: str = "text", lang_col: str = "lang", topics: int = 8, least_docs: int = 20, rounds: int = 25, seed: int = 7, work: Scratch | None = None) -> Topics | None:
-    """Spherical k-means over the word use of all documents.
+    """fit_words() on a table of texts: these are read once, and their words written meanwhile."""
+    work = work or Scratch(df.sparkSession)
+    found = work.save(with_words(pick(df, text=text_col, lang=lang_col)).select("lang", "words"), "words")
+    fitted = fit_words(found, topics=topics, least_docs=least_docs, rounds=rounds, seed=seed)
+    work.drop(found)
+    return fitted
+
 
-    The texts are read once; 512 bytes a document are written, and each round
-    reads these and sums them by centre in Spark, so only sums reach the
-    driver. Sums are of whole numbers, so the centres are the same however the
-    rows are dealt. Each next first centre is what the others are furthest
-    from. It ends when a round changes nothing, or after ``rounds``.
+def fit_words(df: DataFrame, lang_col: str = "lang", topics: int = 8, least_docs: int = 20, rounds: int = 25, seed: int = 7) -> Topics | None:
+    """Spherical k-means over the word use of all documents, given as a written table of with_words().
+
+    Each round reads the words (256 bytes for most documents) and sums them by
+    centre in Spark, so only sums reach the driver. After the first round only
+    documents that go to another centre are summed. Sums are of whole numbers,
+    so the centres are the same however the rows are dealt. Each next first
+    centre is what the others are furthest from. It ends when a round changes
+    nothing, or after ``rounds``.
 
     A language (a null one is one of its own) with fewer than ``least_docs``
     documents, or one in 200, is centred at the mean of all. None: no document
     with words.
     """
-    docs, work = pick(df, text=text_col, lang=lang_col).where("text is not null"), work or Scratch(df.sparkSession)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(lang, np.rint(unit * STEPS).astype(np.int16).tobytes()) for text, lang in zip(batch["text"], batch["lang"], strict=True) if (unit := word_counts(text)[1]) is not None]
-            yield pd.DataFrame(found, columns=["lang", "unit"])
-
     short_batches(df.sparkSession)
-    units = work.save(docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(NULL_KEY)).alias("lang")).mapInPandas(count, "lang string, unit binary"), "units")
+    units = df.where("words is not null").select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NULL_KEY)).alias("lang"), "words")
     n = units.count()
     if not n:
         return None
     common = frozenset(r.lang for r in units.groupBy("lang").count().where(F.col("count") >= max(least_docs, n // 200)).collect())
 
     def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
-        x, langs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int16).reshape(-1, PLACES).astype(np.int64), np.array(batch.column(0).to_pylist())
-        for lang in set(langs.tolist()):
-            yield lang if lang in common else "", int((langs == lang).sum()), x[langs == lang].sum(axis=0)
+        x, at, langs = _shares(batch)
+        for k, lang in enumerate(langs):
+            yield lang if lang in common else "", int((at == k).sum()), x[at == k].sum(axis=0).astype(np.int64)
 
     sums = _summed(units, by_lang)
     means = {lang: sums[lang][1] / sums[lang][0] / STEPS for lang in common}
     mean = sum(x for _, x in sums.values()) / n / STEPS
 
+    def placed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, at, langs = _shares(batch)
+        return x, at, np.stack([means.get(lang, mean) for lang in langs])
+
     def furthest(centres: np.ndarray | None) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = None
             for batch in batches:
                 if batch.num_rows:
-                    x = _centred(batch, means, mean)
+                    x = _centred(*placed(batch))
                     near = np.array([xxhash.xxh3_64_intdigest(r.tobytes(), seed) / 2**64 for r in x]) if centres is None else (x @ centres.T).max(axis=1).round(9)
                     least = min((near[i], x[i].tobytes()) for i in np.flatnonzero(near == near.min()))
                     best = least if best is None else min(best, least)
@@ -134,47 +185,51 @@ def fit_topics(df: DataFrame, text_col: str = "text", lang_col: str = "lang", to
     centres = furthest(None)[None]
     while len(centres) < min(topics, n):
         centres = np.concatenate((centres, furthest(centres)[None]))
-    before = None
+    last, before = None, None
+    size, total = np.zeros(len(centres), np.int64), np.zeros(centres.shape, np.int64)
     for _ in range(rounds):
-        now = centres
-
-        def by_centre(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
-            x = _centred(batch, means, mean)
-            own = (x @ now.T).round(9).argmax(axis=1)  # noqa: B023
-            x = np.rint(x * FINE).astype(np.int64)
-            for k in set(own.tolist()):
-                yield str(k), int((own == k).sum()), x[own == k].sum(axis=0)
-
-        found = _summed(units, by_centre)
-        sums = np.stack([found[str(k)][1] / FINE if str(k) in found else centres[k] for k in range(len(centres))])
+        now, then = centres, last
+
+        def moves(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
+            x, at, off = placed(batch)
+            own = _nearest(x, at, off, now)  # noqa: B023
+            was = np.full(len(own), -1) if then is None else _nearest(x, at, off, then)  # noqa: B023
+            go = np.flatnonzero(own != was)
+            x, own, was = np.rint(_centred(x[go], at[go], off) * FINE).astype(np.int64), own[go], was[go]
+            for sign, side in ((1, own), (-1, was)):
+                for k in set(side.tolist()) - {-1}:
+                    yield str(k), sign * int((side == k).sum()), sign * x[side == k].sum(axis=0)
+
+        for k, (count, x) in _summed(units, moves).items():
+            size[int(k)] += count
+            total[int(k)] += x
+        sums = np.where(size[:, None] > 0, total / FINE, centres)
         if before is not None and np.array_equal(sums, before):
             break
-        before, centres = sums, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    work.drop(units)
+        last, before, centres = centres, sums, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return Topics(means, mean, centres)
 
 
 def with_topics(df: DataFrame, topics: Topics | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """df with topic (``none`` without words) and tokens (words; null: 0), from one pass over the texts; columns so named are replaced."""
     own, at = numbered(df)
-    shared = df.sparkSession.sparkContext.broadcast(topics)  # a few centres and a mean a language of the sample
+    found = with_words(own, at[text_col]).withColumn("topic", topic(topics, F.col("words"), F.col(at[lang_col])))
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in ("topic", "tokens")]
+    return found.select(*[own.columns[i] for i in keep], "topic", "tokens").toDF(*[df.columns[i] for i in keep], "topic", "tokens")
 
-    def start():
-        fitted = shared.value
 
-        def run(texts: list, langs: list) -> list[list]:
-            labels, sizes = [], []
-            for text, lang in zip(texts, langs, strict=True):
-                n, unit = word_counts(text)
-                sizes.append(n)
-                labels.append("none" if unit is None or fitted is None else f"topic {fitted.of(unit, NULL_KEY if lang is None else str(lang))}")
-            return [labels, sizes]
+def topic(topics: Topics | None, words: Column, lang: Column) -> Column:
+    """The topic of each document by the words of with_words(); ``none`` without words."""
+    if topics is None:
+        return F.lit("none")
 
-        return run
+    @F.arrow_udf("string")
+    def nearest(words: pa.Array, lang: pa.Array) -> pa.Array:
+        there = words.is_valid()
+        found = iter(topics.of(_units(words.filter(there)), lang.filter(there).to_pylist()) if pc.any(there).as_py() else ())
+        return pa.array([next(found) if t else "none" for t in there.to_pylist()], pa.string())
 
-    found = with_columns(own, (at[text_col], at[lang_col]), start, "topic string, tokens long")
-    keep = [i for i, c in enumerate(df.columns) if c.lower() not in ("topic", "tokens")]
-    return found.select(*[own.columns[i] for i in keep], "topic", "tokens").toDF(*[df.columns[i] for i in keep], "topic", "tokens")
+    return nearest(words, F.coalesce(lang.cast("string"), F.lit(NULL_KEY)))
 
 
 def rake(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], total: float, work: Scratch, tolerance: float = 1e-4, most_rounds: int = 50) -> tuple[DataFrame, int, float]:
@@ -321,21 +376,26 @@ MARGINS = ["source", "lang", "topic"]
 def mix_documents(docs: DataFrame, keep: float = 0.7, work: Scratch | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens and what mix() adds, by source, language and fitted topic, tokens being words.
 
-    The texts are read once besides the fit of the topics: what the rest
-    needs is written then. Null or empty texts have topic ``none`` and no tokens.
+    The texts are read once: what the fit of the topics and the rest need is
+    written then. Null or empty texts have topic ``none`` and no tokens.
     """
     work = work or Scratch(docs.sparkSession)
-    slim = with_topics(pick(docs, doc_id="doc_id", text="text", source="source", lang="lang"), fit_topics(docs)).select("doc_id", *MARGINS, "tokens")
-    return mix(work.save(slim, "measured"), MARGINS, keep=keep, work=work)
+    counted = work.save(with_words(pick(docs, doc_id="doc_id", text="text", source="source", lang="lang")).drop("text"), "counted")
+    slim = counted.withColumn("topic", topic(fit_words(counted), F.col("words"), F.col("lang"))).select("doc_id", *MARGINS, "tokens")
+    slim = work.save(slim, "measured")
+    work.drop(counted)
+    return mix(slim, MARGINS, keep=keep, work=work)
 
 
 def sample_documents(docs: DataFrame, keep: float = 0.7, work: Scratch | None = None) -> DataFrame:
     """The documents that mix_documents() keeps, their columns as they are.
 
-    The texts are read to fit the topics, to sum the cells and to draw; the
-    cells and, for the fit, 512 bytes a document are written.
+    Words are counted once: the documents are written with them, the fit and
+    the sums of the cells read the counts alone, and the draw reads all.
     """
+    work = work or Scratch(docs.sparkSession)
     own, at = numbered(docs)
-    measured = with_topics(own, fit_topics(docs), at["text"], at["lang"])
+    counted = work.save(with_words(own, at["text"]), "counted")
+    measured = counted.withColumn("topic", topic(fit_words(counted, at["lang"]), F.col("words"), F.col(at["lang"])))
     mixed = mix(measured, [at["source"], at["lang"], "topic"], keep=keep, id_col=at["doc_id"], work=work)
     return mixed.where("_kept").select(*own.columns).toDF(*docs.columns)

@@ -350,6 +350,47 @@ def test_topics_come_from_all_documents(spark):
     assert np.allclose(one.means["en"], units.mean(axis=0) / mixing.STEPS)  # of a sample it would be another
 
 
+def test_words_are_counted_once(spark):
+    """A text is read once for the fit, the cells and the draw together."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, " ".join(rng.choice("abcdefg") * 3 for _ in range(20)), "en", f"s{i % 3}") for i in range(120)], DOCS)
+    for run in (mixing.mix_documents, mixing.sample_documents):
+        seen = spark.sparkContext.accumulator(0)
+
+        def read(text, seen=seen):
+            seen.add(1)
+            return text
+
+        run(df.withColumn("text", F.udf(read, "string")("text"))).collect()
+        assert seen.value == 120
+
+
+def test_centres_are_those_of_whole_rounds(spark):
+    """Only documents that move are summed; the centres are those of a loop that sums all of them each round."""
+    rng = random.Random(8)
+    pool = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(rng.choice(pool[5 * (i % 5) : 5 * (i % 5) + 16]) for _ in range(40)), rng.choice(["en", "fr"])) for i in range(400)]
+    rows += [(400, "many " * 300 + "w1", "en"), (401, "most " * 70_000 + "w2", "fr"), (402, "w3", None), (403, " ", "en"), (404, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    units = {i: mixing.word_counts(t)[1] for i, t, _ in rows}
+    x = {i: np.rint(u * mixing.STEPS) / mixing.STEPS for i, u in units.items() if u is not None}
+    for rounds in (1, 2, 25):
+        found = mixing.fit_topics(df, topics=6, rounds=rounds)
+        c = mixing.fit_topics(df, topics=6, rounds=0).centres
+        z = np.stack([x[i] - found.means.get(lang, found.mean) for i, _, lang in rows if i in x])
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        for _ in range(rounds):
+            own = (z @ c.T).round(9).argmax(axis=1)
+            sums = np.stack([np.rint(z[own == k] * mixing.FINE).sum(axis=0) if (own == k).any() else c[k] for k in range(6)])
+            c = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+        assert np.allclose(found.centres, c, atol=1e-9)
+    got = {r.doc_id: r for r in mixing.with_topics(df, found).collect()}
+    for i, t, lang in rows:
+        assert got[i].tokens == len((t or "").split())
+        near = None if units[i] is None else found.centres @ (units[i] - found.means.get(lang, found.mean))
+        assert got[i].topic == "none" if near is None else near.max() - near[int(got[i].topic[6:])] < 1e-9
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, "", "en", "a"), (None, "x y", "en", "a"), (3, "x y", "en", "a"), (3, "x y", "en", "a")], DOCS)
     out = mixing.mix_documents(df, keep=1.0).collect()
