@@ -971,7 +971,7 @@ def page_analyses(spark: SparkSession, d: str) -> DataFrame:
 
 @query(LI_SQL + "SELECT o_orderkey AS page, 'CS/HB ' || o_orderkey AS label, 'Order & ' || o_orderpriority AS title, 'House' AS chamber, 'GENERAL BILL' AS subject, 'Roth' AS sponsor, 'Pizzo' AS cosponsors, 'An act.' AS long_title, '/Senators/S3' AS sponsor_url FROM orders WHERE o_orderkey IN (SELECT page FROM li)")
 def page_heads(spark: SparkSession, d: str) -> DataFrame:
-    return pages.bill_heads(pages.page_blocks(ad.record_pages(spark, d), tags=["h2", "p", "a"], links=pages.MEMBER))
+    return pages.bill_heads(pages.page_parts(ad.record_pages(spark, d), [], ["h2", "p", "a"], pages.MEMBER))
 
 
 @query(LI_SQL + "SELECT o_orderkey AS page, '7/1/2024' AS effective_date, 'Chapter No. 2024-' || o_orderkey AS last_action, '2024-' || o_orderkey AS chapter_law, '' AS chapter_law_url FROM orders WHERE o_orderkey IN (SELECT page FROM li)")
