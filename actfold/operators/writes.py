@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from actfold import workers
+
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], seq: str = "ingest_seq") -> DataFrame:
     """old and new with one row a key, the last ingested. Keys with a null are all kept, since null equals nothing."""
@@ -57,6 +66,34 @@ def write_if_any(df: DataFrame, path: str) -> bool:
     return True
 
 
+def file_each(rows: DataFrame, path: str, name: str, content: str, suffix: str = "") -> DataFrame:
+    """Makes a file of each row below a folder; gives (folder, files), a row a task that has any, when it is evaluated.
+
+    A file's name has its task, the row's name and its place in the task, so rows
+    of one name are files of their own. Each attempt of a task has a folder of
+    its own; those that count are those of the rows given back, which Spark
+    commits as a whole, so lost attempts leave stray files at worst. Files are
+    made through pyarrow's file systems: Spark's writers make files by thousands
+    only with a folder and several calls for each.
+    """
+    workers.reach(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at, n = TaskContext.get().partitionId(), f"{path}/{uuid.uuid4().hex}", 0
+        fs, root = pafs.FileSystem.from_uri(at if ":" in at else f"file://{at}")
+        for batch in batches:
+            for label, value in zip(batch.column(0), batch.column(1), strict=True):
+                if not n:
+                    fs.create_dir(root)
+                with fs.open_output_stream(f"{root}/part-{task:05d}-{n:08d}-{quote(label.as_py() or '', safe='=')}{suffix}", compression=None, buffer_size=0) as out:
+                    out.write(value.as_buffer())
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n], pa.int64())], names=["folder", "files"])
+
+    return rows.select(F.col(name).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "folder string, files long")
+
+
 def enumeration(listed: DataFrame) -> DataFrame:
     """The index of bills (session, num, ...) of listing pages, first row of a number kept, with totals and a mismatch flag."""
     w = Window.partitionBy("session", "num").orderBy("page", "row_ix")
